@@ -63,9 +63,9 @@ def spread_edges(df, radius, size):
     """
     reach, side = num(_reach(radius, size)), num(size)
 
-    def height_at(x, otherwise):
-        t = f"least(1D, greatest(0D, ({x} - x1) / nullif(x2 - x1, 0D)))"
-        return f"coalesce(y1 + {t} * (y2 - y1), {otherwise})"
+    def height_at(x, upright):
+        t = f"least(1D, greatest(0D, ({x} - x1) / (x2 - x1)))"
+        return f"if(x1 = x2, {upright}, y1 + {t} * (y2 - y1))"
 
     out = df.filter(finite(*g.EDGE)).selectExpr("*", (
         f"explode(sequence({_cell(f'least(x1, x2) - {reach}', size)}, "
