@@ -10,24 +10,67 @@ from pyspark.sql import functions as F
 from hearthgrid.config import ROAD_RADIUS, ROAD_WIDTH, WATER_CENTRE_MARGIN, WATER_RADIUS, \
     WEB_MERCATOR
 from hearthgrid.layer import require_columns
-from hearthgrid.operators.cells import explode_edges
-from hearthgrid.operators.skew import attach
+from hearthgrid.operators.cells import CELL, explode_edges, with_cell
+from hearthgrid.operators.crowded import crowded_rows
+from hearthgrid.operators.skew import HOT_CELLS, PAIR_BUDGET, attach
 from hearthgrid.operators.spatial_join import CELL_SIZE, edges_within, points_within, polygons_at
+from hearthgrid.session import materialize
 
 INFINITY = float("inf")
 XY = ["x", "y"]
 
 
-def places(df, x, y):
-    """Distinct places with the number of rows at each."""
-    return df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()) \
+def places(df, x="x", y="y"):
+    """Distinct places with the number of rows at each, written out once.
+
+    Every search below starts from this narrow table instead of the footprints.
+    """
+    found = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()) \
         .groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    return materialize(found, "places")
 
 
 def with_places(buildings, inner=False):
-    """The buildings with the place they are searched from, and all distinct places."""
-    located = buildings.located(inner=inner, srid=WEB_MERCATOR)
-    return located, places(located, "x", "y")
+    """Key and place of every building, and all distinct places."""
+    located = materialize(buildings.located(inner=inner, srid=WEB_MERCATOR), "located")
+    return located, places(located)
+
+
+def near_rows(spots, objects, radius, size=CELL_SIZE, budget=PAIR_BUDGET):
+    """Rows ``x, y, kind, n, dist`` to be summed (``n``) and minimised (``dist``) per place and kind.
+
+    ``objects`` has ``ox, oy, kind, copies``. Where a cell would ask for more than ``budget`` pair
+    tests it is searched by :func:`crowded_rows`, all other cells pair by pair.
+    """
+    queries = spots.select(*XY)
+    hot = crowded_cells(queries, objects, radius, size, budget)
+    if not hot:
+        return _pair_rows(queries, objects, radius, size)
+    hot = F.broadcast(spots.sparkSession.createDataFrame(hot, "gx bigint, gy bigint"))
+    celled = with_cell(queries, "x", "y", size)
+    cold = celled.join(hot, CELL, "left_anti").drop(*CELL)
+    crowd = celled.join(hot, CELL, "left_semi").drop(*CELL)
+    return _pair_rows(cold, objects, radius, size) \
+        .unionByName(crowded_rows(crowd, objects, radius, size))
+
+
+def _pair_rows(queries, objects, radius, size):
+    pairs = points_within(queries, objects, radius, size=size, split=False)
+    return pairs.selectExpr("x", "y", "kind", "copies AS n", "dist")
+
+
+def crowded_cells(queries, objects, radius, size, budget):
+    """Cells with more than ``budget`` pair tests, the most crowded first, at most ``HOT_CELLS``."""
+    steps = int(radius // size) + 1
+    around = f"explode(sequence({-steps}, {steps}))"
+    held = with_cell(objects, "ox", "oy", size).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"))
+    reach = held.selectExpr("n", "gx", "gy", f"{around} AS sx") \
+        .selectExpr("n", "gx + sx AS gx", "gy", f"{around} AS sy") \
+        .selectExpr("n", "gx", "gy + sy AS gy").groupBy(*CELL).agg(F.sum("n").alias("n"))
+    asked = with_cell(queries, "x", "y", size).groupBy(*CELL).agg(F.count(F.lit(1)).alias("q"))
+    tests = F.col("q").cast("double") * F.col("n")
+    return asked.join(reach, CELL).filter(tests > F.lit(float(budget))) \
+        .orderBy(tests.desc()).limit(HOT_CELLS).select(*CELL).collect()
 
 
 def onto(buildings, features):
@@ -41,20 +84,21 @@ def poi_types(pois):
 
 
 def poi_places(pois):
-    """Distinct (place, type) of a POI layer, with the number of copies."""
+    """Distinct (place, type) of a POI layer, with the number of copies, written out once."""
     located = pois.projected().located("poi_type", names=("ox", "oy"))
-    return located.groupBy("ox", "oy", "poi_type").agg(F.count(F.lit(1)).alias("copies"))
+    return materialize(located.withColumnRenamed("poi_type", "kind").groupBy("ox", "oy", "kind")
+                       .agg(F.count(F.lit(1)).alias("copies")), "pois")
 
 
 def poi_by_place(spots, pois, radius, types, size=CELL_SIZE):
     """``count_<type>`` and ``nearest_<type>_dist`` per place that has any POI in range."""
-    pairs = points_within(spots.select(*XY), poi_places(pois), radius, size=size)
+    rows = near_rows(spots, poi_places(pois), radius, size)
     out = []
     for t in types:
-        is_t = F.col("poi_type") == F.lit(t)
-        out.append(F.sum(F.when(is_t, F.col("copies")).otherwise(F.lit(0))).alias(f"count_{t}"))
+        is_t = F.col("kind") == F.lit(t)
+        out.append(F.sum(F.when(is_t, F.col("n")).otherwise(F.lit(0))).alias(f"count_{t}"))
         out.append(F.min(F.when(is_t, F.col("dist"))).alias(f"nearest_{t}_dist"))
-    return pairs.groupBy(*XY).agg(*out) if out else pairs.select(*XY).distinct()
+    return rows.groupBy(*XY).agg(*out) if out else rows.select(*XY).distinct()
 
 
 def poi_features(buildings, pois, radius=1000.0, types=None, size=CELL_SIZE):
@@ -79,9 +123,10 @@ def water_by_place(spots, water, radius, size=CELL_SIZE):
 
 def water_centre_distance(spots, layer, radius, size=CELL_SIZE):
     """Distance to the nearest water centre, strictly within the radius and its margin."""
-    centres = layer.located(names=("ox", "oy")).select("ox", "oy").distinct()
-    near = points_within(spots.select(*XY), centres, radius + WATER_CENTRE_MARGIN, size=size)
-    return near.groupBy(*XY).agg(F.min("dist").alias("nearest_water_dist"))
+    centres = layer.located(names=("ox", "oy")).select("ox", "oy").distinct() \
+        .withColumns({"kind": F.lit("water"), "copies": F.lit(1).cast("bigint")})
+    rows = near_rows(spots, materialize(centres, "centres"), radius + WATER_CENTRE_MARGIN, size)
+    return rows.groupBy(*XY).agg(F.min("dist").alias("nearest_water_dist"))
 
 
 def water_features(buildings, water, radius=WATER_RADIUS, size=CELL_SIZE):

@@ -16,15 +16,16 @@ from hearthgrid.operators.skew import join_cells
 CELL_SIZE = 1000.0
 
 
-def points_within(queries, objects, radius, inclusive=False, size=CELL_SIZE):
+def points_within(queries, objects, radius, inclusive=False, size=CELL_SIZE, split=True):
     """Inner join of points closer than ``radius``; adds ``dist``.
 
     ``queries`` has ``x, y``; ``objects`` has ``ox, oy``. With ``inclusive`` a pair at exactly the
-    radius counts as well.
+    radius counts as well. Crowded cells are split over several tasks unless ``split`` is off.
     """
     left = with_cell(queries, "x", "y", size)
     right = spread_points(objects, "ox", "oy", radius, size)
-    joined = join_cells(left, right, ["x", "y"]) \
+    joined = join_cells(left, right, ["x", "y"]) if split else left.join(right, CELL)
+    joined = joined \
         .selectExpr("*", f"{g.distance('x', 'y', 'ox', 'oy')} AS dist")
     return joined.filter(f"dist {'<=' if inclusive else '<'} {num(radius)}").drop(*CELL)
 

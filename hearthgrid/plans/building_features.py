@@ -7,6 +7,7 @@ from hearthgrid.operators import neighbours as nb
 from hearthgrid.operators.areas import area_features
 from hearthgrid.operators.raster import sample_places
 from hearthgrid.operators.skew import attach
+from hearthgrid.session import materialize
 
 
 def building_features(buildings, raster, pois, water, roads, areas=None,
@@ -20,8 +21,8 @@ def building_features(buildings, raster, pois, water, roads, areas=None,
     types = nb.poi_types(pois)
     layer = buildings.projected()
     both = f"inline(array(struct({layer.centroid()} AS c, {layer.inner_point()} AS i)))"
-    spots = layer.df.selectExpr(layer.key, both) \
-        .selectExpr(layer.key, "c.x AS cx", "c.y AS cy", "i.x AS ix", "i.y AS iy")
+    spots = materialize(layer.df.selectExpr(layer.key, both).selectExpr(
+        layer.key, "c.x AS cx", "c.y AS cy", "i.x AS ix", "i.y AS iy"), "located")
 
     centres = nb.places(spots, "cx", "cy")
     by_centre = sample_places(centres.select(*nb.XY), raster) \
