@@ -51,6 +51,7 @@ def area_features(buildings, areas):
     A building in k overlapping areas comes k times, one in none stays with nulls. The centroid is
     taken in the UTM zone of the layer; a point building is its own centroid in any system.
     """
+    require_columns(areas.df, AREA_COLUMNS)
     buildings = buildings.to_srid(areas.require_srid())
     if buildings.kind == "point":
         spots = buildings.located()

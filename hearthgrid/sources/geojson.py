@@ -11,6 +11,9 @@ from hearthgrid.operators.columns import union_layers
 _LEVELS = {"Point": 1, "LineString": 2, "MultiLineString": 3, "Polygon": 3, "MultiPolygon": 4}
 _KIND_TYPES = {"point": ("Point", None), "line": ("LineString", "MultiLineString"),
                "polygon": ("Polygon", "MultiPolygon")}
+# A whole feature, and what else may stand on a line of a collection with one feature per line.
+_FEATURE_LINE = r'^\{.*"type"\s*:\s*"Feature"\s*[,}]'
+_OTHER_LINE = r'^([\[\]{},\s]*|\{?\s*"(type|name|crs|bbox|features|xy_coordinate_resolution)"\s*:.*)$'
 
 
 def _nested(levels):
@@ -58,8 +61,8 @@ def read_features(spark, paths, properties=None, collection=False):
 
     By default each feature stands on a line of its own, so that a large file is split over many
     tasks. That covers newline-delimited GeoJSON and collections written one feature per line, as
-    the common writers do. ``collection`` reads a file with any other layout, which takes one task
-    per file. ``properties`` is a struct type; without it the types are inferred by a first pass.
+    the common writers do; any other layout is an error. ``collection`` reads a file that is one
+    document, however it is laid out, which takes one task per file. ``properties`` is a struct type; without it the types are inferred by a first pass.
     """
     if properties is None:
         properties = _infer_properties(spark, paths, collection)
@@ -69,12 +72,15 @@ def read_features(spark, paths, properties=None, collection=False):
         rows = spark.read.schema(schema).option("multiLine", True).json(paths) \
             .select(F.explode("features").alias("f"), F.col("_metadata.file_path").alias("file"))
     else:
-        # Collection head and tail are not features; the comma between features is cut off.
+        # The head and the tail of a collection are not features; the comma after one is cut off.
+        # Only features reach the parser, whatever filters end up around it.
         line = F.regexp_replace(F.trim("value"), ",$", "")
+        line = F.when(line.rlike(_FEATURE_LINE), line).when(line.rlike(_OTHER_LINE), F.lit(None)) \
+            .otherwise(F.raise_error(F.concat(F.lit("not one feature per line: "), F.left(line, F.lit(80)))))
         rows = spark.read.text(paths).select(line.alias("line"), F.col("_metadata.file_path").alias("file")) \
-            .filter(F.col("line").rlike(r'^\{.*"type"\s*:\s*"Feature"\s*[,}]')) \
-            .select(F.from_json("line", feature, {"mode": "FAILFAST"}).alias("f"), "file")
-    return rows.select("f.properties", "f.geometry", "file").filter("geometry IS NOT NULL OR properties IS NOT NULL")
+            .select(F.from_json("line", feature, {"mode": "FAILFAST"}).alias("f"), "file") \
+            .filter("f IS NOT NULL")
+    return rows.select("f.properties", "f.geometry", "file")
 
 
 def _infer_properties(spark, paths, collection):

@@ -9,8 +9,9 @@ from hearthgrid.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("hearthgrid-tests", cpus=8)
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = local_session("hearthgrid-tests", cpus=8, spark__checkpoint__dir=shared)
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()
