@@ -400,7 +400,7 @@ SELECT b.building_id, coalesce(round(d.dist, 3), {INF}) AS nearest_water_dist
 FROM fx_buildings b LEFT JOIN centre_dist d ON b.building_id = d.building_id""", ["fx_buildings", "fx_water"])
 def water_nearest(spark, sf):
     located, spots = nb.with_places(fx.buildings(spark, sf), inner=True)
-    near = nb.water_centre_distance(spots, fx.water(spark, sf), config.WATER_RADIUS)
+    near = nb.at_places(nb.water_centre_distance(spots, fx.water(spark, sf), config.WATER_RADIUS), spots)
     out = located.join(near, nb.XY, "left").select("building_id", "nearest_water_dist")
     return rounded(out, 3, "nearest_water_dist").fillna(nb.INFINITY, ["nearest_water_dist"])
 
@@ -445,7 +445,7 @@ def water_count(spark, sf):
 SELECT building_id, round(min(dist), 3) AS nearest_road_dist FROM near GROUP BY building_id""", ["fx_buildings", "fx_roads"])
 def road_nearest_dist(spark, sf):
     located, spots = nb.with_places(fx.buildings(spark, sf))
-    near = nb.road_by_place(spots, fx.roads(spark, sf), config.ROAD_RADIUS).select(*nb.XY, "nearest_road_dist")
+    near = nb.at_places(nb.road_by_place(spots, fx.roads(spark, sf), config.ROAD_RADIUS), spots)
     return rounded(located.join(near, nb.XY).select("building_id", "nearest_road_dist"), 3, "nearest_road_dist")
 
 

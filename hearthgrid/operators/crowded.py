@@ -77,9 +77,9 @@ def _children(pairs, q, p, level):
 
 
 def crowded_rows(queries, objects, radius, size, small=SMALL):
-    """Rows ``x, y, kind, n, dist`` to be summed (``n``) and minimised (``dist``) per place and kind.
+    """Rows ``place, kind, n, dist`` to be summed (``n``) and minimised (``dist``) per place and kind.
 
-    ``queries`` has ``x, y``; ``objects`` has ``ox, oy, kind, copies``.
+    ``queries`` has ``place, x, y``; ``objects`` has ``ox, oy, kind, copies``.
     """
     q, p = _fine(queries, "x", "y", size), _fine(objects, "ox", "oy", size)
     steps = int(radius // size) + 1
@@ -100,13 +100,13 @@ def crowded_rows(queries, objects, radius, size, small=SMALL):
 
 def _settled_rows(judged, q, level):
     counts = judged.filter("settled").groupBy("qx", "qy", "kind").agg(F.sum("n").alias("n"))
-    return q.selectExpr("x", "y", *_at(level, "qx", "qy")).join(counts, ["qx", "qy"]) \
-        .selectExpr("x", "y", "kind", "n", "CAST(NULL AS DOUBLE) AS dist")
+    return q.selectExpr("place", *_at(level, "qx", "qy")).join(counts, ["qx", "qy"]) \
+        .selectExpr("place", "kind", "n", "CAST(NULL AS DOUBLE) AS dist")
 
 
 def _leaf_rows(judged, q, p, level, radius):
     leaves = judged.filter("leaf").select("qx", "qy", "px", "py", "kind", "open", "close")
-    met = leaves.join(q.selectExpr("x", "y", *_at(level, "qx", "qy")), ["qx", "qy"]) \
+    met = leaves.join(q.selectExpr("place", "x", "y", *_at(level, "qx", "qy")), ["qx", "qy"]) \
         .join(p.selectExpr("ox", "oy", "kind", "copies", *_at(level, "px", "py")), ["px", "py", "kind"]) \
         .selectExpr("*", f"{g.distance('x', 'y', 'ox', 'oy')} AS d").filter(f"d < {num(radius)}")
-    return met.selectExpr("x", "y", "kind", "if(open, copies, 0) AS n", "if(close, d, NULL) AS dist")
+    return met.selectExpr("place", "kind", "if(open, copies, 0) AS n", "if(close, d, NULL) AS dist")

@@ -18,16 +18,19 @@ from hearthgrid.session import materialize
 
 INFINITY = float("inf")
 XY = ["x", "y"]
+PLACE = ["place", "x", "y"]
 
 
 def places(df, x="x", y="y"):
-    """Distinct places with the number of rows at each, written out once.
+    """Distinct places ``place, x, y`` with the number ``n`` of rows at each, written out once.
 
-    Every search below starts from this narrow table instead of the footprints.
+    Every search below starts from this narrow table instead of the footprints, and is grouped and
+    joined by the whole number ``place``. (Doubles as keys are normalised by a join but not by a
+    group, so each join after a group would shuffle again.)
     """
     found = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()) \
         .groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    return materialize(found, "places")
+    return materialize(found.withColumn("place", F.monotonically_increasing_id()), "places")
 
 
 def with_places(buildings, inner=False):
@@ -37,12 +40,12 @@ def with_places(buildings, inner=False):
 
 
 def near_rows(spots, objects, radius, size=CELL_SIZE, budget=PAIR_BUDGET):
-    """Rows ``x, y, kind, n, dist`` to be summed (``n``) and minimised (``dist``) per place and kind.
+    """Rows ``place, kind, n, dist`` to be summed (``n``) and minimised (``dist``) per place and kind.
 
     ``objects`` has ``ox, oy, kind, copies``. Where a cell would ask for more than ``budget`` pair
     tests it is searched by :func:`crowded_rows`, all other cells pair by pair.
     """
-    queries = spots.select(*XY)
+    queries = spots.select(*PLACE)
     hot = crowded_cells(queries, objects, radius, size, budget)
     if not hot:
         return _pair_rows(queries, objects, radius, size)
@@ -56,7 +59,7 @@ def near_rows(spots, objects, radius, size=CELL_SIZE, budget=PAIR_BUDGET):
 
 def _pair_rows(queries, objects, radius, size):
     pairs = points_within(queries, objects, radius, size=size, split=False)
-    return pairs.selectExpr("x", "y", "kind", "copies AS n", "dist")
+    return pairs.selectExpr("place", "kind", "copies AS n", "dist")
 
 
 def crowded_cells(queries, objects, radius, size, budget):
@@ -73,6 +76,11 @@ def crowded_cells(queries, objects, radius, size, budget):
         .orderBy(tests.desc()).limit(HOT_CELLS).select(*CELL).collect()
 
 
+def at_places(features, spots):
+    """Features by ``place`` with the coordinates of the place instead."""
+    return spots.select(*PLACE).join(features, "place").drop("place")
+
+
 def onto(buildings, features):
     """The feature columns joined to the full building rows."""
     return buildings.df.join(features.drop(*XY), buildings.key, "left")
@@ -98,7 +106,7 @@ def poi_by_place(spots, pois, radius, types, size=CELL_SIZE):
         is_t = F.col("kind") == F.lit(t)
         out.append(F.sum(F.when(is_t, F.col("n")).otherwise(F.lit(0))).alias(f"count_{t}"))
         out.append(F.min(F.when(is_t, F.col("dist"))).alias(f"nearest_{t}_dist"))
-    return rows.groupBy(*XY).agg(*out) if out else rows.select(*XY).distinct()
+    return rows.groupBy("place").agg(*out) if out else rows.select("place").distinct()
 
 
 def poi_features(buildings, pois, radius=1000.0, types=None, size=CELL_SIZE):
@@ -109,16 +117,16 @@ def poi_features(buildings, pois, radius=1000.0, types=None, size=CELL_SIZE):
     types = poi_types(pois) if types is None else types
     located, spots = with_places(buildings)
     found = poi_by_place(spots, pois, radius, types, size)
-    out = attach(located, found, XY, spots, buildings.key)
+    out = attach(located, at_places(found, spots), XY, spots, buildings.key)
     return onto(buildings, out.fillna(0, [f"count_{t}" for t in types]))
 
 
 def water_by_place(spots, water, radius, size=CELL_SIZE):
     """``count_water`` and ``nearest_water_dist`` per place; either may be missing."""
     layer = water.projected()
-    touched = polygons_at(spots.select(*XY), XY, layer, radius, size)
-    counts = touched.groupBy(*XY).agg(F.count(F.lit(1)).alias("count_water"))
-    return counts.join(water_centre_distance(spots, layer, radius, size), XY, "full")
+    touched = polygons_at(spots.select(*PLACE), ["place"], layer, radius, size)
+    counts = touched.groupBy("place").agg(F.count(F.lit(1)).alias("count_water"))
+    return counts.join(water_centre_distance(spots, layer, radius, size), "place", "full")
 
 
 def water_centre_distance(spots, layer, radius, size=CELL_SIZE):
@@ -126,14 +134,15 @@ def water_centre_distance(spots, layer, radius, size=CELL_SIZE):
     centres = layer.located(names=("ox", "oy")).select("ox", "oy").distinct() \
         .withColumns({"kind": F.lit("water"), "copies": F.lit(1).cast("bigint")})
     rows = near_rows(spots, materialize(centres, "centres"), radius + WATER_CENTRE_MARGIN, size)
-    return rows.groupBy(*XY).agg(F.min("dist").alias("nearest_water_dist"))
+    return rows.groupBy("place").agg(F.min("dist").alias("nearest_water_dist"))
 
 
 def water_features(buildings, water, radius=WATER_RADIUS, size=CELL_SIZE):
     """Buildings with the number of water shapes within the radius of a point inside the building,
     and the distance to the nearest water centre (infinity if none)."""
     located, spots = with_places(buildings, inner=True)
-    out = attach(located, water_by_place(spots, water, radius, size), XY, spots, buildings.key)
+    found = at_places(water_by_place(spots, water, radius, size), spots)
+    out = attach(located, found, XY, spots, buildings.key)
     return onto(buildings, fill_water(out))
 
 
@@ -152,15 +161,17 @@ def usable_roads(roads):
 def road_distances(spots, roads, radius, size=CELL_SIZE):
     """One row per place and road in range, with the distance between the two."""
     layer = usable_roads(roads).projected()
-    near = edges_within(spots.select(*XY), explode_edges(layer), radius, size)
-    return near.groupBy(*XY, layer.key).agg(F.min("dist").alias("dist"))
+    near = edges_within(spots.select(*PLACE), explode_edges(layer), radius, size)
+    # Sent out by place, so that this grouping and those that follow share one shuffle.
+    return near.select("place", layer.key, "dist").repartition("place") \
+        .groupBy("place", layer.key).agg(F.min("dist").alias("dist"))
 
 
 def road_by_place(spots, roads, radius, size=CELL_SIZE):
     """Per place: roads in range, roads tied for nearest, and the nearest distance."""
     by_distance = road_distances(spots, roads, radius, size) \
-        .groupBy(*XY, "dist").agg(F.count(F.lit(1)).alias("n"))
-    return by_distance.groupBy(*XY).agg(
+        .groupBy("place", "dist").agg(F.count(F.lit(1)).alias("n"))
+    return by_distance.groupBy("place").agg(
         F.sum("n").alias("count_roads"), F.min_by("n", "dist").alias("count_roads_tied"),
         F.min("dist").alias("nearest_road_dist"))
 
@@ -175,5 +186,6 @@ def road_features(buildings, roads, radius=ROAD_RADIUS, size=CELL_SIZE):
     """Buildings with ``count_roads`` (roads in range), ``count_roads_tied`` (rows a nearest join
     gives, hence 1 when there is none) and ``nearest_road_dist``."""
     located, spots = with_places(buildings)
-    out = attach(located, road_by_place(spots, roads, radius, size), XY, spots, buildings.key)
+    found = at_places(road_by_place(spots, roads, radius, size), spots)
+    out = attach(located, found, XY, spots, buildings.key)
     return onto(buildings, fill_roads(out))

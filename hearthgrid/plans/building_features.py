@@ -25,18 +25,17 @@ def building_features(buildings, raster, pois, water, roads, areas=None,
         layer.key, "c.x AS cx", "c.y AS cy", "i.x AS ix", "i.y AS iy"), "located")
 
     centres = nb.places(spots, "cx", "cy")
-    by_centre = sample_places(centres.select(*nb.XY), raster) \
-        .join(nb.poi_by_place(centres, pois, poi_radius, types), nb.XY, "left") \
-        .join(nb.road_by_place(centres, roads, road_radius), nb.XY, "left") \
-        .withColumnsRenamed({"x": "cx", "y": "cy"})
+    by_centre = sample_places(centres.select(*nb.PLACE), raster) \
+        .join(nb.poi_by_place(centres, pois, poi_radius, types), "place", "left") \
+        .join(nb.road_by_place(centres, roads, road_radius), "place", "left").drop("place")
     inners = nb.places(spots, "ix", "iy")
-    by_inner = nb.water_by_place(inners, water, water_radius) \
-        .withColumnsRenamed({"x": "ix", "y": "iy"})
+    by_inner = nb.at_places(nb.water_by_place(inners, water, water_radius), inners)
 
-    out = attach(spots, by_centre, ["cx", "cy"],
-                 centres.withColumnsRenamed({"x": "cx", "y": "cy"}), layer.key)
-    out = attach(out, by_inner, ["ix", "iy"],
-                 inners.withColumnsRenamed({"x": "ix", "y": "iy"}), layer.key)
+    centre, inner = {"x": "cx", "y": "cy"}, {"x": "ix", "y": "iy"}
+    out = attach(spots, by_centre.withColumnsRenamed(centre), ["cx", "cy"],
+                 centres.withColumnsRenamed(centre), layer.key)
+    out = attach(out, by_inner.withColumnsRenamed(inner), ["ix", "iy"],
+                 inners.withColumnsRenamed(inner), layer.key)
     out = out.drop("cx", "cy", "ix", "iy").fillna(0, [f"count_{t}" for t in types]) \
         .fillna({"population": 0.0})
     out = buildings.df.join(nb.fill_roads(nb.fill_water(out)), buildings.key, "left")

@@ -114,11 +114,11 @@ def test_crowded_search_matches_brute_force(spark, small):
         return list(dict.fromkeys(dense + pile + [(rng.uniform(-900, 1500), rng.uniform(-900, 900)) for _ in range(n // 2)]))
 
     a, b = cloud(150), [(p, rng.choice("uv"), rng.randint(1, 4)) for p in cloud(200)]
-    queries = spots(spark, a).select("x", "y")
+    queries = spots(spark, a).withColumnRenamed("qid", "place")
     objects = spark.createDataFrame([(x, y, k, n) for (x, y), k, n in b], "ox double, oy double, kind string, copies bigint")
     rows = crowded.crowded_rows(queries, objects, 500.0, 1000.0, small)
-    got = {(r["x"], r["y"], r["kind"]): (r["n"], r["d"]) for r in
-           rows.groupBy("x", "y", "kind").agg(F.sum("n").alias("n"), F.min("dist").alias("d")).collect()}
+    got = {(*a[r["place"]], r["kind"]): (r["n"], r["d"]) for r in
+           rows.groupBy("place", "kind").agg(F.sum("n").alias("n"), F.min("dist").alias("d")).collect()}
     want = {}
     for x, y in a:
         for kind in "uv":
@@ -139,8 +139,8 @@ def test_near_rows_gives_the_same_with_and_without_crowding(spark):
 
     def run(budget):
         rows = nb.near_rows(where, objects, 500.0, 250.0, budget)
-        out = rows.groupBy("x", "y", "kind").agg({"n": "sum", "dist": "min"}).collect()
-        return {(r["x"], r["y"], r["kind"]): (r["sum(n)"], round(r["min(dist)"], 9)) for r in out}
+        out = rows.groupBy("place", "kind").agg({"n": "sum", "dist": "min"}).collect()
+        return {(r["place"], r["kind"]): (r["sum(n)"], round(r["min(dist)"], 9)) for r in out}
 
     assert run(10**9) == run(2000) == run(0)
 
