@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hearthgrid.functions import geometry as g
 from hearthgrid.functions.sql import num
-from hearthgrid.operators.cells import finite
+from hearthgrid.operators.cells import covered_centres, finite, spread_edges
 from hearthgrid.session import materialize
 
 # Each level is four times finer than the one before.
@@ -110,3 +110,89 @@ def _leaf_rows(judged, q, p, level, radius):
         .join(p.selectExpr("ox", "oy", "kind", "copies", *_at(level, "px", "py")), ["px", "py", "kind"]) \
         .selectExpr("*", f"{g.distance('x', 'y', 'ox', 'oy')} AS d").filter(f"d < {num(radius)}")
     return met.selectExpr("place", "kind", "if(open, copies, 0) AS n", "if(close, d, NULL) AS dist")
+
+
+# --- lines ------------------------------------------------------------------------
+#
+# The same idea with shapes in place of points: from the distance between the centre of a cell and
+# a shape follow bounds for every place in that cell, half a diagonal to either side.
+
+
+def _edge_bounds(rows, key, level, radius, size):
+    """Rows ``qx, qy, key, edge`` with what is to become of the shape in that cell."""
+    side, r = size / 4**level, float(radius)
+    half = side * 2**0.5 / 2 + SLACK
+    centre = [f"((q{a} + 0.5D) * {num(side)})" for a in "xy"]
+    rows = rows.selectExpr("*", f"{g.segment_distance(*centre, *g.EDGE)} AS d")
+    shape = rows.groupBy("qx", "qy", key).agg(F.min("d").alias("m"))
+    best = shape.groupBy("qx", "qy").agg((F.min("m") + F.lit(half)).alias("best"))
+    judged = shape.join(best, ["qx", "qy"]).selectExpr(
+        "qx", "qy", key, "m", f"m + {num(half)} < {num(r)} AS within",
+        f"m - {num(half)} <= least(best, {num(r)}) AS close", f"m - {num(half)} <= {num(r)} AS near")
+    # An edge that is farther by a whole diagonal can nowhere be the nearest one of its shape.
+    return rows.join(judged, ["qx", "qy", key]).filter(f"near AND d <= m + {num(2 * half)}")
+
+
+def crowded_edge_rows(queries, edges, key, radius, size, small=SMALL, first=0, held=None, nearest=True):
+    """Places against edges: exact rows ``place, key, dist, n``, and ``place, n`` to be added.
+
+    The first frame has the distance of every shape that may be the nearest of its place, or whose
+    being in range has to be looked up; ``n`` is 1 if it is to be counted. The second has the
+    number of shapes in range that were settled for whole cells.
+
+    The search starts on level ``first``. ``held`` lists cells of that level and shapes,
+    ``qx, qy, key``, that are counted elsewhere and get 0 for ``n``. Without ``nearest`` the
+    distances serve the counts only.
+    """
+    q = _fine(queries, "x", "y", size)
+    rows = spread_edges(edges, radius, size / 4**first).withColumnsRenamed({"gx": "qx", "gy": "qy"}) \
+        .select("qx", "qy", key, *g.EDGE).join(_query_cells(q, first).drop("ux", "uy"), ["qx", "qy"])
+    if held is not None:
+        rows = rows.join(held.select("qx", "qy", key, F.lit(0).alias("n")), ["qx", "qy", key], "left")
+    weight = "coalesce(n, 1)" if held is not None else "1"
+    rows = rows.selectExpr("qx", "qy", key, *g.EDGE, "nq", f"{weight} AS n", "true AS open")
+    exact, settled = None, None
+    for level in range(first, LEVELS + 1):
+        judged = _edge_bounds(rows, key, level, radius, size)
+        judged = judged.selectExpr("*", "open AND within AS settled", "open AND NOT within AS unsure")
+        load = judged.groupBy("qx", "qy").agg(F.count(F.lit(1)).alias("edges"))
+        few = "true" if level == LEVELS else f"nq * edges <= {small}"
+        kept = "unsure OR close" if nearest else "unsure"
+        judged = judged.join(load, ["qx", "qy"]).selectExpr(
+            "qx", "qy", key, *g.EDGE, "n", "settled", "unsure", f"({kept}) AS kept", f"({few}) AS leaf")
+        judged = materialize(judged, "crowded")
+        here = q.selectExpr("place", "x", "y", *_at(level, "qx", "qy"))
+        met = judged.filter("kept AND leaf").join(here, ["qx", "qy"]).selectExpr(
+            "place", key, f"{g.segment_distance('x', 'y', *g.EDGE)} AS dist", "if(unsure, n, 0) AS n") \
+            .filter(f"dist <= {num(radius)}").groupBy("place", key) \
+            .agg(F.min("dist").alias("dist"), F.max("n").cast("bigint").alias("n"))
+        whole = judged.filter("settled").select("qx", "qy", key, "n").distinct() \
+            .groupBy("qx", "qy").agg(F.sum("n").alias("n")).join(here, ["qx", "qy"]).select("place", "n")
+        exact = met if exact is None else exact.unionByName(met)
+        settled = whole if settled is None else settled.unionByName(whole)
+        finer = judged.filter("kept AND NOT leaf")
+        if level == LEVELS or finer.isEmpty():
+            return exact, settled
+        rows = finer.selectExpr("qx AS ux", "qy AS uy", key, *g.EDGE, "n", "unsure AS open") \
+            .join(_query_cells(q, level + 1), ["ux", "uy"]).drop("ux", "uy")
+
+
+def crowded_polygon_counts(queries, edges, key, radius, size, small=SMALL):
+    """``place, n``, to be summed: the polygons around or at most ``radius`` from each place.
+
+    On a level whose cells are smaller than the radius, a place farther than that from an outline
+    shares its side of it with its whole cell. So the polygons that cover the centre of its cell
+    are counted once per cell, and from the outlines within range only those of other polygons.
+    """
+    first = next(k for k in range(LEVELS + 1) if size / 4**k * 2**0.5 < radius or k == LEVELS)
+    if size / 4**first * 2**0.5 >= radius:
+        raise ValueError("the cells are too large for this radius")
+    q = _fine(queries, "x", "y", size)
+    cells = _query_cells(q, first).select("qx", "qy")
+    covers = covered_centres(edges, key, size / 4**first) \
+        .withColumnsRenamed({"gx": "qx", "gy": "qy"}).join(cells, ["qx", "qy"])
+    covers = materialize(covers, "covers")
+    exact, settled = crowded_edge_rows(queries, edges, key, radius, size, small, first, covers, False)
+    around = covers.groupBy("qx", "qy").agg(F.count(F.lit(1)).alias("n")) \
+        .join(q.selectExpr("place", *_at(first, "qx", "qy")), ["qx", "qy"]).select("place", "n")
+    return exact.select("place", "n").unionByName(settled).unionByName(around)

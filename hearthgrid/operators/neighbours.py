@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from hearthgrid.config import ROAD_RADIUS, ROAD_WIDTH, WATER_CENTRE_MARGIN, WATER_RADIUS, \
     WEB_MERCATOR
 from hearthgrid.layer import require_columns
-from hearthgrid.operators.cells import CELL, explode_edges, with_cell
-from hearthgrid.operators.crowded import crowded_rows
-from hearthgrid.operators.skew import HOT_CELLS, PAIR_BUDGET, attach
+from hearthgrid.operators.cells import CELL, explode_edges, spread_edges, with_cell
+from hearthgrid.operators.crowded import crowded_edge_rows, crowded_polygon_counts, crowded_rows
+from hearthgrid.operators.skew import HOT_CELLS, PAIR_BUDGET, attach, hot_cells
 from hearthgrid.operators.spatial_join import CELL_SIZE, edges_within, points_within, polygons_at
 from hearthgrid.session import materialize
 
@@ -45,16 +45,22 @@ def near_rows(spots, objects, radius, size=CELL_SIZE, budget=PAIR_BUDGET):
     ``objects`` has ``ox, oy, kind, copies``. Where a cell would ask for more than ``budget`` pair
     tests it is searched by :func:`crowded_rows`, all other cells pair by pair.
     """
-    queries = spots.select(*PLACE)
-    hot = crowded_cells(queries, objects, radius, size, budget)
+    celled = with_cell(spots.select(*PLACE), "x", "y", size)
+    cold, crowd = by_crowding(celled, crowded_cells(celled, objects, radius, size, budget))
+    rows = _pair_rows(cold, objects, radius, size)
+    if crowd is None:
+        return rows
+    return rows.unionByName(crowded_rows(crowd, objects, radius, size))
+
+
+def by_crowding(celled, hot):
+    """The places outside and inside the hot cells; the latter None if there are no such cells."""
     if not hot:
-        return _pair_rows(queries, objects, radius, size)
-    hot = F.broadcast(spots.sparkSession.createDataFrame(hot, "gx bigint, gy bigint"))
-    celled = with_cell(queries, "x", "y", size)
-    cold = celled.join(hot, CELL, "left_anti").drop(*CELL)
-    crowd = celled.join(hot, CELL, "left_semi").drop(*CELL)
-    return _pair_rows(cold, objects, radius, size) \
-        .unionByName(crowded_rows(crowd, objects, radius, size))
+        return celled.drop(*CELL), None
+    hot = celled.sparkSession.createDataFrame([tuple(r)[:2] for r in hot], "gx bigint, gy bigint")
+    # At most HOT_CELLS rows of two numbers.
+    return (celled.join(F.broadcast(hot), CELL, "left_anti").drop(*CELL),
+            celled.join(F.broadcast(hot), CELL, "left_semi").drop(*CELL))
 
 
 def _pair_rows(queries, objects, radius, size):
@@ -62,7 +68,7 @@ def _pair_rows(queries, objects, radius, size):
     return pairs.selectExpr("place", "kind", "copies AS n", "dist")
 
 
-def crowded_cells(queries, objects, radius, size, budget):
+def crowded_cells(celled, objects, radius, size, budget):
     """Cells with more than ``budget`` pair tests, the most crowded first, at most ``HOT_CELLS``."""
     steps = int(radius // size) + 1
     around = f"explode(sequence({-steps}, {steps}))"
@@ -70,7 +76,7 @@ def crowded_cells(queries, objects, radius, size, budget):
     reach = held.selectExpr("n", "gx", "gy", f"{around} AS sx") \
         .selectExpr("n", "gx + sx AS gx", "gy", f"{around} AS sy") \
         .selectExpr("n", "gx", "gy + sy AS gy").groupBy(*CELL).agg(F.sum("n").alias("n"))
-    asked = with_cell(queries, "x", "y", size).groupBy(*CELL).agg(F.count(F.lit(1)).alias("q"))
+    asked = celled.groupBy(*CELL).agg(F.count(F.lit(1)).alias("q"))
     tests = F.col("q").cast("double") * F.col("n")
     return asked.join(reach, CELL).filter(tests > F.lit(float(budget))) \
         .orderBy(tests.desc()).limit(HOT_CELLS).select(*CELL).collect()
@@ -121,19 +127,32 @@ def poi_features(buildings, pois, radius=1000.0, types=None, size=CELL_SIZE):
     return onto(buildings, out.fillna(0, [f"count_{t}" for t in types]))
 
 
-def water_by_place(spots, water, radius, size=CELL_SIZE):
+def water_by_place(spots, water, radius, size=CELL_SIZE, budget=PAIR_BUDGET):
     """``count_water`` and ``nearest_water_dist`` per place; either may be missing."""
     layer = water.projected()
-    touched = polygons_at(spots.select(*PLACE), ["place"], layer, radius, size)
-    counts = touched.groupBy("place").agg(F.count(F.lit(1)).alias("count_water"))
-    return counts.join(water_centre_distance(spots, layer, radius, size), "place", "full")
+    return water_counts(spots, layer, radius, size, budget) \
+        .join(water_centre_distance(spots, layer, radius, size, budget), "place", "full")
+
 
+def water_counts(spots, layer, radius, size=CELL_SIZE, budget=PAIR_BUDGET):
+    """Shapes around or within the radius of each place that has any."""
+    edges = explode_edges(layer)
+    celled = with_cell(spots.select(*PLACE), "x", "y", size)
+    cold, crowd = by_crowding(celled, hot_cells(celled, spread_edges(edges, radius, size), budget))
+    counts = polygons_at(cold, ["place"], layer, radius, size, split=False) \
+        .groupBy("place").agg(F.count(F.lit(1)).alias("count_water"))
+    if crowd is None:
+        return counts
+    more = crowded_polygon_counts(crowd, edges, layer.key, radius, size) \
+        .groupBy("place").agg(F.sum("n").alias("count_water")).filter("count_water > 0")
+    return counts.unionByName(more)
 
-def water_centre_distance(spots, layer, radius, size=CELL_SIZE):
+
+def water_centre_distance(spots, layer, radius, size=CELL_SIZE, budget=PAIR_BUDGET):
     """Distance to the nearest water centre, strictly within the radius and its margin."""
     centres = layer.located(names=("ox", "oy")).select("ox", "oy").distinct() \
         .withColumns({"kind": F.lit("water"), "copies": F.lit(1).cast("bigint")})
-    rows = near_rows(spots, materialize(centres, "centres"), radius + WATER_CENTRE_MARGIN, size)
+    rows = near_rows(spots, materialize(centres, "centres"), radius + WATER_CENTRE_MARGIN, size, budget)
     return rows.groupBy("place").agg(F.min("dist").alias("nearest_water_dist"))
 
 
@@ -158,21 +177,39 @@ def usable_roads(roads):
     return roads.with_df(roads.df.filter((width > 0) & ~F.isnan(width.cast("double"))))
 
 
-def road_distances(spots, roads, radius, size=CELL_SIZE):
-    """One row per place and road in range, with the distance between the two."""
+def road_by_place(spots, roads, radius, size=CELL_SIZE, budget=PAIR_BUDGET):
+    """Per place: roads in range, roads tied for nearest, and the nearest distance.
+
+    Where a cell would ask for more than ``budget`` distances it is searched by
+    :func:`crowded_edge_rows`, all other cells edge by edge.
+    """
     layer = usable_roads(roads).projected()
-    near = edges_within(spots.select(*PLACE), explode_edges(layer), radius, size)
+    edges, queries = explode_edges(layer), spots.select(*PLACE)
+    celled, spread = with_cell(queries, "x", "y", size), spread_edges(edges, radius, size)
+    cold, crowd = by_crowding(celled, hot_cells(celled, spread, budget))
+    if crowd is None:
+        return _by_distance(_edge_rows(cold, edges, layer.key, radius, size))
+    exact, settled = crowded_edge_rows(crowd, edges, layer.key, radius, size)
+    return _by_distance(_edge_rows(cold, edges, layer.key, radius, size).unionByName(exact), settled)
+
+
+def _edge_rows(queries, edges, key, radius, size):
+    """One row per place and road in range, with the distance between the two."""
+    near = edges_within(queries, edges, radius, size, split=False)
     # Sent out by place, so that this grouping and those that follow share one shuffle.
-    return near.select("place", layer.key, "dist").repartition("place") \
-        .groupBy("place", layer.key).agg(F.min("dist").alias("dist"))
+    return near.select("place", key, "dist").repartition("place") \
+        .groupBy("place", key).agg(F.min("dist").alias("dist")).withColumn("n", F.lit(1).cast("bigint"))
 
 
-def road_by_place(spots, roads, radius, size=CELL_SIZE):
-    """Per place: roads in range, roads tied for nearest, and the nearest distance."""
-    by_distance = road_distances(spots, roads, radius, size) \
-        .groupBy("place", "dist").agg(F.count(F.lit(1)).alias("n"))
+def _by_distance(rows, settled=None):
+    """Counts and the nearest distance per place; ``settled`` adds to the counts."""
+    by_distance = rows.groupBy("place", "dist").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("ties"))
+    if settled is not None:
+        none = {"dist": F.lit(None).cast("double"), "ties": F.lit(None).cast("bigint")}
+        by_distance = by_distance.unionByName(settled.withColumns(none))
     return by_distance.groupBy("place").agg(
-        F.sum("n").alias("count_roads"), F.min_by("n", "dist").alias("count_roads_tied"),
+        F.sum("n").alias("count_roads"), F.min_by("ties", "dist").alias("count_roads_tied"),
         F.min("dist").alias("nearest_road_dist"))
 
 

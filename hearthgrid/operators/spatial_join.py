@@ -30,18 +30,20 @@ def points_within(queries, objects, radius, inclusive=False, size=CELL_SIZE, spl
     return joined.filter(f"dist {'<=' if inclusive else '<'} {num(radius)}").drop(*CELL)
 
 
-def edges_within(queries, edges, radius, size=CELL_SIZE):
+def edges_within(queries, edges, radius, size=CELL_SIZE, split=True):
     """Inner join of points with edges at most ``radius`` away; adds ``dist``.
 
-    A point meets a shape once per near edge; group by both to get one row per pair.
+    A point meets a shape once per near edge; group by both to get one row per pair. Crowded cells
+    are split over several tasks unless ``split`` is off.
     """
-    left = with_cell(queries, "x", "y", size)
-    joined = join_cells(left, spread_edges(edges, radius, size), ["x", "y"]) \
+    left, right = with_cell(queries, "x", "y", size), spread_edges(edges, radius, size)
+    joined = join_cells(left, right, ["x", "y"]) if split else left.join(right, CELL)
+    joined = joined \
         .selectExpr("*", f"{g.segment_distance('x', 'y', *g.EDGE)} AS dist")
     return joined.filter(f"dist <= {num(radius)}").drop(*g.EDGE, *CELL)
 
 
-def polygons_at(queries, query_key, layer, radius=0.0, size=CELL_SIZE):
+def polygons_at(queries, query_key, layer, radius=0.0, size=CELL_SIZE, split=True):
     """One row per point and polygon that meet, with ``inside`` and ``dist``.
 
     ``query_key`` lists the columns that identify a point and includes what is to be kept of it.
@@ -58,7 +60,8 @@ def polygons_at(queries, query_key, layer, radius=0.0, size=CELL_SIZE):
     walls = spread_edges(edges, radius, size).selectExpr("*", "0 AS core")
     cores = covered_centres(edges, key, size).selectExpr("*", "1 AS core")
     pieces = walls.unionByName(cores, allowMissingColumns=True)
-    met = join_cells(with_cell(queries, "x", "y", size), pieces, ["x", "y"])
+    left = with_cell(queries, "x", "y", size)
+    met = join_cells(left, pieces, ["x", "y"]) if split else left.join(pieces, CELL)
 
     cx, cy = f"((gx + 0.5D) * {num(size)})", f"((gy + 0.5D) * {num(size)})"
     along_x = f"{g.spans('y1', 'y2', 'y')} AND ({g.edge_right_of('x', 'y', *g.EDGE)} " \

@@ -145,6 +145,53 @@ def test_near_rows_gives_the_same_with_and_without_crowding(spark):
     assert run(10**9) == run(2000) == run(0)
 
 
+@pytest.mark.parametrize("budget", [10**9, 2000, 1])
+def test_water_counts_match_brute_force_in_crowded_cells(spark, budget, monkeypatch):
+    monkeypatch.setattr(crowded.crowded_polygon_counts, "__defaults__", (60,))
+    rng = shapes.rng(14)
+    polys = [shapes.polygon(rng, 400.0) for _ in range(40)]
+    polys += [[[shapes.ring([(-900, -900), (2000, -900), (2000, 1500), (-900, 1500)])]]] * 2
+    lay = Layer(spark.createDataFrame(list(enumerate(polys)), POLYGON), "id", "geom", "polygon", 3857)
+    where = nb.places(spots(spark, [(rng.gauss(200, 250), rng.gauss(200, 250)) for _ in range(200)] + [(5000, 5000)]))
+    got = {r["place"]: r["count_water"] for r in nb.water_counts(where, lay, 60.0, 120.0, budget).collect()}
+    want = {}
+    for r in where.collect():
+        n = sum(shapes.inside(r["x"], r["y"], m) or min(shapes.segment_distance(r["x"], r["y"], e) for e in shapes.edges(m)) <= 60.0
+                for m in polys)
+        if n:
+            want[r["place"]] = n
+    assert got == want
+
+
+@pytest.mark.parametrize("budget", [10**9, 3000, 1])
+def test_roads_by_place_match_brute_force_in_crowded_cells(spark, budget, monkeypatch):
+    monkeypatch.setattr(crowded.crowded_edge_rows, "__defaults__", (60, 0, None, True))
+    rng = shapes.rng(13)
+    lines = []
+    for i in range(80):
+        x, y = rng.gauss(0, 300), rng.gauss(0, 300)
+        path = [shapes.pt(x, y)]
+        for _ in range(rng.choice([0, 1, 3])):
+            path.append(shapes.pt(path[-1]["x"] + rng.gauss(0, 200), path[-1]["y"] + rng.gauss(0, 200)))
+        lines += [path] * rng.choice([1, 1, 2])
+    roads = Layer(spark.createDataFrame([(i, 1.0, p) for i, p in enumerate(lines)],
+                                        "rid bigint, FWIDTH double, path array<struct<x:double,y:double>>"),
+                  "rid", "path", "line", 3857)
+    where = nb.places(spots(spark, [(rng.gauss(0, 400), rng.gauss(0, 400)) for _ in range(200)]))
+    got = {r["place"]: (r["count_roads"], r["count_roads_tied"], r["nearest_road_dist"])
+           for r in nb.road_by_place(where, roads, 150.0, 250.0, budget).collect()}
+    want = {}
+    for r in where.collect():
+        ds = []
+        for path in lines:
+            ends = list(zip(path, path[1:])) or [(path[0], path[0])]
+            ds.append(min(shapes.segment_distance(r["x"], r["y"], (a["x"], a["y"], b["x"], b["y"])) for a, b in ends))
+        ds = [d for d in ds if d <= 150.0]
+        if ds:
+            want[r["place"]] = (len(ds), sum(d == min(ds) for d in ds), pytest.approx(min(ds), abs=1e-9))
+    assert got == want
+
+
 def test_attach_deals_out_hot_and_null_keys(spark):
     rows = [(i, 1.0 if i < 400 else float(i)) for i in range(600)] + [(i, None) for i in range(600, 900)]
     left = spark.createDataFrame(rows, "id bigint, x double")
