@@ -31,7 +31,8 @@ def shared_folder(spark):
     Only a local-mode session may fall back to a temporary folder, because there the driver and
     the executors are one process.
     """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") \
+    folder = spark.conf.get("spark.checkpoint.dir", None) \
+        or spark.sparkContext.getConf().get("spark.checkpoint.dir") \
         or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
