@@ -467,6 +467,37 @@ def poi_features_wide(spark, sf):
     return rounded(out.drop("footprint"), 3, *POI_DISTS)
 
 
+_FAR = "greatest(abs(w.xmin - a.x), abs(w.xmax - a.x))", "greatest(abs(w.ymin - a.y), abs(w.ymax - a.y))"
+
+
+@query("poi_shapes_wide", f"""
+, met AS (SELECT a.building_id, count(*) AS n, min({BOX}) AS dist FROM fx_buildings a JOIN fx_water w
+   ON a.x BETWEEN w.xmin - 500 AND w.xmax + 500 AND a.y BETWEEN w.ymin - 500 AND w.ymax + 500
+   WHERE sqrt({_FAR[0]} * {_FAR[0]} + {_FAR[1]} * {_FAR[1]}) < 500 GROUP BY a.building_id)
+SELECT b.building_id, coalesce(m.n, 0) AS count_lake, round(m.dist, 3) AS nearest_lake_dist
+FROM fx_buildings b LEFT JOIN met m ON b.building_id = m.building_id""", ["fx_buildings", "fx_water"])
+def poi_shapes_wide(spark, sf):
+    lakes = fx.water(spark, sf)
+    lakes = lakes.with_df(lakes.df.withColumn("poi_type", F.lit("lake")))
+    out = nb.poi_features(fx.buildings(spark, sf), lakes, config.POI_RADIUS)
+    return rounded(out.drop("footprint"), 3, "nearest_lake_dist")
+
+
+GON = "b.dist * cos(b.turn - floor(b.turn / (pi() / 32)) * (pi() / 32) - pi() / 64) < 500 * cos(pi() / 64)"
+
+
+@query("poi_counts_in_polygon_buffer", f"""
+, pairs AS (SELECT a.building_id, b.poi_type, {DIST} AS dist, atan2(b.y - a.y, b.x - a.x) AS turn FROM fx_buildings a JOIN fx_pois b
+   ON b.x BETWEEN a.x - 500 AND a.x + 500 AND b.y BETWEEN a.y - 500 AND a.y + 500 WHERE {DIST} < 500),
+n AS (SELECT building_id, {', '.join(f"count(*) FILTER (WHERE poi_type = '{t}') AS count_{t}" for t in POI_TYPES)}
+   FROM pairs b WHERE {GON} GROUP BY building_id)
+SELECT b.building_id, {', '.join(f'coalesce(n.count_{t}, 0) AS count_{t}' for t in POI_TYPES)}
+FROM fx_buildings b LEFT JOIN n ON b.building_id = n.building_id""", ["fx_buildings", "fx_pois"])
+def poi_counts_in_polygon_buffer(spark, sf):
+    out = nb.poi_features(fx.buildings(spark, sf), fx.pois(spark, sf), config.POI_RADIUS, sides=config.BUFFER_SIDES)
+    return out.drop("footprint", *POI_DISTS)
+
+
 WATER_COLUMNS = f"coalesce(w.n, 0) AS count_water, coalesce(round(d.dist, 3), {INF}) AS nearest_water_dist"
 
 
@@ -714,12 +745,15 @@ def lasso_cv(spark, sf):
     return table.withColumn("chosen", F.col("alpha") == alpha)
 
 
+_REGISTRY_ROOTS = {}
+
+
 def _registry(spark):
-    """One registry per session, so that queries on the same data share their models."""
-    roots = spark.__dict__.setdefault("_hearthgrid_registry", [])
-    if not roots:
-        roots.append(scratch_path(spark, "registry"))
-    return ModelRegistry(spark, roots[0])
+    """One registry per application, so that queries on the same data share their models."""
+    app = spark.sparkContext.applicationId
+    if app not in _REGISTRY_ROOTS:
+        _REGISTRY_ROOTS[app] = scratch_path(spark, "registry")
+    return ModelRegistry(spark, _REGISTRY_ROOTS[app])
 
 
 def _trained(spark, sf, *names):

@@ -11,6 +11,8 @@ POI_RADIUS = 500.0
 WATER_RADIUS = 500.0
 WATER_CENTRE_MARGIN = 100.0
 ROAD_RADIUS = 500.0
+# Corners of a search region drawn as a polygon; the default region is the circle around it.
+BUFFER_SIDES = 64
 
 TARGET = "peopleCount"
 GEOMETRY = "geometry"

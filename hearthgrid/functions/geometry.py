@@ -1,8 +1,10 @@
 """Planar geometry as SQL expressions over nested arrays of ``STRUCT<x, y>``."""
 
+import math
+
 from pyspark.sql import types as T
 
-from hearthgrid.functions.sql import let
+from hearthgrid.functions.sql import let, num
 
 DEPTH = {"point": 0, "line": 1, "polygon": 2}
 EDGE = ("x1", "y1", "x2", "y2")
@@ -143,6 +145,24 @@ def distance(ax, ay, bx, by):
     return (f"sqrt((({ax}) - ({bx})) * (({ax}) - ({bx})) + (({ay}) - ({by})) * (({ay}) - ({by})))")
 
 
+def in_reach(dist, px, py, ox, oy, radius, sides=None):
+    """Strictly within a circle, or within the regular polygon of ``sides`` corners drawn in it.
+
+    The first corner lies due east of the centre. A polygon of 64 corners is what tools that draw
+    buffers as polygons test by default.
+    """
+    if sides is None:
+        return f"{dist} < {num(radius)}"
+    slice_, half = 2 * math.pi / sides, math.pi / sides
+    bearing = f"pmod(atan2({oy} - {py}, {ox} - {px}), {num(slice_)}) - {num(half)}"
+    return f"{dist} * cos({bearing}) < {num(sure_reach(radius, sides))}"
+
+
+def sure_reach(radius, sides=None):
+    """The distance up to which every direction is in reach."""
+    return radius if sides is None else radius * math.cos(math.pi / sides)
+
+
 def segment_distance(px, py, x1, y1, x2, y2):
     """Distance from a point to a segment; a segment of no length counts as a point."""
     dx, dy = f"({x2} - {x1})", f"({y2} - {y1})"

@@ -50,17 +50,18 @@ def _object_cells(p, level):
         .agg(F.count(F.lit(1)).alias("np"), F.sum("copies").alias("n"))
 
 
-def _judge(pairs, level, radius, size, small):
+def _judge(pairs, level, radius, size, small, sides):
     """Bounds of each cell pair, and what is to become of it."""
-    side, r = num(size / 4**level), float(radius)
+    side, r, sure = num(size / 4**level), float(radius), g.sure_reach(radius, sides)
     near = [f"greatest(abs(q{a} - p{a}) - 1, 0) * {side}" for a in "xy"]
     far = [f"(abs(q{a} - p{a}) + 1) * {side}" for a in "xy"]
     bounded = pairs.selectExpr(
         "*", f"sqrt(pow({near[0]}, 2) + pow({near[1]}, 2)) AS lo",
         f"sqrt(pow({far[0]}, 2) + pow({far[1]}, 2)) AS hi").filter(f"lo < {num(r + SLACK)}")
     same = Window.partitionBy("qx", "qy", "kind")
-    judged = bounded.withColumn("best", F.least("best", F.min("hi").over(same))) \
-        .selectExpr("*", f"open AND hi < {num(r - SLACK)} AS settled",
+    reached = F.expr(f"if(hi < {num(sure - SLACK)}, hi, NULL)")
+    judged = bounded.withColumn("best", F.least("best", F.min(reached).over(same))) \
+        .selectExpr("*", f"open AND hi < {num(sure - SLACK)} AS settled",
                     f"lo <= best + {num(SLACK)} AS close")
     judged = judged.withColumn("open", F.expr("open AND NOT settled")) \
         .filter("settled OR open OR close")
@@ -76,7 +77,7 @@ def _children(pairs, q, p, level):
         .join(_object_cells(p, level), ["vx", "vy", "kind"]).drop("ux", "uy", "vx", "vy")
 
 
-def crowded_rows(queries, objects, radius, size, small=SMALL):
+def crowded_rows(queries, objects, radius, size, small=SMALL, sides=None):
     """Rows ``place, kind, n, dist`` to be summed (``n``) and minimised (``dist``) per place and kind.
 
     ``queries`` has ``place, x, y``; ``objects`` has ``ox, oy, kind, copies``.
@@ -90,8 +91,8 @@ def crowded_rows(queries, objects, radius, size, small=SMALL):
         .withColumns({"best": F.lit(float("inf")), "open": F.lit(True)})
     out = None
     for level in range(LEVELS + 1):
-        judged = materialize(_judge(pairs, level, radius, size, small), "crowded")
-        for rows in (_settled_rows(judged, q, level), _leaf_rows(judged, q, p, level, radius)):
+        judged = materialize(_judge(pairs, level, radius, size, small, sides), "crowded")
+        for rows in (_settled_rows(judged, q, level), _leaf_rows(judged, q, p, level, radius, sides)):
             out = rows if out is None else out.unionByName(rows)
         if level == LEVELS or judged.filter("finer").isEmpty():
             return out
@@ -104,11 +105,12 @@ def _settled_rows(judged, q, level):
         .selectExpr("place", "kind", "n", "CAST(NULL AS DOUBLE) AS dist")
 
 
-def _leaf_rows(judged, q, p, level, radius):
+def _leaf_rows(judged, q, p, level, radius, sides):
     leaves = judged.filter("leaf").select("qx", "qy", "px", "py", "kind", "open", "close")
     met = leaves.join(q.selectExpr("place", "x", "y", *_at(level, "qx", "qy")), ["qx", "qy"]) \
         .join(p.selectExpr("ox", "oy", "kind", "copies", *_at(level, "px", "py")), ["px", "py", "kind"]) \
-        .selectExpr("*", f"{g.distance('x', 'y', 'ox', 'oy')} AS d").filter(f"d < {num(radius)}")
+        .selectExpr("*", f"{g.distance('x', 'y', 'ox', 'oy')} AS d")\
+        .filter(g.in_reach("d", "x", "y", "ox", "oy", radius, sides))
     return met.selectExpr("place", "kind", "if(open, copies, 0) AS n", "if(close, d, NULL) AS dist")
 
 

@@ -39,7 +39,7 @@ def with_places(buildings, inner=False):
     return located, places(located)
 
 
-def near_rows(spots, objects, radius, size=CELL_SIZE, budget=PAIR_BUDGET):
+def near_rows(spots, objects, radius, size=CELL_SIZE, budget=PAIR_BUDGET, sides=None):
     """Rows ``place, kind, n, dist`` to be summed (``n``) and minimised (``dist``) per place and kind.
 
     ``objects`` has ``ox, oy, kind, copies``. Where a cell would ask for more than ``budget`` pair
@@ -47,10 +47,11 @@ def near_rows(spots, objects, radius, size=CELL_SIZE, budget=PAIR_BUDGET):
     """
     celled = with_cell(spots.select(*PLACE), "x", "y", size)
     cold, crowd = by_crowding(celled, crowded_cells(celled, objects, radius, size, budget))
-    rows = _pair_rows(cold, objects, radius, size)
+    pairs = points_within(cold, objects, radius, size=size, split=False, sides=sides)
+    rows = pairs.selectExpr("place", "kind", "copies AS n", "dist")
     if crowd is None:
         return rows
-    return rows.unionByName(crowded_rows(crowd, objects, radius, size))
+    return rows.unionByName(crowded_rows(crowd, objects, radius, size, sides=sides))
 
 
 def by_crowding(celled, hot):
@@ -63,11 +64,6 @@ def by_crowding(celled, hot):
             celled.join(F.broadcast(hot), CELL, "left_semi").drop(*CELL))
 
 
-def _pair_rows(queries, objects, radius, size):
-    pairs = points_within(queries, objects, radius, size=size, split=False)
-    return pairs.selectExpr("place", "kind", "copies AS n", "dist")
-
-
 def crowded_cells(celled, objects, radius, size, budget):
     """Cells with more than ``budget`` pair tests, the most crowded first, at most ``HOT_CELLS``."""
     steps = int(radius // size) + 1
@@ -104,9 +100,30 @@ def poi_places(pois):
                        .agg(F.count(F.lit(1)).alias("copies")), "pois")
 
 
-def poi_by_place(spots, pois, radius, types, size=CELL_SIZE):
+def poi_shape_rows(spots, pois, radius, size=CELL_SIZE):
+    """The same rows for POI that are lines or polygons: in range if all of the shape is.
+
+    The distance is to the nearest part of the shape, 0 inside a polygon.
+    """
+    layer = pois.projected()
+    key, queries, edges = layer.key, spots.select(*PLACE), explode_edges(layer)
+    corners = edges.selectExpr(key, "inline(array(struct(x1 AS x, y1 AS y), struct(x2 AS x, y2 AS y))) AS (ox, oy)").distinct()
+    wanted = corners.groupBy(key).agg(F.count(F.lit(1)).alias("wanted"))
+    whole = points_within(queries, corners, radius, size=size).groupBy("place", key) \
+        .agg(F.count(F.lit(1)).alias("got")).join(wanted, key).filter("got = wanted")
+    if layer.kind == "polygon":
+        near = polygons_at(queries, ["place"], layer, radius, size)
+    else:
+        near = edges_within(queries, edges, radius, size).groupBy("place", key).agg(F.min("dist").alias("dist"))
+    kinds = layer.df.select(key, F.col("poi_type").alias("kind"))
+    return whole.select("place", key).join(near.select("place", key, "dist"), ["place", key]) \
+        .join(kinds, key).selectExpr("place", "kind", "1L AS n", "dist")
+
+
+def poi_by_place(spots, pois, radius, types, size=CELL_SIZE, sides=None):
     """``count_<type>`` and ``nearest_<type>_dist`` per place that has any POI in range."""
-    rows = near_rows(spots, poi_places(pois), radius, size)
+    rows = near_rows(spots, poi_places(pois), radius, size, sides=sides) if pois.kind == "point" \
+        else poi_shape_rows(spots, pois, radius, size)
     out = []
     for t in types:
         is_t = F.col("kind") == F.lit(t)
@@ -115,14 +132,15 @@ def poi_by_place(spots, pois, radius, types, size=CELL_SIZE):
     return rows.groupBy("place").agg(*out) if out else rows.select("place").distinct()
 
 
-def poi_features(buildings, pois, radius=1000.0, types=None, size=CELL_SIZE):
+def poi_features(buildings, pois, radius=1000.0, types=None, size=CELL_SIZE, sides=None):
     """Buildings with a count and a nearest distance for each POI type.
 
-    The count is 0 and the distance null where nothing is in range.
+    The count is 0 and the distance null where nothing is in range. ``sides`` searches a regular
+    polygon in place of the circle (for point POI).
     """
     types = poi_types(pois) if types is None else types
     located, spots = with_places(buildings)
-    found = poi_by_place(spots, pois, radius, types, size)
+    found = poi_by_place(spots, pois, radius, types, size, sides)
     out = attach(located, at_places(found, spots), XY, spots, buildings.key)
     return onto(buildings, out.fillna(0, [f"count_{t}" for t in types]))
 

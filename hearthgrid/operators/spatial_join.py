@@ -16,18 +16,21 @@ from hearthgrid.operators.skew import join_cells
 CELL_SIZE = 1000.0
 
 
-def points_within(queries, objects, radius, inclusive=False, size=CELL_SIZE, split=True):
+def points_within(queries, objects, radius, inclusive=False, size=CELL_SIZE, split=True, sides=None):
     """Inner join of points closer than ``radius``; adds ``dist``.
 
     ``queries`` has ``x, y``; ``objects`` has ``ox, oy``. With ``inclusive`` a pair at exactly the
-    radius counts as well. Crowded cells are split over several tasks unless ``split`` is off.
+    radius counts as well; with ``sides`` the search region is a polygon drawn in the circle.
+    Crowded cells are split over several tasks unless ``split`` is off.
     """
     left = with_cell(queries, "x", "y", size)
     right = spread_points(objects, "ox", "oy", radius, size)
     joined = join_cells(left, right, ["x", "y"]) if split else left.join(right, CELL)
     joined = joined \
         .selectExpr("*", f"{g.distance('x', 'y', 'ox', 'oy')} AS dist")
-    return joined.filter(f"dist {'<=' if inclusive else '<'} {num(radius)}").drop(*CELL)
+    near = f"dist <= {num(radius)}" if inclusive else \
+        g.in_reach("dist", "x", "y", "ox", "oy", radius, sides)
+    return joined.filter(near).drop(*CELL)
 
 
 def edges_within(queries, edges, radius, size=CELL_SIZE, split=True):
@@ -85,9 +88,10 @@ def nearest_left(queries, query_key, edges, edge_key, radius, size=CELL_SIZE):
     Points with nothing in reach stay, with nulls.
     """
     found = edges_within(queries, edges, radius, size)
-    per_pair = found.groupBy(*query_key, edge_key).agg(F.min("dist").alias("dist"))
     # A rank filter is cut down to the leading rows before the shuffle, so a point with very
     # many shapes around it does not become one large group.
     order = Window.partitionBy(*query_key).orderBy("dist")
-    ties = per_pair.withColumn("place", F.rank().over(order)).filter("place = 1").drop("place")
+    ties = found.select(*query_key, edge_key, "dist") \
+        .withColumn("place", F.rank().over(order)).filter("place = 1") \
+        .groupBy(*query_key, edge_key).agg(F.min("dist").alias("dist"))
     return queries.join(ties, query_key, "left")

@@ -53,6 +53,18 @@ def test_poi_radius_defaults_to_a_kilometre_and_types_may_be_given(spark):
     assert got[1]["count_shop"] == 1 and got[1]["count_zoo"] == 0
 
 
+def test_poi_shapes_count_only_if_wholly_in_range(spark):
+    rows = [(1, "park", box(-50, -50, 50, 50)), (2, "park", box(300, 0, 400, 10)), (3, "park", box(450, 0, 600, 10))]
+    parks = layer(spark, rows, f"poi_id bigint, poi_type string, shape {RINGS}", "poi_id", "shape", "polygon")
+    got = by_id(nb.poi_features(buildings(spark), parks, 500.0))
+    assert (got[1]["count_park"], got[1]["nearest_park_dist"]) == (2, 0.0)
+    assert (got[3]["count_park"], got[3]["nearest_park_dist"]) == (0, None)
+    lines = [(1, "tram", [shapes.pt(30, 40), shapes.pt(300, 400), shapes.pt(30, 40)]), (2, "tram", [shapes.pt(0, 9), shapes.pt(0, 501)])]
+    trams = layer(spark, lines, f"poi_id bigint, poi_type string, path {PATH}", "poi_id", "path", "line")
+    got = by_id(nb.poi_features(buildings(spark), trams, 501.0))
+    assert (got[2]["count_tram"], got[2]["nearest_tram_dist"]) == (1, 50.0)
+
+
 def test_water_counts_shapes_but_measures_to_centres(spark):
     wide = box(400, -1000, 3000, 1000)
     small = box(-10, 590, 10, 608)

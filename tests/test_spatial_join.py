@@ -131,18 +131,19 @@ def test_crowded_search_matches_brute_force(spark, small):
         assert got[k] == (n, pytest.approx(d, abs=1e-9))
 
 
-def test_near_rows_gives_the_same_with_and_without_crowding(spark):
+@pytest.mark.parametrize("sides", [None, 5])
+def test_near_rows_gives_the_same_with_and_without_crowding(spark, sides):
     rng = shapes.rng(12)
     where = nb.places(spots(spark, [(rng.gauss(0, 300), rng.gauss(0, 300)) for _ in range(200)]))
     objects = spark.createDataFrame([(rng.gauss(0, 300), rng.gauss(0, 300), rng.choice("uv"), 2) for _ in range(300)],
                                     "ox double, oy double, kind string, copies bigint")
 
     def run(budget):
-        rows = nb.near_rows(where, objects, 500.0, 250.0, budget)
+        rows = nb.near_rows(where, objects, 500.0, 250.0, budget, sides)
         out = rows.groupBy("place", "kind").agg({"n": "sum", "dist": "min"}).collect()
         return {(r["place"], r["kind"]): (r["sum(n)"], round(r["min(dist)"], 9)) for r in out}
 
-    assert run(10**9) == run(2000) == run(0)
+    assert run(10**9) == run(2000) == run(1)
 
 
 @pytest.mark.parametrize("budget", [10**9, 2000, 1])
@@ -192,6 +193,16 @@ def test_roads_by_place_match_brute_force_in_crowded_cells(spark, budget, monkey
     assert got == want
 
 
+def test_polygon_buffer_matches_its_corners(spark):
+    """In reach means inside the polygon whose corners lie on the circle, the first one due east."""
+    rng = shapes.rng(15)
+    gon = [[shapes.ring([(10 * math.cos(2 * math.pi * i / 7), 10 * math.sin(2 * math.pi * i / 7)) for i in range(7)])]]
+    points = [(rng.uniform(-11, 11), rng.uniform(-11, 11)) for _ in range(600)]
+    objects = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "pid bigint, ox double, oy double")
+    got = {r["pid"] for r in sj.points_within(spots(spark, [(0, 0)]), objects, 10.0, size=4.0, sides=7).collect()}
+    assert got == {i for i, p in enumerate(points) if shapes.inside(*p, gon)}
+
+
 def test_attach_deals_out_hot_and_null_keys(spark):
     rows = [(i, 1.0 if i < 400 else float(i)) for i in range(600)] + [(i, None) for i in range(600, 900)]
     left = spark.createDataFrame(rows, "id bigint, x double")
