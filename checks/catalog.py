@@ -79,7 +79,7 @@ def scan_geojson(spark, sf):
        ["fx_pois"])
 def scan_poi_dir(spark, sf):
     folder, pois = scratch_path(spark, "pois"), fx.pois(spark, sf)
-    for kind in nb.poi_types(pois):
+    for kind in nb.poi_types(pois.df):
         one = c.by_type(pois, kind)
         geojson.write_geojson(one.with_df(one.df.drop("poi_type")), f"{folder}/{kind}.geojson")
     read = geojson.read_poi_folder(spark, folder)

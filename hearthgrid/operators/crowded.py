@@ -21,7 +21,7 @@ from hearthgrid.session import materialize
 # Each level is four times finer than the one before.
 LEVELS = 5
 # Point pairs that two cells may have to be compared point by point.
-SMALL = 4096
+SMALL = 65_536
 # Rounding slack in metres, far above that of the coordinates: bounds may only err on the safe side.
 SLACK = 1e-6
 

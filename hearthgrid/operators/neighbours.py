@@ -88,9 +88,9 @@ def onto(buildings, features):
     return buildings.df.join(features.drop(*XY), buildings.key, "left")
 
 
-def poi_types(pois):
-    """All POI types of a layer, sorted. Each one becomes two columns, so they are few."""
-    return sorted(r[0] for r in pois.df.select("poi_type").distinct().collect() if r[0] is not None)
+def poi_types(df, column="poi_type"):
+    """All POI types, sorted. Each one becomes two columns, so they are few."""
+    return sorted(r[0] for r in df.select(column).distinct().collect() if r[0] is not None)
 
 
 def poi_places(pois):
@@ -120,16 +120,21 @@ def poi_shape_rows(spots, pois, radius, size=CELL_SIZE):
         .join(kinds, key).selectExpr("place", "kind", "1L AS n", "dist")
 
 
-def poi_by_place(spots, pois, radius, types, size=CELL_SIZE, sides=None):
-    """``count_<type>`` and ``nearest_<type>_dist`` per place that has any POI in range."""
-    rows = near_rows(spots, poi_places(pois), radius, size, sides=sides) if pois.kind == "point" \
-        else poi_shape_rows(spots, pois, radius, size)
+def poi_by_place(spots, pois, radius, types=None, size=CELL_SIZE, sides=None):
+    """The POI types, and ``count_<type>`` and ``nearest_<type>_dist`` per place with any in range."""
+    if pois.kind == "point":
+        objects = poi_places(pois)
+        types = poi_types(objects, "kind") if types is None else types
+        rows = near_rows(spots, objects, radius, size, sides=sides)
+    else:
+        types = poi_types(pois.df) if types is None else types
+        rows = poi_shape_rows(spots, pois, radius, size)
     out = []
     for t in types:
         is_t = F.col("kind") == F.lit(t)
         out.append(F.sum(F.when(is_t, F.col("n")).otherwise(F.lit(0))).alias(f"count_{t}"))
         out.append(F.min(F.when(is_t, F.col("dist"))).alias(f"nearest_{t}_dist"))
-    return rows.groupBy("place").agg(*out) if out else rows.select("place").distinct()
+    return types, rows.groupBy("place").agg(*out) if out else rows.select("place").distinct()
 
 
 def poi_features(buildings, pois, radius=1000.0, types=None, size=CELL_SIZE, sides=None):
@@ -138,9 +143,8 @@ def poi_features(buildings, pois, radius=1000.0, types=None, size=CELL_SIZE, sid
     The count is 0 and the distance null where nothing is in range. ``sides`` searches a regular
     polygon in place of the circle (for point POI).
     """
-    types = poi_types(pois) if types is None else types
     located, spots = with_places(buildings)
-    found = poi_by_place(spots, pois, radius, types, size, sides)
+    types, found = poi_by_place(spots, pois, radius, types, size, sides)
     out = attach(located, at_places(found, spots), XY, spots, buildings.key)
     return onto(buildings, out.fillna(0, [f"count_{t}" for t in types]))
 

@@ -18,15 +18,15 @@ def building_features(buildings, raster, pois, water, roads, areas=None,
     the wide building rows are shuffled for nothing but that.
     """
     buildings = buildings.with_df(buildings.df.drop(LAND_AREA))
-    types = nb.poi_types(pois)
     layer = buildings.projected()
     both = f"inline(array(struct({layer.centroid()} AS c, {layer.inner_point()} AS i)))"
     spots = materialize(layer.df.selectExpr(layer.key, both).selectExpr(
         layer.key, "c.x AS cx", "c.y AS cy", "i.x AS ix", "i.y AS iy"), "located")
 
     centres = nb.places(spots, "cx", "cy")
+    types, by_poi = nb.poi_by_place(centres, pois, poi_radius)
     by_centre = sample_places(centres.select(*nb.PLACE), raster) \
-        .join(nb.poi_by_place(centres, pois, poi_radius, types), "place", "left") \
+        .join(by_poi, "place", "left") \
         .join(nb.road_by_place(centres, roads, road_radius), "place", "left").drop("place")
     inners = nb.places(spots, "ix", "iy")
     by_inner = nb.at_places(nb.water_by_place(inners, water, water_radius), inners)
