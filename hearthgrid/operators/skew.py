@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 CELL = ["gx", "gy"]
 
-# Pair tests one task may be given by one cell before the cell is split.
-PAIR_BUDGET = 50_000_000
+# Pair tests one task may be given by one cell before the cell is split or searched on finer
+# grids: a few seconds of work for points, some more for edges.
+PAIR_BUDGET = 500_000_000
 # At most this many cells are split; that bounds what is broadcast. The rest join unsplit.
 HOT_CELLS = 100_000
 # A hot key holds more than this share of all rows, so there are fewer than 1 / share of them,

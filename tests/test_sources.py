@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 
 from hearthgrid import Layer
 from hearthgrid.operators.columns import by_type
+from hearthgrid.operators.profile import profile_layer
 from hearthgrid.session import scratch_path, shared_folder
 from hearthgrid.sources import geojson, sinks, tables
 from tests import shapes
@@ -71,6 +72,16 @@ def test_poi_folder_takes_types_from_file_names(spark, tmp_path):
     assert moved.srid == 3857 and moved.located().first()["x"] > 100000
 
 
+def test_layers_are_united_in_one_system_and_profiled(spark):
+    schema = "k bigint, poi_type string, g struct<x:double,y:double>"
+    a = Layer(spark.createDataFrame([(1, "shop", shapes.pt(1, 2))], schema), "k", "g", "point", 4326)
+    b = Layer(spark.createDataFrame([(2, "zoo", shapes.pt(111319.49079327358, 0))], schema), "k", "g", "point", 3857)
+    both = geojson.union_poi_layers(a, b)
+    assert both.srid == 4326 and sorted(round(r["x"], 9) for r in both.located().collect()) == [1.0, 1.0]
+    rows = {r["column"]: r for r in profile_layer(both).collect()}
+    assert rows["k"]["n_rows"] == 2 and rows["g"]["srid"] == 4326
+
+
 def test_empty_folders_missing_files_and_broken_features_fail(spark, tmp_path):
     with pytest.raises(PySparkException):
         geojson.read_poi_folder(spark, str(tmp_path))
