@@ -70,3 +70,22 @@ def test_scans_read_only_what_they_need(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double>" in plan
     plan = QUERIES["population_sample"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(o_orderkey,1500)" in plan and "ReadSchema: struct<o_orderkey:bigint>" in plan
+
+
+def test_nearest_joins_cut_down_before_the_shuffle(spark):
+    plan = QUERIES["road_nearest_left"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.split("\n") if "WindowGroupLimit" in line or "Exchange hashpartitioning(building_id" in line]
+    first = next(i for i, line in enumerate(lines) if "Partial" in line)
+    assert any("Exchange" in line for line in lines[:first]) and any("Final" in line for line in lines[:first])
+
+
+def test_searches_share_the_shuffled_places(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES["building_features"](spark, SF)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("ReusedExchange") >= 2
