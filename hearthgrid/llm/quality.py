@@ -42,26 +42,43 @@ def _without(text, characters):
     return text
 
 
-#: Words in windows of three that occur twice or more, counted once each. Windows are compared by
-#: content: equal ones stand together after sorting, each with the place where it begins.
-REPEATED = """
-CASE WHEN size(words) < 4 THEN 0L ELSE
-transform(array(array_sort(transform(sequence(0, size(words) - 3),
-    i -> struct(xxhash64(words[i], words[i + 1], words[i + 2]) AS h, i AS at)))),
-  s -> CAST(size(array_distinct(flatten(transform(
-    filter(transform(s, (x, j) -> CASE
-      WHEN (j > 0 AND s[j - 1].h = x.h AND words[s[j - 1].at] = words[x.at]
-            AND words[s[j - 1].at + 1] = words[x.at + 1] AND words[s[j - 1].at + 2] = words[x.at + 2])
-        OR (j + 1 < size(s) AND s[j + 1].h = x.h AND words[s[j + 1].at] = words[x.at]
-            AND words[s[j + 1].at + 1] = words[x.at + 1] AND words[s[j + 1].at + 2] = words[x.at + 2])
-      THEN x.at END), p -> p IS NOT NULL),
-    p -> array(p, p + 1, p + 2))))) AS BIGINT))[0] END
-"""
+def _let(name, value, body):
+    """``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+_WINDOWS = "sequence(0, size(words) - 3)"
+_COVERED = "CAST(size(array_distinct(flatten(transform({at}, p -> array(p, p + 1, p + 2))))) AS BIGINT)"
+
+#: Sorted by the words themselves, equal windows are neighbours.
+_BY_WORDS = _let(
+    "e", f"array_sort(transform({_WINDOWS}, i -> struct(words[i] AS a, words[i + 1] AS b, words[i + 2] AS c, i AS at)))",
+    _COVERED.format(at="""transform(filter(sequence(0, size(e) - 1), j ->
+        (e[j].a <=> get(e, j + 1).a AND e[j].b <=> get(e, j + 1).b AND e[j].c <=> get(e, j + 1).c)
+        OR (e[j].a <=> get(e, j - 1).a AND e[j].b <=> get(e, j - 1).b AND e[j].c <=> get(e, j - 1).c)), j -> e[j].at)"""))
+
+_CLASH = """exists(f, j -> NOT (
+    words[s[j] & m] = words[s[j + 1] & m] AND words[(s[j] & m) + 1] = words[(s[j + 1] & m) + 1]
+    AND words[(s[j] & m) + 2] = words[(s[j + 1] & m) + 2]))"""
+
+#: Words in windows of three that occur twice or more, counted once each. A text whose windows all hash
+#: differently has none. Otherwise hash and place share a number, so that sorting numbers brings equal
+#: windows together; neighbours with equal hashes are compared by their words, and if any two differ
+#: (a clash, hardly ever) the windows are sorted by their words instead.
+REPEATED = f"""CASE WHEN size(words) < 4 THEN 0L ELSE {_let(
+    "h", f"transform({_WINDOWS}, i -> xxhash64(words[i], words[i + 1], words[i + 2]))",
+    "CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE " + _let(
+        "m", "IF(size(words) <= 1048576, 1048575L, 2147483647L)", _let(
+            "s", "sort_array(transform(h, (x, i) -> (x & ~m) | i))", _let(
+                "f", "filter(sequence(0, size(s) - 2), j -> (s[j] | m) = (s[j + 1] | m))",
+                f"CASE WHEN size(f) = 0 THEN 0L WHEN {_CLASH} THEN {_BY_WORDS} ELSE "
+                + _COVERED.format(at="flatten(transform(f, j -> array(CAST(s[j] & m AS INT), CAST(s[j + 1] & m AS INT))))")
+                + " END"))) + " END")} END"""
 
 
 def measure(docs, key="doc_id", text="text", carry=()):
     """Counts per document: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words, n_repeat_words."""
-    blanks = ["' '", "'\\t'", "'\\n'", "'\\u000B'", "'\\f'", "'\\r'"]
+    blanks = ["' '", "'\\t'", "'\\n'", "'\\u000B'", "'\\u000C'", "'\\r'"]
     symbols = [f"'{c}'" for c in SYMBOLS]
     slim = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *carry)
     kept = [c for c in slim.columns if c != "text"]
@@ -71,12 +88,12 @@ def measure(docs, key="doc_id", text="text", carry=()):
         F.expr(f"octet_length(text) - octet_length({_without('text', symbols)})").cast("long").alias("n_symbols"),
         F.expr(f"filter(split(text, '\\n'), x -> x RLIKE '[^{SPACE}]')").alias("lines"),
         F.expr(f"array_remove(split(text, '[{SPACE}]+'), '')").alias("words"))
-    stop = _literal(sorted(set(STOP_WORDS)))
+    stop = _literal(sorted({form for w in STOP_WORDS for form in (w, w.capitalize(), w.upper())}))
     return split.select(
         *kept, F.expr("CAST(size(words) AS BIGINT)").alias("n_words"), "word_chars", "n_symbols",
         F.expr("CAST(size(lines) AS BIGINT)").alias("n_lines"),
         F.expr("CAST(size(lines) - size(array_distinct(lines)) AS BIGINT)").alias("n_dup_lines"),
-        F.expr(f"CAST(size(filter(words, w -> lower(w) IN ({stop}))) AS BIGINT)").alias("n_stop_words"),
+        F.expr(f"CAST(size(filter(words, w -> w IN ({stop}))) AS BIGINT)").alias("n_stop_words"),
         F.expr(REPEATED).alias("n_repeat_words"))
 
 

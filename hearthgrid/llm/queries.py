@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hearthgrid.llm import byte_bpe, packing, quality, token_counts
+from hearthgrid.llm import byte_bpe, langid, packing, quality, simhash, token_counts, toxicity
 from hearthgrid.llm.common import table
 
 
@@ -15,17 +15,41 @@ def op2_quality_rules(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def _remainder(n):
+    """crc32 of the document id's decimal digits, modulo ``n``."""
+    return F.expr(f"crc32(CAST(doc_id AS STRING)) % {n}")
+
+
+def op3_bitmask_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(_remainder(4) == 2, F.lit(False))
+    filters = langid.learn(docs.filter(~held))
+    return langid.predict(docs, filters).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op5_prefix_byte_bpe(spark, sf_dir):
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"),
                                public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_grammar_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.coalesce(_remainder(5) == 0, F.lit(False))
+    model = toxicity.learn(docs, labels.filter(~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op8_trie_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"),
                                      public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_deletion_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_harmonic_packing, op2_quality_rules, op5_prefix_byte_bpe, op8_trie_token_counts)}
+    op1_harmonic_packing, op2_quality_rules, op3_bitmask_language_id, op5_prefix_byte_bpe,
+    op7_grammar_toxicity, op8_trie_token_counts, op10_deletion_simhash)}
 
 ORACLES = {}
