@@ -32,6 +32,11 @@ THRESHOLDS = [
 ]
 
 
+def stop_forms():
+    """The stop words as they are written within a sentence, at its beginning and in capitals."""
+    return sorted({form for w in STOP_WORDS for form in (w, w.capitalize(), w.upper())})
+
+
 def _literal(words):
     return ", ".join("'" + w.replace("'", "\\'") + "'" for w in words)
 
@@ -88,7 +93,7 @@ def measure(docs, key="doc_id", text="text", carry=()):
         F.expr(f"octet_length(text) - octet_length({_without('text', symbols)})").cast("long").alias("n_symbols"),
         F.expr(f"filter(split(text, '\\n'), x -> x RLIKE '[^{SPACE}]')").alias("lines"),
         F.expr(f"array_remove(split(text, '[{SPACE}]+'), '')").alias("words"))
-    stop = _literal(sorted({form for w in STOP_WORDS for form in (w, w.capitalize(), w.upper())}))
+    stop = _literal(stop_forms())
     return split.select(
         *kept, F.expr("CAST(size(words) AS BIGINT)").alias("n_words"), "word_chars", "n_symbols",
         F.expr("CAST(size(lines) AS BIGINT)").alias("n_lines"),
@@ -113,3 +118,9 @@ def judge(measured, thresholds=THRESHOLDS, least_words=50, repeat_percent=50):
 def quality(docs, thresholds=THRESHOLDS, key="doc_id", text="text"):
     """Counts, rule outcomes and verdict for every document."""
     return judge(measure(docs, key, text), thresholds)
+
+
+def accepted(docs, thresholds=THRESHOLDS, key="doc_id", text="text"):
+    """The rows of ``docs`` that are kept, with all their columns."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return judge(measure(docs, key, text, [whole]), thresholds).filter("kept").select("_row.*")

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hearthgrid.llm import byte_bpe, langid, packing, quality, simhash, token_counts, toxicity
+from hearthgrid.llm import byte_bpe, langid, packing, pivots, quality, sharding, simhash, suffix_dedup, token_counts, toxicity
 from hearthgrid.llm.common import table
 
 
@@ -12,7 +12,45 @@ def op1_harmonic_packing(spark, sf_dir):
 
 
 def op2_quality_rules(spark, sf_dir):
-    return quality.quality(table(spark, sf_dir, "documents"))
+    rules = [f"rule_{r[0]}" for r in quality.THRESHOLDS]
+    return quality.quality(table(spark, sf_dir, "documents")).drop(*rules)
+
+
+def _op2_sql():
+    """The counts by unnesting words and lines, and the same threshold table."""
+    space = r"[\x20\x09-\x0D]+"
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in quality.stop_forms())
+    rules = []
+    for _, ratio, least, most in quality.THRESHOLDS:
+        bounds = [f"{ratio} >= {least}" if least is not None else None, f"{ratio} <= {most}" if most is not None else None]
+        rules.append("coalesce(" + " AND ".join(b for b in bounds if b) + ", false)")
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), split AS (
+  SELECT r, list_filter(regexp_split_to_array(text, '{space}'), x -> x <> '') AS words,
+         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs
+), windows AS (
+  SELECT r, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c
+  FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM split)
+), repeated AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM repeated, (VALUES (0), (1), (2)) AS t(k) GROUP BY r
+), counts AS (
+  SELECT docs.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '{space}', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(len(list_filter(words, w -> w IN ({stop}))) AS BIGINT) AS n_stop_words,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM docs JOIN split USING (r) LEFT JOIN covered USING (r)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+)
+SELECT *, NOT base_failed AND {" AND ".join(rules)} AS kept FROM judged
+"""
 
 
 def _remainder(n):
@@ -27,11 +65,20 @@ def op3_bitmask_language_id(spark, sf_dir):
     return langid.predict(docs, filters).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op4_kd_sharding(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return sharding.shard(docs, {"size": F.octet_length("text"), "chars": F.col("n_chars"), "lang": F.col("lang")})
+
+
 def op5_prefix_byte_bpe(spark, sf_dir):
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"),
                                public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_pivot_permutation(spark, sf_dir):
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_grammar_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = F.coalesce(_remainder(5) == 0, F.lit(False))
@@ -44,12 +91,36 @@ def op8_trie_token_counts(spark, sf_dir):
                                      public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_bwt_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("runs")
+
+
 def op10_deletion_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_harmonic_packing, op2_quality_rules, op3_bitmask_language_id, op5_prefix_byte_bpe,
-    op7_grammar_toxicity, op8_trie_token_counts, op10_deletion_simhash)}
-
-ORACLES = {}
+    op1_harmonic_packing, op2_quality_rules, op3_bitmask_language_id, op4_kd_sharding, op5_prefix_byte_bpe,
+    op6_pivot_permutation, op7_grammar_toxicity, op8_trie_token_counts, op9_bwt_suffix_dedup, op10_deletion_simhash)}
+
+_OP6_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), usable AS (
+  SELECT vec_id, v FROM vectors
+  WHERE v IS NOT NULL AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM vectors UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), component AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), counted AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM component LEFT JOIN counted USING (vec_id)
+"""
+
+ORACLES = {"op2_quality_rules": _op2_sql(), "op6_pivot_permutation": _OP6_SQL}

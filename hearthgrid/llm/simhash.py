@@ -134,3 +134,18 @@ def near_duplicates(docs, length=4, distance=4, key="doc_id", text="text"):
     by_print = named.join(names, "class").select("fp", "component_id")
     return prints.join(by_print, "fp") \
         .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs, length=4, distance=4, key="doc_id", text="text"):
+    """One row of every group of linked documents, the one with the smallest key, with all its columns.
+
+    Of rows with that key in one group the one with the smallest hash stays; a null key comes last.
+    """
+    mark = F.xxhash64(F.col(key), F.col(text))
+    named = F.struct(F.col(key).isNull().alias("late"), F.col(key).alias("name"), mark.alias("mark"))
+    found = near_duplicates(docs.select(named.alias("_named"), F.col(text).alias("_text")), length, distance,
+                            "_named", "_text")
+    first = found.filter("doc_id = component_id").select("doc_id.name", "doc_id.mark").distinct()
+    marked = docs.withColumn("_mark", mark)
+    same = (F.col("_mark") == F.col("mark")) & F.col(key).eqNullSafe(F.col("name"))
+    return marked.join(first, same, "left_semi").dropDuplicates(["_mark", key]).drop("_mark")

@@ -242,3 +242,16 @@ def score(docs, model, key="doc_id", text="text"):
                 names=["doc_id", "score", "predicted"])
 
     return slim.mapInArrow(run, with_key(slim, *fields))
+
+
+def clean(docs, model, text="text", most=0.5):
+    """The rows of ``docs`` whose score is below ``most``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        of = shared.value.scorer()
+        for batch in batches:
+            yield batch.filter(pa.array([of(t) < most for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
