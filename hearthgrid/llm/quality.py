@@ -24,11 +24,11 @@ el los las una y es por con para del se su no al lo
 
 #: (name, ratio, least, most): a null bound does not bind.
 THRESHOLDS = [
-    ("word_length", "CAST(word_chars AS DOUBLE) / n_words", 1.5, 25.0),
-    ("symbols", "CAST(n_symbols AS DOUBLE) / n_words", None, 4.0),
-    ("stop_words", "CAST(n_stop_words AS DOUBLE) / n_words", None, 0.95),
-    ("dup_lines", "CAST(n_dup_lines AS DOUBLE) / n_lines", None, 0.6),
-    ("repeats", "CAST(n_repeat_words AS DOUBLE) / n_words", None, 0.5),
+    ("word_length", "CAST(word_chars AS DOUBLE) / nullif(n_words, 0)", 1.5, 25.0),
+    ("symbols", "CAST(n_symbols AS DOUBLE) / nullif(n_words, 0)", None, 4.0),
+    ("stop_words", "CAST(n_stop_words AS DOUBLE) / nullif(n_words, 0)", None, 0.95),
+    ("dup_lines", "CAST(n_dup_lines AS DOUBLE) / nullif(n_lines, 0)", None, 0.6),
+    ("repeats", "CAST(n_repeat_words AS DOUBLE) / nullif(n_words, 0)", None, 0.5),
 ]
 
 
@@ -85,21 +85,20 @@ def measure(docs, key="doc_id", text="text", carry=()):
     """Counts per document: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words, n_repeat_words."""
     blanks = ["' '", "'\\t'", "'\\n'", "'\\u000B'", "'\\u000C'", "'\\r'"]
     symbols = [f"'{c}'" for c in SYMBOLS]
+    counts = f"""named_struct(
+        'n_words', CAST(size(words) AS BIGINT),
+        'word_chars', CAST(char_length({_without('text', blanks)}) AS BIGINT),
+        'n_symbols', CAST(octet_length(text) - octet_length({_without('text', symbols)}) AS BIGINT),
+        'n_lines', CAST(size(lines) AS BIGINT),
+        'n_dup_lines', CAST(size(lines) - size(array_distinct(lines)) AS BIGINT),
+        'n_stop_words', CAST(size(filter(words, w -> w IN ({_literal(stop_forms())}))) AS BIGINT),
+        'n_repeat_words', {REPEATED})"""
+    lines = f"filter(split(text, '\\n'), x -> x RLIKE '[^{SPACE}]')"
+    # Lambda variables rather than columns: no filter on the counts can make Spark split a text per word.
+    measured = _let("words", f"array_remove(split(text, '[{SPACE}]+'), '')", _let("lines", lines, counts))
     slim = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *carry)
     kept = [c for c in slim.columns if c != "text"]
-    split = slim.select(
-        *kept,
-        F.expr(f"char_length({_without('text', blanks)})").cast("long").alias("word_chars"),
-        F.expr(f"octet_length(text) - octet_length({_without('text', symbols)})").cast("long").alias("n_symbols"),
-        F.expr(f"filter(split(text, '\\n'), x -> x RLIKE '[^{SPACE}]')").alias("lines"),
-        F.expr(f"array_remove(split(text, '[{SPACE}]+'), '')").alias("words"))
-    stop = _literal(stop_forms())
-    return split.select(
-        *kept, F.expr("CAST(size(words) AS BIGINT)").alias("n_words"), "word_chars", "n_symbols",
-        F.expr("CAST(size(lines) AS BIGINT)").alias("n_lines"),
-        F.expr("CAST(size(lines) - size(array_distinct(lines)) AS BIGINT)").alias("n_dup_lines"),
-        F.expr(f"CAST(size(filter(words, w -> w IN ({stop}))) AS BIGINT)").alias("n_stop_words"),
-        F.expr(REPEATED).alias("n_repeat_words"))
+    return slim.select(*kept, F.expr(measured).alias("_counts")).select(*kept, "_counts.*")
 
 
 def judge(measured, thresholds=THRESHOLDS, least_words=50, repeat_percent=50):
@@ -123,4 +122,5 @@ def quality(docs, thresholds=THRESHOLDS, key="doc_id", text="text"):
 def accepted(docs, thresholds=THRESHOLDS, key="doc_id", text="text"):
     """The rows of ``docs`` that are kept, with all their columns."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return judge(measure(docs, key, text, [whole]), thresholds).filter("kept").select("_row.*")
+    judged = judge(measure(docs, key, text, [whole]), thresholds)
+    return judged.select(F.inline(F.expr("IF(kept, array(_row), filter(array(_row), x -> false))")))

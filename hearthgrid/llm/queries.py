@@ -28,8 +28,8 @@ def _op2_sql():
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
 ), split AS (
-  SELECT r, list_filter(regexp_split_to_array(text, '{space}'), x -> x <> '') AS words,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs
+  SELECT r, list_filter(regexp_split_to_array(text, '{space}'), lambda x: x <> '') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs
 ), windows AS (
   SELECT r, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c
   FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM split)
@@ -43,7 +43,7 @@ WITH docs AS (
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) AS BIGINT) AS n_lines,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-    CAST(len(list_filter(words, w -> w IN ({stop}))) AS BIGINT) AS n_stop_words,
+    CAST(len(list_filter(words, lambda w: w IN ({stop}))) AS BIGINT) AS n_stop_words,
     CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM docs JOIN split USING (r) LEFT JOIN covered USING (r)
 ), judged AS (
@@ -108,7 +108,7 @@ WITH RECURSIVE vectors AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
 ), usable AS (
   SELECT vec_id, v FROM vectors
-  WHERE v IS NOT NULL AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, x -> x <> 0)) > 0
+  WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
   WHERE list_cosine_similarity(a.v, b.v) >= 0.9

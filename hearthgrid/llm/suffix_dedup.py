@@ -344,9 +344,11 @@ def cut_repeats(docs, length=200, key="doc_id", text="text", count=None):
 
     A character of which some bytes are cut goes as a whole. Null texts stay null.
     """
-    found = repeated_stretches(keyed_documents(docs, key, text), length).withColumnsRenamed({"doc_id": "_doc"})
-    same = F.col(key).eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(text)) == F.col("tag"))
-    joined = docs.join(found, same, "left").select(*[docs[c] for c in docs.columns], F.col("spans").alias("_spans"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = keyed_documents(docs, key, text)
+    marked = docs.select(whole, F.col(key).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("tag"))
+    found = repeated_stretches(keyed, length).withColumnRenamed("spans", "_spans")
+    joined = with_spans(marked, found).select("row.*", "_spans")
     at, counted = docs.columns.index(text), docs.columns.index(count) if count else None
 
     def cut(batches):

@@ -141,7 +141,7 @@ class Grammar:
         return [math.log1p(s) for s in sums] + most + [math.log1p(sum(sums)), math.log1p(hit)]
 
 
-def lexicon(counted, n_toxic, n_clean, least_evidence=28.0):
+def lexicon(counted, n_toxic, n_clean, least_evidence=33.0):
     """Weights of the terms whose likelihood ratio against chance exceeds ``least_evidence``.
 
     Only terms with evidence come to the driver. There are no more of them than a text's words
@@ -161,14 +161,13 @@ def lexicon(counted, n_toxic, n_clean, least_evidence=28.0):
 
 
 def fit_logistic(x, y, ridge=1.0, rounds=30):
-    """Ridge logistic regression by Newton steps on a bounded sample, both classes weighing the same."""
+    """Ridge logistic regression by Newton steps on a bounded sample."""
     x = np.hstack([np.ones((len(x), 1)), x])
-    weight = np.where(y == 1, 0.5 * len(y) / max(1.0, y.sum()), 0.5 * len(y) / max(1.0, (1 - y).sum()))
     w = np.zeros(x.shape[1])
     keep = np.diag([1e-3] + [ridge] * (x.shape[1] - 1))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + keep, x.T @ (weight * (y - p)) - keep @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (y - p) - keep @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
