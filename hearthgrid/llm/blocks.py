@@ -2,25 +2,27 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from hearthgrid.session import materialize
+
 
 def split_groups(rows, key, spread, limit):
-    """Rows of groups with at least two members, dealt into blocks (key, i, j) of at most about 2 * ``limit``.
+    """``rows`` with part, i and j: the members of a group that share a block (key, i, j) are to be compared.
 
-    A group of more than ``limit`` rows is cut into parts by a hash of the column ``spread``; the pair of parts
-    (i, j) is one block, so any two members meet in exactly one block unless they are in the same
-    part; then they are compared where i = j. ``part`` tells which part a row belongs to.
+    A group of at most ``limit`` rows is one block. A larger one is cut into parts by a hash of the column
+    ``spread``, and every pair of parts is a block of about twice ``limit`` rows: members of different
+    parts meet in one block, members of the same part where i = j. Sizes are counted before the
+    shuffle; only rows of large groups are multiplied.
     """
-    size = F.count("*").over(Window.partitionBy(key))
-    counted = rows.withColumn("_size", size).filter("_size > 1")
-    parts = F.ceil(F.col("_size") / F.lit(limit)).cast("int")
-    own = F.pmod(F.xxhash64(spread), F.greatest(parts, F.lit(1))).cast("int")
-    dealt = counted.withColumns({"_parts": parts, "part": own}) \
+    large = materialize(rows.groupBy(key).agg(F.count("*").alias("_size")).filter(F.col("_size") > limit)
+                        .select(key, F.ceil(F.col("_size") / F.lit(limit)).cast("int").alias("_parts")), "large_groups")
+    zero = F.lit(0)
+    small = rows.join(large, key, "left_anti").withColumns({"part": zero, "i": zero, "j": zero})
+    dealt = rows.join(large, key).withColumn("part", F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int")) \
         .withColumn("_other", F.explode(F.expr("sequence(0, _parts - 1)")))
-    return dealt.withColumns({"i": F.least("part", "_other"), "j": F.greatest("part", "_other")}) \
-        .drop("_size", "_parts", "_other")
+    dealt = dealt.withColumns({"i": F.least("part", "_other"), "j": F.greatest("part", "_other")})
+    return small.unionByName(dealt.drop("_parts", "_other"))
 
 
 def whole_groups(batches, n_keys):

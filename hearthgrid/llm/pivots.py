@@ -132,9 +132,9 @@ def near_duplicates(embeddings, least=0.9, named=8, shared=2, key="vec_id", vect
     classes = materialize(good.groupBy("vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
                           .withColumns({"size": F.size("vector"), "node": F.monotonically_increasing_id()}), "classes")
     fitted = embeddings.sparkSession.sparkContext.broadcast(fit_pivots(classes))
-    described = classes.select("size", "node", "copies", "vector").mapInArrow(
+    described = materialize(classes.select("size", "node", "copies", "vector").mapInArrow(
         _describe(fitted, named),
-        "pivot long, size int, node long, copies long, vector array<double>, names array<int>")
+        "pivot long, size int, node long, copies long, vector array<double>, names array<int>"), "described")
     dealt = split_groups(described, "pivot", "node", limit) \
         .select("pivot", "i", "j", "part", "size", "node", "copies", "vector", "names")
     links = materialize(dealt.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")

@@ -119,7 +119,7 @@ def near_classes(prints, distance=4, limit=4096):
     dealt = split_groups(indexed, "sig", "fp", limit).select("sig", "i", "j", "part", "fp")
     links = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j") \
         .mapInArrow(_verify(distance), "a long, b long")
-    found = connected(links)
+    found = connected(materialize(links, "links"))
     return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", F.coalesce("component", "fp").alias("class"))
 
