@@ -14,6 +14,9 @@ _KIND_TYPES = {"point": ("Point", None), "line": ("LineString", "MultiLineString
 # A whole feature, and what else may stand on a line of a collection with one feature per line.
 _FEATURE_LINE = r'^\{.*"type"\s*:\s*"Feature"\s*[,}]'
 _OTHER_LINE = r'^([\[\]{},\s]*|\{?\s*"(type|name|crs|bbox|features|xy_coordinate_resolution)"\s*:.*)$'
+# Where a collection names its reference system, and the name that stands for degrees.
+_CRS_NAME = r'"crs"\s*:\s*\{.*?"name"\s*:\s*"([^"]*)"'
+_DEGREES = "CRS84"
 
 
 def _nested(levels):
@@ -35,58 +38,90 @@ def geometry_of(raw, kind):
     """Geometry from ``raw.type`` and ``raw.coordinates`` (JSON text), as SQL text.
 
     Lines and polygons come out in their multi-part form, so that single and multi-part features
-    can share a column. Empty coordinates give null.
+    can share a column. Empty coordinates give null; geometry of any other type is an error.
     """
     single, multi = _KIND_TYPES[kind]
     one, many = _LEVELS[single], _LEVELS.get(multi)
     text = f"nullif({raw}.coordinates, '[]')"
     first = _points(f"from_json({text}, '{_nested(one)}')", one)
+    known = f"'{single}'" if multi is None else f"'{single}', '{multi}'"
+    other = (f"WHEN {raw}.type NOT IN ({known}) THEN raise_error(concat("
+             f"'a {kind} layer cannot hold geometry of type ', {raw}.type))")
     if multi is None:
-        return f"CASE WHEN {raw}.type = '{single}' AND {text} IS NOT NULL THEN {first} END"
+        return f"CASE {other} WHEN {text} IS NOT NULL THEN {first} END"
     rest = _points(f"from_json({text}, '{_nested(many)}')", many)
-    return (f"CASE WHEN {text} IS NULL THEN NULL WHEN {raw}.type = '{single}' THEN array({first}) "
-            f"WHEN {raw}.type = '{multi}' THEN {rest} END")
+    return (f"CASE {other} WHEN {text} IS NULL THEN NULL WHEN {raw}.type = '{single}' THEN array({first}) "
+            f"ELSE {rest} END")
 
 
-def _feature_schema(properties):
+def _feature_fields(properties):
     raw = T.StructType([T.StructField("type", T.StringType()),
                         T.StructField("coordinates", T.StringType())])
-    return T.StructType([T.StructField("type", T.StringType()),
-                         T.StructField("properties", properties),
-                         T.StructField("geometry", raw)])
+    return [T.StructField("type", T.StringType()), T.StructField("properties", properties),
+            T.StructField("geometry", raw)]
 
 
-def read_features(spark, paths, properties=None, collection=False):
+def _collection_schema(properties):
+    """A feature, or a collection of features with the name of its reference system."""
+    name = T.StructType([T.StructField("name", T.StringType())])
+    fields = _feature_fields(properties)
+    return T.StructType([*fields, T.StructField("features", T.ArrayType(T.StructType(fields))),
+                         T.StructField("crs", T.StructType([T.StructField("properties", name)]))])
+
+
+def _wrong_system(name, srid):
+    """Whether a reference system's name is there and says anything but ``srid``."""
+    code = F.when(name.endswith(_DEGREES), F.lit("4326")).otherwise(F.regexp_extract(name, r"(\d+)$", 1))
+    return name.isNotNull() & (name != "") & (code != str(srid))
+
+
+def _refuse(text, shown):
+    return F.raise_error(F.concat(F.lit(text), F.left(shown, F.lit(80))))
+
+
+def _file_path():
+    """The file's path as it is written on disk; Spark reports it as part of a URL."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def read_features(spark, paths, properties=None, collection=False, srid=4326):
     """Features as ``properties`` (struct), ``geometry`` (type and coordinate text) and ``file``.
 
     By default each feature stands on a line of its own, so that a large file is split over many
     tasks. That covers newline-delimited GeoJSON and collections written one feature per line, as
-    the common writers do; any other layout is an error. ``collection`` reads a file that is one
-    document, however it is laid out, which takes one task per file. ``properties`` is a struct type; without it the types are inferred by a first pass.
+    the common writers do. A collection on a single line is read as well, by one task; any other
+    layout is an error. ``collection`` reads a file that is one document, however it is laid out,
+    which takes one task per file. A file that names another reference system than ``srid`` is an
+    error. ``properties`` is a struct type; without it the types are inferred by a first pass.
     """
     if properties is None:
         properties = _infer_properties(spark, paths, collection)
-    feature = _feature_schema(properties)
+    whole = _collection_schema(properties)
     if collection:
-        schema = T.StructType([T.StructField("features", T.ArrayType(feature))])
-        rows = spark.read.schema(schema).option("multiLine", True).json(paths) \
-            .select(F.explode("features").alias("f"), F.col("_metadata.file_path").alias("file"))
+        rows = spark.read.schema(whole).option("multiLine", True).json(paths) \
+            .select(F.struct(*[F.col(n) for n in whole.names]).alias("f"), _file_path().alias("file"))
     else:
         # The head and the tail of a collection are not features; the comma after one is cut off.
         # Only features reach the parser, whatever filters end up around it.
         line = F.regexp_replace(F.trim("value"), ",$", "")
-        line = F.when(line.rlike(_FEATURE_LINE), line).when(line.rlike(_OTHER_LINE), F.lit(None)) \
-            .otherwise(F.raise_error(F.concat(F.lit("not one feature per line: "), F.left(line, F.lit(80)))))
-        rows = spark.read.text(paths).select(line.alias("line"), F.col("_metadata.file_path").alias("file")) \
-            .select(F.from_json("line", feature, {"mode": "FAILFAST"}).alias("f"), "file") \
+        named = F.regexp_extract(line, _CRS_NAME, 1)
+        line = F.when(line.rlike(_FEATURE_LINE), line) \
+            .when(line.rlike(_OTHER_LINE), F.when(_wrong_system(named, srid), _refuse("another reference system: ", named))) \
+            .otherwise(_refuse("not one feature per line: ", line))
+        rows = spark.read.text(paths).select(line.alias("line"), _file_path().alias("file")) \
+            .select(F.from_json("line", whole, {"mode": "FAILFAST"}).alias("f"), "file") \
             .filter("f IS NOT NULL")
-    return rows.select("f.properties", "f.geometry", "file")
+    one = F.array(F.struct("f.type", "f.properties", "f.geometry"))
+    name = F.col("f.crs.properties.name")
+    found = F.when(_wrong_system(name, srid), _refuse("another reference system: ", name)) \
+        .when(F.col("f.type") == "Feature", one).when(F.col("f.features").isNotNull(), F.col("f.features")) \
+        .otherwise(_refuse("neither a feature nor a collection: ", F.coalesce("f.type", F.lit("no type"))))
+    return rows.select(F.explode(found).alias("f"), "file").select("f.properties", "f.geometry", "file")
 
 
 def _infer_properties(spark, paths, collection):
-    sample = spark.read.option("multiLine", collection).json(paths)
-    kind = sample.schema
-    if collection:
+    kind = spark.read.option("multiLine", collection).json(paths).schema
+    if "properties" not in kind.names and "features" in kind.names:
         kind = kind["features"].dataType.elementType
     if "properties" not in kind.names or not isinstance(kind["properties"].dataType, T.StructType):
         return T.StructType([])
@@ -95,7 +130,7 @@ def _infer_properties(spark, paths, collection):
 
 def read_geojson(spark, paths, kind, properties=None, geom="geometry", srid=4326, collection=False):
     """Properties as columns plus the geometry column."""
-    rows = read_features(spark, paths, properties, collection)
+    rows = read_features(spark, paths, properties, collection, srid)
     return rows.select("properties.*", F.expr(geometry_of("geometry", kind)).alias(geom))
 
 
@@ -105,18 +140,19 @@ def read_geojson_layer(spark, paths, key, kind, properties=None, geom="geometry"
     return Layer(df, key, geom, kind, srid)
 
 
-def read_poi_folder(spark, folder, key="poi_id", properties=None, srid=4326, target=4326):
+def read_poi_folder(spark, folder, key="poi_id", properties=None, srid=4326, target=4326, kind="point",
+                    collection=False):
     """All POI files of a folder as one layer; the type of a POI is the stem of its file's name.
 
     A file may itself be a folder of parts, as Spark writes it. An empty folder is an error, and so
-    is a file that cannot be parsed.
+    is a file that cannot be parsed or holds other geometry than ``kind``.
     """
-    rows = read_features(spark, f"{folder.rstrip('/')}/*.geojson", properties)
+    rows = read_features(spark, f"{folder.rstrip('/')}/*.geojson", properties, collection, srid)
     named = F.regexp_replace("file", r"/part-[^/]*$", "")
     layers = rows.withColumn("file", named).select(
         "properties.*", F.expr(file_stem("file")).alias("poi_type"),
-        F.expr(geometry_of("geometry", "point")).alias("geometry"))
-    return Layer(layers, key, "geometry", "point", srid).to_srid(target)
+        F.expr(geometry_of("geometry", kind)).alias("geometry"))
+    return Layer(layers, key, "geometry", kind, srid).to_srid(target)
 
 
 def union_poi_layers(*layers):
