@@ -19,8 +19,15 @@ GEOMETRY = "geometry"
 MISSING_LABEL = "MISSING"
 TARGET_QUANTILE = 0.99
 
-AGE_BANDS = ["0_4", "5_9", "10_14", "15_19", "20_24", "25_29", "30_34", "35_39",
-             "40_44", "45_49", "50_54", "55_59", "60_64", "65_69", "more_70"]
+# Identifier and sex-age counts that would give the target away.
+LEAK_COLUMNS = [
+    "GlobalID", "count_w_all", "count_w_0_4", "count_w_5_9", "count_w_10_14", "count_w_15_19",
+    "count_w_20_24", "count_w_25_29", "count_w_30_34", "count_w_35_39", "count_w_40_44",
+    "count_w_45_49", "count_w_50_54", "count_w_55_59", "count_w_60_64", "count_w_65_69",
+    "count_w_more_70", "count_m_all", "count_m_0_4", "count_m_5_9", "count_m_10_14",
+    "count_m_15_19", "count_m_20_24", "count_m_25_29", "count_m_30_34", "count_m_35_39",
+    "count_m_40_44", "count_m_45_49", "count_m_50_54", "count_m_55_59", "count_m_60_64",
+    "count_m_65_69", "count_m_more_70"]
 
 AREA_COLUMNS = ["FNAME", "Eng_Name", "OBJECTID"]
 ROAD_WIDTH = "FWIDTH"
@@ -47,9 +54,3 @@ LASSO_PATH_RATIO = 1e-3
 
 HEX_COLUMNS = 100
 # ------------------------------------------------------------------------------
-
-
-def leak_columns():
-    """Identifier and sex-age counts that would give the target away."""
-    counts = [f"count_{sex}_{band}" for sex in ("w", "m") for band in ["all"] + AGE_BANDS]
-    return ["GlobalID"] + counts

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthgrid.config import GEOMETRY, MISSING_LABEL, TARGET, TARGET_QUANTILE, leak_columns
+from hearthgrid.config import GEOMETRY, LEAK_COLUMNS, MISSING_LABEL, TARGET, TARGET_QUANTILE
 from hearthgrid.functions.sql import num
 from hearthgrid.layer import require_columns
 from hearthgrid.session import materialize
@@ -14,7 +14,7 @@ from hearthgrid.session import materialize
 
 def drop_leaks(df):
     """Without the identifier and sex-age counts; the ones that are absent are ignored."""
-    return df.drop(*leak_columns())
+    return df.drop(*LEAK_COLUMNS)
 
 
 def drop_required(df, names):
@@ -32,33 +32,56 @@ def measured(column):
     return f"{column} IS NOT NULL AND NOT isnan({column})"
 
 
-# Rank error of the first, approximate look at a quantile, as one part in so many.
-_RANKS = 1_000_000
+# Rank error of each approximate look at a quantile, as one part in so many, and the number of
+# values that are few enough to be ranked in one task.
+_RANKS = 10_000
+_FEW = 100_000
 
 
-def exact_quantile(df, column=TARGET, q=TARGET_QUANTILE):
+def exact_quantile(df, column=TARGET, q=TARGET_QUANTILE, few=_FEW):
     """One row ``quantile``: the linearly interpolated quantile of the measured values.
 
-    An approximate quantile with a guaranteed rank error brackets the answer. Only the values in
-    the bracket, a few millionths of a large table, are then ranked exactly.
+    A coarse approximate quantile brackets the answer, and counts tell which part of the bracket the
+    two values around the wanted rank are in. Round by round the open interval shrinks, until
+    it is narrow enough to be ranked or a repeated value is the answer.
     """
     values = df.selectExpr(f"CAST({column} AS DOUBLE) AS v").filter(measured("v"))
     n = values.count()
+    spark = df.sparkSession
     if n == 0:
-        return df.sparkSession.sql("SELECT CAST(NULL AS DOUBLE) AS quantile")
+        return spark.sql("SELECT CAST(NULL AS DOUBLE) AS quantile")
     rank = q * (n - 1)
-    margin = 2.0 / _RANKS + 2.0 / n
-    ends = f"array({num(max(0.0, q - margin))}, {num(min(1.0, q + margin))})"
-    low, high = values.agg(F.expr(f"percentile_approx(v, {ends}, {_RANKS})")).first()[0]
-    below = values.filter(F.col("v") < low).count()
-    running = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = values.filter(F.col("v").between(low, high)) \
-        .groupBy("v").agg(F.count(F.lit(1)).alias("n")) \
-        .select("v", (F.sum("n").over(running) + F.lit(below)).alias("upto"))
-    lower = math.floor(rank)
-    return ranked.agg(F.expr(f"min(v) FILTER (WHERE upto > {lower}) AS a"),
-                      F.expr(f"min(v) FILTER (WHERE upto > {lower + 1}) AS b")) \
-        .selectExpr(f"if(b IS NULL OR a = b, a, a + {num(rank - lower)} * (b - a)) AS quantile")
+    first = math.floor(rank)
+    a, b = _values_at(values, first, min(first + 1, n - 1), n, few)
+    found = a if a == b else a + (rank - first) * (b - a)
+    return spark.createDataFrame([(found,)], "quantile double")
+
+
+def _values_at(values, a, b, n, few):
+    """The values at the neighbouring ranks ``a`` and ``b`` (from 0)."""
+    inside, below = values, 0
+    while n > few:
+        q, margin = (a - below) / max(1, n - 1), 2.0 / _RANKS + 2.0 / n
+        ends = f"array({num(max(0.0, q - margin))}, {num(min(1.0, q + margin))})"
+        low, high = inside.agg(F.expr(f"percentile_approx(v, {ends}, {_RANKS})")).first()[0]
+        low, high = (num(v) if math.isfinite(v) else f"double('{v}')" for v in (low, high))
+        zones = [f"v < {low}", f"v = {low}", f"v > {low} AND v < {high}", f"v = {high} AND v > {low}", f"v > {high}"]
+        row = inside.agg(*[F.expr(f"count_if({z})") for z in zones],
+                         *[F.expr(f"{end}(v) FILTER (WHERE {z})") for z in zones for end in ("min", "max")]).first()
+        starts = [below + sum(row[:k]) for k in range(6)]
+        of_a, of_b = (max(k for k in range(5) if starts[k] <= r and row[k]) for r in (a, b))
+        if of_a != of_b:
+            return row[5 + 2 * of_a + 1], row[5 + 2 * of_b]
+        if of_a in (1, 3):
+            return row[5 + 2 * of_a], row[5 + 2 * of_a]
+        inside, below, n = inside.filter(zones[of_a]), starts[of_a], row[of_a]
+    rows = inside.groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()  # ``few`` at most
+    out, upto = [], below
+    for r in rows:
+        upto += r.n
+        out += [r.v] * (len(out) == 0 and a < upto)
+        if b < upto:
+            return out[0], r.v
 
 
 def at_most_quantile(df, column=TARGET, q=TARGET_QUANTILE):
@@ -119,12 +142,18 @@ NUMBER = r"^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$"
 INFINITE = r"^[+-]?(inf|infinity)$"
 
 
+def _trimmed(c):
+    """Without white space of any kind at either end."""
+    return rf"trim(BOTH ' \t\n\r\u000B\u000C' FROM {c})"
+
+
 def _is_number(c):
-    return (f"(trim({c}) = '' OR trim({c}) RLIKE '{NUMBER}' OR lower(trim({c})) RLIKE '{INFINITE}')")
+    t = _trimmed(c)
+    return f"({t} = '' OR {t} RLIKE '{NUMBER}' OR lower({t}) RLIKE '{INFINITE}')"
 
 
 def _to_double(c):
-    text = f"lower(trim({c}))"
+    text = f"lower({_trimmed(c)})"
     return (f"CASE WHEN {text} RLIKE '{INFINITE}' "
             f"THEN if({text} LIKE '-%', -double('Infinity'), double('Infinity')) "
             f"ELSE try_cast(nullif({text}, '') AS DOUBLE) END")
@@ -142,7 +171,7 @@ def column_kinds(df, skip=(GEOMETRY,)):
     facts = []
     for i, c in enumerate(names):
         q = f"`{c}`"
-        whole = rf"trim({q}) RLIKE '^[+-]?\\d+$' AND try_cast(trim({q}) AS BIGINT) IS NOT NULL"
+        whole = rf"{_trimmed(q)} RLIKE '^[+-]?\\d+$' AND try_cast({_trimmed(q)} AS BIGINT) IS NOT NULL"
         facts += [f"count_if({q} IS NOT NULL AND NOT {_is_number(q)}) AS text_{i}",
                   f"count_if({q} IS NULL OR NOT ({whole})) AS loose_{i}"]
     row = df.agg(*[F.expr(f) for f in facts]).first()
@@ -159,7 +188,7 @@ def to_numeric(df, kinds):
         q = f"`{f.name}`"
         kind = kinds.get(f.name)
         if kind == "bigint":
-            out.append(f"CAST(trim({q}) AS BIGINT) AS {q}")
+            out.append(f"CAST({_trimmed(q)} AS BIGINT) AS {q}")
         elif kind == "double":
             out.append(f"{_to_double(q)} AS {q}")
         elif isinstance(f.dataType, T.BooleanType):
@@ -169,6 +198,10 @@ def to_numeric(df, kinds):
     return df.selectExpr(*out)
 
 
+# Labels in a dictionary that is sent to every task: some ten megabytes at most.
+SMALL_DICTIONARY = 100_000
+
+
 def label_dictionary(df, columns, missing=MISSING_LABEL):
     """Codes for all label columns, as ``column, label, code``: from 0, in sorted label order.
 
@@ -194,15 +227,37 @@ def label_dictionary(df, columns, missing=MISSING_LABEL):
         .select("column", "label", (F.col("rank") - F.col("first")).alias("code"))
 
 
-def encode_labels(df, columns, dictionary, missing=MISSING_LABEL):
-    """Replace label columns by their codes. Small dictionaries are broadcast by Spark itself."""
-    out = df
-    for c in columns:
-        codes = dictionary.filter(F.col("column") == c) \
-            .select(F.col("label").alias("_label"), F.col("code").alias("_code"))
-        out = out.withColumn("_label", F.coalesce(F.col(c), F.lit(missing))) \
-            .join(codes, "_label", "left").withColumn(c, F.col("_code")).drop("_label", "_code")
-    return out.select(*df.columns)
+def encode_labels(df, columns, dictionary, missing=MISSING_LABEL, small=SMALL_DICTIONARY):
+    """Replace label columns by their codes.
+
+    A dictionary of at most ``small`` labels is sent to every task, one lookup per column and no shuffle.
+    A larger one is joined once for all columns: the labels are unpivoted with a row number, joined
+    by column and label, and put back together by row. Missing labels are answered without a
+    join, so that they are no hot key, and the other columns of the table stay out of it.
+    """
+    dictionary = materialize(dictionary, "codes")
+    blank = {r["column"]: r["code"] for r in dictionary.filter(F.col("label") == missing).collect()}  # one per column
+    if dictionary.count() <= small:
+        out = df
+        for c in columns:
+            codes = dictionary.filter(F.col("column") == c) \
+                .select(F.col("label").alias("_label"), F.col("code").alias("_code"))
+            out = out.withColumn("_label", F.coalesce(F.col(c), F.lit(missing))) \
+                .join(F.broadcast(codes), "_label", "left").withColumn(c, F.col("_code")).drop("_label", "_code")
+        return out.select(*df.columns)
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "labelled")
+    pairs = ", ".join(f"{i}, `{c}`" for i, c in enumerate(columns))
+    numbers = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
+    codes = dictionary.select(numbers[F.col("column")].alias("_column"), F.col("label").alias("_label"), "code")
+    found = rows.selectExpr("_row", f"stack({len(columns)}, {pairs}) AS (_column, _label)") \
+        .filter(F.col("_label").isNotNull() & (F.col("_label") != missing)) \
+        .join(codes, ["_column", "_label"]).groupBy("_row") \
+        .agg(*[F.max(F.when(F.col("_column") == i, F.col("code"))).alias(f"_code_{i}") for i in range(len(columns))])
+    coded = rows.join(found, "_row", "left")
+    place = {c: i for i, c in enumerate(columns)}
+    return coded.select(*[
+        F.coalesce(F.col(f"_code_{place[c]}"), F.lit(blank.get(c)).cast("bigint")).alias(c) if c in place else F.col(f"`{c}`")
+        for c in df.columns])
 
 
 def label_preview(dictionary, n=5):

@@ -17,7 +17,10 @@ def clean_attributes(df, skip=(GEOMETRY,), quantile=None, target=TARGET):
     out = c.to_numeric(kept, kinds)
     if labels:
         out = c.encode_labels(out, labels, c.label_dictionary(out, labels))
-    return out if quantile is None else c.at_most_quantile(out, target, quantile)
+    if quantile is None:
+        return out
+    limit = c.exact_quantile(kept, target, quantile).scalar()  # before the joins, which its passes can do without
+    return out.filter(F.expr(c.measured(f"CAST({target} AS DOUBLE)")) & (F.col(target) <= limit))
 
 
 def target_report(df, target=TARGET, quantile=TARGET_QUANTILE):

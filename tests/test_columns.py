@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from hearthgrid.config import leak_columns
+from hearthgrid.config import LEAK_COLUMNS
 from hearthgrid.operators import columns as c
 from hearthgrid.operators import metrics as m
 from hearthgrid.operators import prep
@@ -85,8 +85,8 @@ def test_cleaning_keeps_the_filter_off_unless_asked(spark):
 
 
 def test_leak_columns_are_the_identifier_and_the_counts():
-    assert len(leak_columns()) == 33 and len(set(leak_columns())) == 33
-    assert "count_w_more_70" in leak_columns() and "count_m_all" in leak_columns()
+    assert len(LEAK_COLUMNS) == 33 and len(set(LEAK_COLUMNS)) == 33
+    assert "count_w_more_70" in LEAK_COLUMNS and "count_m_all" in LEAK_COLUMNS
 
 
 def test_non_finite_values_become_zero(spark):
@@ -167,3 +167,42 @@ def test_file_stem_cuts_folders_and_the_last_suffix(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string")
     got = [tuple(r) for r in df.orderBy("i").selectExpr(pf.file_stem("p"), pf.parent_folder("p")).collect()]
     assert got == [("c", "b"), ("c.tar", ""), ("noext", "x"), ("shop name", "dir")]
+
+
+def test_white_space_of_any_kind_is_trimmed(spark):
+    df = spark.createDataFrame([("5\t", " 7\n"), (" 8", "\r9.5"), ("\x0b1\x0c", "2")], "a string, b string")
+    kinds = c.column_kinds(df)
+    assert kinds == {"a": "bigint", "b": "double"}
+    assert [tuple(r) for r in c.to_numeric(df, kinds).collect()] == [(5, 7.0), (8, 9.5), (1, 2.0)]
+
+
+@pytest.mark.parametrize("values", [
+    [float(i % 7) for i in range(3000)], [1.0] * 1500 + [2.0] * 1500, [float(i) ** 3 for i in range(3001)],
+    [float("nan"), None, 5.0], [0.0] * 2999 + [1e300], [float("-inf")] + [1.5] * 10 + [float("inf")] * 3])
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.9, 0.99, 1.0])
+def test_quantile_in_rounds(spark, values, q):
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    kept = sorted(v for v in values if v is not None and v == v)
+    at = q * (len(kept) - 1)
+    low, high = kept[int(at)], kept[min(int(at) + 1, len(kept) - 1)]
+    expected = low if low == high else low + (at - int(at)) * (high - low)
+    for few in (100_000, 1):
+        got = c.exact_quantile(df, "v", q, few).first()[0]
+        assert got == pytest.approx(expected, nan_ok=True)
+
+
+def test_both_ways_of_encoding_give_the_same(spark):
+    rows = [(i, None if i % 5 == 0 else f"x{i % 13}", "MISSING" if i % 4 == 0 else f"{i % 3}y", i * 1.5) for i in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, a string, b string, v double").repartition(4)
+    codes = c.label_dictionary(df, ["a", "b"])
+    small = c.encode_labels(df, ["a", "b"], codes)
+    large = c.encode_labels(df, ["a", "b"], codes, small=0)
+    assert small.schema.simpleString() == large.schema.simpleString()
+    assert sorted(small.collect()) == sorted(large.collect()) and large.filter("a IS NULL OR b IS NULL").isEmpty()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = c.encode_labels(df, ["a", "b"], codes, small=0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("SortMergeJoin [_column") == 1
