@@ -9,6 +9,7 @@ from hearthgrid.layer import require_columns
 from hearthgrid.models import estimators as est
 from hearthgrid.models.lasso import choose_penalty
 from hearthgrid.models.registry import ModelRegistry, params_hash_expr
+from hearthgrid.models.registry import params_hash as params_hash_of
 from hearthgrid.operators import areas as ar
 from hearthgrid.operators import columns as c
 from hearthgrid.operators import metrics as m
@@ -61,9 +62,10 @@ INF = "CAST('Infinity' AS DOUBLE)"
 # --- sources and sinks ----------------------------------------------------------------
 
 
-@query("scan_feature_table", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+@query("scan_feature_table", "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate) FROM orders")
 def scan_feature_table(spark, sf):
-    return tables.read_table(spark, f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
+    df = tables.read_table(spark, f"{sf}/orders.parquet")
+    return df.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
 
 @query("scan_geojson", "SELECT building_id, round(lon, 9) AS lon, round(lat, 9) AS lat FROM fx_buildings",
@@ -75,6 +77,31 @@ def scan_geojson(spark, sf):
     return rounded(read.located(names=("lon", "lat")), 9, "lon", "lat")
 
 
+@query("scan_geojson_collection",
+       "SELECT building_id, round(lon, 9) AS lon, round(lat, 9) AS lat FROM fx_buildings", ["fx_buildings"])
+def scan_geojson_collection(spark, sf):
+    """Collections of a hundred features on a line each."""
+    path, layer = scratch_path(spark, "collections"), fx.building_points(spark, sf)
+    lines = geojson.to_features(layer).withColumn("k", F.get_json_object("value", "$.properties.building_id").cast("long"))
+    body = F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list("value"), ", "), F.lit("]}"))
+    lines.groupBy(F.expr("k DIV 100")).agg(body.alias("value")).select("value").write.text(path)
+    read = geojson.read_geojson_layer(spark, path, "building_id", "point")
+    return rounded(read.located(names=("lon", "lat")), 9, "lon", "lat")
+
+
+ODD_NAMES = {"high": "bus stop", "low": "v1.2", "medium": "Shop", "not_specified": "shop", "urgent": "100%+"}
+ODD_SQL = "CASE poi_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ODD_NAMES.items()) + " END"
+
+
+@query("scan_poi_odd_names", f"SELECT poi_id, {ODD_SQL} AS poi_type FROM fx_pois", ["fx_pois"])
+def scan_poi_odd_names(spark, sf):
+    folder, pois = scratch_path(spark, "odd"), fx.pois(spark, sf)
+    for kind, name in ODD_NAMES.items():
+        one = c.by_type(pois, kind)
+        geojson.write_geojson(one.with_df(one.df.drop("poi_type")), f"{folder}/{name}.geojson")
+    return geojson.read_poi_folder(spark, folder).df.select("poi_id", "poi_type")
+
+
 @query("scan_poi_dir", "SELECT poi_id, poi_type, round(lon, 9) AS lon, round(lat, 9) AS lat FROM fx_pois",
        ["fx_pois"])
 def scan_poi_dir(spark, sf):
@@ -86,10 +113,10 @@ def scan_poi_dir(spark, sf):
     return rounded(read.located("poi_type", names=("lon", "lat")), 9, "lon", "lat")
 
 
-@query("scan_layer", "SELECT c_custkey, c_name, c_nationkey FROM customer")
+@query("scan_layer", "SELECT * FROM customer")
 def scan_layer(spark, sf):
     df = tables.read_table(spark, f"{sf}/customer.parquet")
-    return require_columns(df, ["c_custkey", "c_name", "c_nationkey"]).select("c_custkey", "c_name", "c_nationkey")
+    return require_columns(df, ["c_custkey", "c_name", "c_nationkey"])
 
 
 @query("scan_raster", "SELECT row_idx, col_idx, value FROM fx_pixels", ["fx_pixels"])
@@ -321,7 +348,7 @@ def point_in_polygon(spark, sf):
 
 
 _R = {k: f"CAST({v} AS DOUBLE)" for k, v in
-      {"x0": 119.6, "y0": 30.4, "dx": 0.2 / 50, "dy": 0.2 / 40}.items()}
+      fx.RASTER.items() if k != "nodata"}
 PIXEL = (f"CAST(floor(({_R['y0']} - lat) / {_R['dy']}) AS BIGINT)", f"CAST(floor((lon - {_R['x0']}) / {_R['dx']}) AS BIGINT)")
 
 
@@ -349,6 +376,15 @@ def poi_in_area(spark, sf):
 SELECT p.building_id, a.objectid AS "area_OBJECTID", a.fname AS "area_FNAME", a.eng_name AS "area_Eng_Name"
 FROM fx_buildings p LEFT JOIN fx_areas a ON {IN_AREA}""", ["fx_buildings", "fx_areas"])
 def building_area_left(spark, sf):
+    """Footprints: their centroids are taken in a UTM zone."""
+    return ar.area_features(fx.buildings(spark, sf), fx.areas(spark, sf)).drop("footprint")
+
+
+ORACLES["building_area_left_points"] = ORACLES["building_area_left"]
+
+
+@query("building_area_left_points")
+def building_area_left_points(spark, sf):
     return ar.area_features(fx.building_points(spark, sf), fx.areas(spark, sf)).drop("spot")
 
 
@@ -467,6 +503,33 @@ def poi_features_wide(spark, sf):
     return rounded(out.drop("footprint"), 3, *POI_DISTS)
 
 
+# The same answers by the search for crowded cells, which a budget of one test per cell sends everything to.
+ORACLES["poi_features_crowded"] = ORACLES["poi_features_wide"]
+
+
+@query("poi_features_crowded")
+def poi_features_crowded(spark, sf):
+    out = nb.poi_features(fx.buildings(spark, sf), fx.pois(spark, sf), config.POI_RADIUS, budget=1)
+    return rounded(out.drop("footprint"), 3, *POI_DISTS)
+
+
+ODD_DISTS = [f"nearest_{n}_dist" for n in nb.poi_names(sorted(ODD_NAMES.values())).values()]
+ODD_COLUMNS = ", ".join(
+    f'count_{k} AS "count_{n}", nearest_{k}_dist AS "nearest_{n}_dist"' for k, n in
+    ((k, nb.poi_names(sorted(ODD_NAMES.values()))[v]) for k, v in ODD_NAMES.items()))
+
+
+@query("poi_features_odd_types", f"""{NEAR_POIS}
+SELECT building_id, {ODD_COLUMNS} FROM (
+  SELECT b.building_id, {POI_COLUMNS} FROM fx_buildings b LEFT JOIN poi_wide p ON b.building_id = p.building_id) wide""",
+       ["fx_buildings", "fx_pois"])
+def poi_features_odd_types(spark, sf):
+    pois = fx.pois(spark, sf)
+    odd = pois.with_df(pois.df.withColumn("poi_type", F.expr(ODD_SQL)))
+    out = nb.poi_features(fx.buildings(spark, sf), odd, config.POI_RADIUS).drop("footprint")
+    return out.withColumns({d: F.round(F.col(f"`{d}`"), 3) for d in ODD_DISTS})
+
+
 _FAR = "greatest(abs(w.xmin - a.x), abs(w.xmax - a.x))", "greatest(abs(w.ymin - a.y), abs(w.ymax - a.y))"
 
 
@@ -510,6 +573,15 @@ def water_features(spark, sf):
     return rounded(out.drop("footprint"), 3, "nearest_water_dist")
 
 
+ORACLES["water_features_crowded"] = ORACLES["water_features"]
+
+
+@query("water_features_crowded")
+def water_features_crowded(spark, sf):
+    out = nb.water_features(fx.buildings(spark, sf), fx.water(spark, sf), budget=1)
+    return rounded(out.drop("footprint"), 3, "nearest_water_dist")
+
+
 ROADS_BY_BUILDING = f"""{NEAR_ROADS}
 , road_counts AS (SELECT building_id, count(DISTINCT road_id) AS n, min(dist) AS dist FROM near GROUP BY building_id),
 tie_counts AS (SELECT building_id, count(*) AS n FROM tied GROUP BY building_id)"""
@@ -526,6 +598,16 @@ def road_features_as_computed(spark, sf):
                               "nearest_road_dist"), 3, "nearest_road_dist")
 
 
+ORACLES["road_features_crowded"] = ORACLES["road_features_as_computed"]
+
+
+@query("road_features_crowded")
+def road_features_crowded(spark, sf):
+    out = nb.road_features(fx.buildings(spark, sf), fx.roads(spark, sf), budget=1)
+    return rounded(out.select("building_id", F.col("count_roads_tied").alias("count_roads"),
+                              "nearest_road_dist"), 3, "nearest_road_dist")
+
+
 @query("road_features_in_radius", f"""{ROADS_BY_BUILDING}
 SELECT b.building_id, coalesce(r.n, 0) AS count_roads FROM fx_buildings b {ROAD_JOINS}""", ["fx_buildings", "fx_roads"])
 def road_features_in_radius(spark, sf):
@@ -600,7 +682,8 @@ def plot_bounds(spark, sf):
     return m.plot_bounds(fx.view(spark, sf, "fx_predictions"))
 
 
-PROFILED = [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_mktsegment", "string")]
+PROFILED = [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"),
+            ("c_mktsegment", "string")]
 
 
 @query("layer_profile", " UNION ALL ".join(f"""
@@ -608,7 +691,7 @@ SELECT CAST({i} AS INTEGER) AS position, '{n}' AS "column", '{t}' AS type, count
        CAST(min({n}) AS VARCHAR) AS smallest, CAST(max({n}) AS VARCHAR) AS largest FROM customer"""
        for i, (n, t) in enumerate(PROFILED)))
 def layer_profile(spark, sf):
-    return pf.layer_profile(fx.table(spark, sf, "customer").select(*[n for n, _ in PROFILED]))
+    return pf.layer_profile(fx.table(spark, sf, "customer"))
 
 
 # --- sort, limit, set operations ---------------------------------------------------------------
@@ -710,16 +793,24 @@ def prepared(spark, sf, features=None):
     return est.prepare(df, stages, "id"), features
 
 
-@query("linear_regression", f"""{CLEANED}
-SELECT 'f_lines' AS feature, round(regr_slope(y, f_lines), 6) AS slope, round(regr_intercept(y, f_lines), 6) AS intercept,
-       round(regr_r2(y, f_lines), 6) AS r2 FROM cleaned""", ["fx_features"])
+def _two_sql(x1, x2):
+    """Least squares on two columns of ``cleaned`` by the normal equations: b1, b2, b0 and r2."""
+    return f""", m AS (SELECT avg(y) AS my, avg({x1}) AS m1, avg({x2}) AS m2, var_pop({x1}) AS v1, var_pop({x2}) AS v2, var_pop(y) AS vy,
+  covar_pop({x1}, {x2}) AS c12, covar_pop({x1}, y) AS c1y, covar_pop({x2}, y) AS c2y FROM cleaned),
+w AS (SELECT *, (c1y * v2 - c2y * c12) / (v1 * v2 - c12 * c12) AS b1, (c2y * v1 - c1y * c12) / (v1 * v2 - c12 * c12) AS b2 FROM m),
+fit AS (SELECT b1, b2, my - b1 * m1 - b2 * m2 AS b0, my, sqrt(v1) AS s1, sqrt(v2) AS s2, (b1 * c1y + b2 * c2y) / vy AS r2 FROM w)"""
+
+
+@query("linear_regression", f"""{CLEANED}{_two_sql("f_lines", "f_price")}
+SELECT 'f_lines' AS feature, round(b1, 6) AS slope, round(b0, 6) AS intercept, round(r2, 6) AS r2 FROM fit
+UNION ALL SELECT 'f_price', round(b2, 6), round(b0, 6), round(r2, 6) FROM fit""", ["fx_features"])
 def linear_regression(spark, sf):
     df = c.clean_non_finite(training_table(spark, sf), FEATURES)
     model = est.create_model("linear_regression").fit(
-        df.selectExpr("CAST(peopleCount AS DOUBLE) AS peopleCount", "array(f_lines) AS a").selectExpr(
-            "peopleCount", "a").transform(_vectors))
-    row = [("f_lines", float(model.coefficients[0]), float(model.intercept), float(model.summary.r2))]
-    return rounded(spark.createDataFrame(row, "feature string, slope double, intercept double, r2 double"),
+        df.selectExpr("CAST(peopleCount AS DOUBLE) AS peopleCount", "array(f_lines, f_price) AS a").transform(_vectors))
+    rows = [(f, float(b), float(model.intercept), float(model.summary.r2))
+            for f, b in zip(("f_lines", "f_price"), model.coefficients)]
+    return rounded(spark.createDataFrame(rows, "feature string, slope double, intercept double, r2 double"),
                    6, "slope", "intercept", "r2")
 
 
@@ -728,11 +819,12 @@ def _vectors(df):
     return df.withColumn("features", array_to_vector("a"))
 
 
-@query("coefficients", f"""{CLEANED}, s AS (SELECT y, (f_qty - avg(f_qty) OVER ()) / stddev_pop(f_qty) OVER () AS z FROM cleaned)
-SELECT 'linear_regression' AS model, 'f_qty' AS feature, round(regr_slope(y, z), 6) AS coefficient FROM s
-UNION ALL SELECT 'linear_regression', '(intercept)', round(regr_intercept(y, z), 6) FROM s""", ["fx_features"])
+@query("coefficients", f"""{CLEANED}{_two_sql("f_qty", "f_noise")}
+SELECT 'linear_regression' AS model, 'f_qty' AS feature, round(b1 * s1, 6) AS coefficient FROM fit
+UNION ALL SELECT 'linear_regression', 'f_noise', round(b2 * s2, 6) FROM fit
+UNION ALL SELECT 'linear_regression', '(intercept)', round(my, 6) FROM fit""", ["fx_features"])
 def coefficients(spark, sf):
-    rows, names = prepared(spark, sf, ["f_qty"])
+    rows, names = prepared(spark, sf, ["f_qty", "f_noise"])
     model = est.fit_model("linear_regression", rows)
     return rounded(est.coefficients(model, names, "linear_regression"), 6, "coefficient")
 
@@ -745,25 +837,19 @@ def lasso_cv(spark, sf):
     return table.withColumn("chosen", F.col("alpha") == alpha)
 
 
-_REGISTRY_ROOTS = {}
-
-
 def _registry(spark):
-    """One registry per application, so that queries on the same data share their models."""
-    app = spark.sparkContext.applicationId
-    if app not in _REGISTRY_ROOTS:
-        _REGISTRY_ROOTS[app] = scratch_path(spark, "registry")
-    return ModelRegistry(spark, _REGISTRY_ROOTS[app])
+    """A registry of its own for every query, so that no result depends on what ran before."""
+    return ModelRegistry(spark, scratch_path(spark, "registry"))
 
 
-def _trained(spark, sf, *names):
+def _trained(spark, sf, registry, *names):
     df = training_table(spark, sf)
-    return df, train_models(df, "id", _registry(spark), names)
+    return df, train_models(df, "id", registry, names)
 
 
 def _scored(name):
     def run(spark, sf):
-        df, models = _trained(spark, sf, name)
+        df, models = _trained(spark, sf, _registry(spark), name)
         return score_models(models, df, "id")
     return run
 
@@ -782,20 +868,37 @@ def grid_search(spark, sf):
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    df, models = _trained(spark, sf, "random_forest")
+    df, models = _trained(spark, sf, _registry(spark), "random_forest")
     return est.importances(models["random_forest"].stages[-1], c.feature_names(df.drop("id")), "random_forest")
 
 
-@query("model_metadata")
+def _asked_hash(name):
+    asked = {"search": False, "n_alphas": config.LASSO_ALPHAS, "test_size": config.TEST_SIZE, "seed": config.SEED,
+             "grid": config.MODEL_GRIDS.get(name)}
+    return params_hash_of(asked)
+
+
+SAVED = [("lasso", "LinearRegressionModel"), ("linear_regression", "LinearRegressionModel")]
+
+
+@query("model_metadata", " UNION ALL ".join(
+    f"SELECT '{n}' AS model_name, '{t}' AS model_type, '{_asked_hash(n)}' AS params_hash" for n, t in SAVED))
 def model_metadata(spark, sf):
-    _trained(spark, sf, "linear_regression", "lasso")
-    return _registry(spark).metadata()
+    registry = _registry(spark)
+    _trained(spark, sf, registry, *[n for n, _ in SAVED])
+    return registry.metadata().select("model_name", "model_type", "params_hash")
 
 
-@query("latest_model")
+@query("latest_model", " UNION ALL ".join(f"SELECT '{n}' AS model_name, true AS loads" for n, _ in SAVED))
 def latest_model(spark, sf):
-    _trained(spark, sf, "linear_regression", "lasso")
-    return _registry(spark).latest()
+    """Trained twice: the newer model of each name, and whether its path is the newest row's."""
+    registry = _registry(spark)
+    df, names = training_table(spark, sf), [n for n, _ in SAVED]
+    for seed in (0, 1):
+        train_models(df, "id", registry, names, seed=seed)
+    newest = registry.metadata().groupBy("model_name").agg(F.max("saved_time").alias("saved_time"))
+    paths = registry.metadata().join(newest, ["model_name", "saved_time"]).select("model_name", F.col("path").alias("newest"))
+    return registry.latest().join(paths, "model_name").select("model_name", (F.col("path") == F.col("newest")).alias("loads"))
 
 
 @query("model_leaderboard")

@@ -48,14 +48,15 @@ SELECT CAST(100 + r_regionkey AS BIGINT), r_name, lower(r_name), CAST(119.6 AS D
        CAST(30.2 AS DOUBLE) + CAST(r_regionkey AS DOUBLE) * CAST(0.04 AS DOUBLE), CAST(30.22 AS DOUBLE) + CAST(r_regionkey AS DOUBLE) * CAST(0.04 AS DOUBLE)
 FROM region""",
     "fx_pixels": """
-SELECT CAST(floor(CAST(o_orderkey AS DOUBLE) / CAST(50 AS DOUBLE)) AS BIGINT) AS row_idx, CAST(o_orderkey % 50 AS BIGINT) AS col_idx,
+SELECT CAST(floor(CAST(o_orderkey AS DOUBLE) / CAST(400 AS DOUBLE)) AS BIGINT) AS row_idx, CAST(o_orderkey % 400 AS BIGINT) AS col_idx,
        CASE WHEN o_orderkey % 11 = 0 THEN CAST(-99999 AS DOUBLE) ELSE CAST((o_orderkey * 31) % 1000 AS DOUBLE) / CAST(8 AS DOUBLE) END AS value
-FROM orders WHERE o_orderkey < 1500""",
+FROM orders a""",
     "fx_attributes": """
 SELECT p_partkey AS id, (p_partkey * 7919) % 1938 AS peopleCount, CAST(p_partkey AS STRING) AS GlobalID, p_size AS count_w_all,
        CAST(p_size AS STRING) AS t_int,
        CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_size AS STRING) END AS t_int_null,
-       CASE WHEN p_partkey % 9 = 0 THEN '' ELSE CAST(p_size AS STRING) END AS t_blank,
+       CASE WHEN p_partkey % 9 = 0 THEN '' WHEN p_partkey % 4 = 0 THEN concat(chr(9), CAST(p_size AS STRING), chr(10))
+            ELSE CAST(p_size AS STRING) END AS t_blank,
        CASE WHEN p_partkey % 50 = 0 THEN 'n/a' ELSE CAST(p_size AS STRING) END AS t_mixed,
        CASE WHEN p_partkey % 50 = 0 THEN '1d' ELSE CAST(p_size AS STRING) END AS t_suffix,
        CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN 'MISSING' ELSE p_brand END AS t_label,
@@ -78,7 +79,7 @@ SELECT 'm2' AS model, id, CAST(peopleCount AS DOUBLE) AS y_true, CAST(peopleCoun
 NEEDS = {"fx_predictions": ["fx_features"]}
 
 # Affine of fx_pixels.
-RASTER = {"x0": 119.6, "y0": 30.4, "dx": 0.2 / 50, "dy": 0.2 / 40, "nodata": -99999.0}
+RASTER = {"x0": 119.6, "y0": 30.4, "dx": 0.2 / 400, "dy": 0.2 / 150, "nodata": -99999.0}
 
 
 def with_clause(*names):

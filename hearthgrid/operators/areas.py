@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from hearthgrid.config import AREA_COLUMNS
 from hearthgrid.functions import crs
+from hearthgrid.functions.sql import num
 from hearthgrid.layer import require_columns, require_same_srid
 from hearthgrid.operators.spatial_join import polygons_at
 
@@ -11,18 +12,41 @@ from hearthgrid.operators.spatial_join import polygons_at
 _CUTS = 8
 
 
-def area_cell_size(areas):
-    """Cell size from the average outline, so that an average area covers a handful of cells."""
+def _side(areas):
+    """Longer side of a polygon's outline, as SQL text."""
     xs, ys = (f"transform(flatten(flatten({areas.multi()})), q -> q.{v})" for v in "xy")
-    side = f"greatest(array_max({xs}) - array_min({xs}), array_max({ys}) - array_min({ys}))"
-    mean = areas.df.agg(F.expr(f"avg({side})")).first()[0]
-    return mean / _CUTS if mean else 1.0
+    return f"greatest(array_max({xs}) - array_min({xs}), array_max({ys}) - array_min({ys}))"
+
+
+def size_classes(areas):
+    """The areas in layers of similar outlines, as (cell size, layer).
+
+    The cells of the first class are an eighth of the average outline; every further class has
+    outlines and cells four times as large. So no area covers more than a bounded number of cells,
+    and there are only as many classes as the largest outline has powers of four over the average.
+    """
+    mean = areas.df.agg(F.expr(f"avg({_side(areas)})")).first()[0]
+    if not mean:
+        return [(1.0, areas)]
+    step = f"CAST(greatest(0D, ceil(ln({_side(areas)} / {num(2.0 * mean)}) / ln(4D))) AS INT)"
+    classed = areas.df.withColumn("_class", F.expr(f"coalesce({step}, 0)"))
+    used = sorted(r[0] for r in classed.select("_class").distinct().collect())
+    return [(mean / _CUTS * 4.0**k, areas.with_df(classed.filter(F.col("_class") == k).drop("_class"))) for k in used]
+
+
+def areas_at(spots, query_key, areas):
+    """The containing areas of each point, class by class."""
+    found = [polygons_at(spots, query_key, layer, size=size) for size, layer in size_classes(areas)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def points_in_areas(points, areas):
     """Inner join: a point in k overlapping areas comes k times; only its own columns are kept."""
     points, areas = require_same_srid(points, areas)
-    hits = polygons_at(points.located(), [points.key], areas, size=area_cell_size(areas))
+    hits = areas_at(points.located(), [points.key], areas)
     return points.df.join(hits.select(points.key), points.key)
 
 
@@ -38,9 +62,19 @@ def layer_bounds(df, x="x", y="y"):
                   F.min(y).alias("y_min"), F.max(y).alias("y_max"))
 
 
+def layer_extent(layer):
+    """Extent of a layer over all its vertices as one row."""
+    if layer.kind == "point":
+        return layer_bounds(layer.located())
+    levels = "flatten({})" if layer.kind == "line" else "flatten(flatten({}))"
+    vertices = levels.format(layer.multi())
+    ends = [f"{f}(array_{f}(transform({vertices}, q -> q.{v}))) AS {v}_{f}" for v in "xy" for f in ("min", "max")]
+    return layer.df.agg(*[F.expr(e) for e in ends])
+
+
 def layer_utm(layer):
     """UTM system of a layer: the zone of the middle of its extent."""
-    box = layer_bounds(layer.located(srid=4326))
+    box = layer_extent(layer.to_srid(4326))
     middle = crs.utm_srid("(x_min + x_max) / 2D", "(y_min + y_max) / 2D")
     return box.selectExpr(f"{middle} AS srid").first()[0]
 
@@ -60,7 +94,7 @@ def area_features(buildings, areas):
         x, y = crs.reproject_xy("x", "y", utm, areas.srid)
         spots = buildings.located(srid=utm) \
             .selectExpr(buildings.key, f"inline(array(struct({x}, {y}))) AS (x, y)")
-    hits = polygons_at(spots, [buildings.key], areas, size=area_cell_size(areas))
+    hits = areas_at(spots, [buildings.key], areas)
     names = rename_areas(areas.df.withColumn("_area", F.col(areas.key)).select("_area", *AREA_COLUMNS))
     tagged = hits.select(buildings.key, F.col(areas.key).alias("_area"))
     return buildings.df.join(tagged, buildings.key, "left").join(names, "_area", "left").drop("_area")

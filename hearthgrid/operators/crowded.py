@@ -7,7 +7,8 @@ sides are therefore compared cell by cell, on finer and finer grids:
 * two cells wholly out of reach are dropped;
 * for the nearest distance only cells that may hold something closer than the best cell are kept.
 
-What is left undecided is compared point by point as soon as it is few enough. The answer is exact.
+What is left undecided is compared point by point as soon as it is few enough, and the search ends with
+the level on which nothing else is left. The answer is exact.
 """
 
 from pyspark.sql import Window
@@ -18,8 +19,9 @@ from hearthgrid.functions.sql import num
 from hearthgrid.operators.cells import covered_centres, finite, spread_edges
 from hearthgrid.session import materialize
 
-# Each level is four times finer than the one before.
-LEVELS = 5
+# Each level is four times finer than the one before. On the last one a cell of a kilometre has become a
+# micrometre: the places and POI in it are one each, and any radius has a level below it.
+LEVELS = 15
 # Point pairs that two cells may have to be compared point by point.
 SMALL = 65_536
 # Rounding slack in metres, far above that of the coordinates: bounds may only err on the safe side.
@@ -186,9 +188,7 @@ def crowded_polygon_counts(queries, edges, key, radius, size, small=SMALL):
     shares its side of it with its whole cell. So the polygons that cover the centre of its cell
     are counted once per cell, and from the outlines within range only those of other polygons.
     """
-    first = next(k for k in range(LEVELS + 1) if size / 4**k * 2**0.5 < radius or k == LEVELS)
-    if size / 4**first * 2**0.5 >= radius:
-        raise ValueError("the cells are too large for this radius")
+    first = next(k for k in range(LEVELS + 1) if size / 4**k * 2**0.5 < radius)
     q = _fine(queries, "x", "y", size)
     cells = _query_cells(q, first).select("qx", "qy")
     covers = covered_centres(edges, key, size / 4**first) \

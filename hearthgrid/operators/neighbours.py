@@ -12,7 +12,7 @@ from hearthgrid.config import ROAD_RADIUS, ROAD_WIDTH, WATER_CENTRE_MARGIN, WATE
 from hearthgrid.layer import require_columns
 from hearthgrid.operators.cells import CELL, explode_edges, spread_edges, with_cell
 from hearthgrid.operators.crowded import crowded_edge_rows, crowded_polygon_counts, crowded_rows
-from hearthgrid.operators.skew import HOT_CELLS, PAIR_BUDGET, attach, hot_cells
+from hearthgrid.operators.skew import PAIR_BUDGET, attach, hot_cells, written
 from hearthgrid.operators.spatial_join import CELL_SIZE, edges_within, points_within, polygons_at
 from hearthgrid.session import materialize
 
@@ -56,16 +56,15 @@ def near_rows(spots, objects, radius, size=CELL_SIZE, budget=PAIR_BUDGET, sides=
 
 def by_crowding(celled, hot):
     """The places outside and inside the hot cells; the latter None if there are no such cells."""
-    if not hot:
+    if hot is None:
         return celled.drop(*CELL), None
-    hot = celled.sparkSession.createDataFrame([tuple(r)[:2] for r in hot], "gx bigint, gy bigint")
-    # At most HOT_CELLS rows of two numbers.
-    return (celled.join(F.broadcast(hot), CELL, "left_anti").drop(*CELL),
-            celled.join(F.broadcast(hot), CELL, "left_semi").drop(*CELL))
+    hot = hot.select(*CELL)
+    return (celled.join(hot, CELL, "left_anti").drop(*CELL),
+            celled.join(hot, CELL, "left_semi").drop(*CELL))
 
 
 def crowded_cells(celled, objects, radius, size, budget):
-    """Cells with more than ``budget`` pair tests, the most crowded first, at most ``HOT_CELLS``."""
+    """Cells with more than ``budget`` pair tests, written out; None if there are none."""
     steps = int(radius // size) + 1
     around = f"explode(sequence({-steps}, {steps}))"
     held = with_cell(objects, "ox", "oy", size).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"))
@@ -74,8 +73,7 @@ def crowded_cells(celled, objects, radius, size, budget):
         .selectExpr("n", "gx", "gy + sy AS gy").groupBy(*CELL).agg(F.sum("n").alias("n"))
     asked = celled.groupBy(*CELL).agg(F.count(F.lit(1)).alias("q"))
     tests = F.col("q").cast("double") * F.col("n")
-    return asked.join(reach, CELL).filter(tests > F.lit(float(budget))) \
-        .orderBy(tests.desc()).limit(HOT_CELLS).select(*CELL).collect()
+    return written(asked.join(reach, CELL).filter(tests > F.lit(float(budget))).select(*CELL))
 
 
 def at_places(features, spots):
@@ -120,33 +118,59 @@ def poi_shape_rows(spots, pois, radius, size=CELL_SIZE):
         .join(kinds, key).selectExpr("place", "kind", "1L AS n", "dist")
 
 
-def poi_by_place(spots, pois, radius, types=None, size=CELL_SIZE, sides=None):
-    """The POI types, and ``count_<type>`` and ``nearest_<type>_dist`` per place with any in range."""
+def poi_names(types):
+    """A name to use in columns for every type. Types that differ by case only are numbered in sort order,
+    since column names do not tell them apart: ``Shop`` and ``shop`` become ``Shop`` and ``shop_2``."""
+    names, taken = {}, set()
+    for t in types:
+        name, n = t, 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{t}_{n}"
+        taken.add(name.lower())
+        names[t] = name
+    return names
+
+
+def fill_counts(df, names):
+    """0 for the counts of places that had nothing in range."""
+    counts = [f"count_{n}" for n in names]
+    return df.withColumns({c: F.coalesce(F.col(_quoted(c)), F.lit(0)) for c in counts}) if counts else df
+
+
+def _quoted(column):
+    return "`" + column.replace("`", "``") + "`"
+
+
+def poi_by_place(spots, pois, radius, types=None, size=CELL_SIZE, sides=None, budget=PAIR_BUDGET):
+    """The POI types' names, and ``count_<name>`` and ``nearest_<name>_dist`` per place with any in range."""
     if pois.kind == "point":
         objects = poi_places(pois)
         types = poi_types(objects, "kind") if types is None else types
-        rows = near_rows(spots, objects, radius, size, sides=sides)
+        rows = near_rows(spots, objects, radius, size, budget, sides)
+    elif sides is not None:
+        raise ValueError("a polygon search region is for point POI only")
     else:
         types = poi_types(pois.df) if types is None else types
         rows = poi_shape_rows(spots, pois, radius, size)
-    out = []
-    for t in types:
+    out, names = [], poi_names(types)
+    for t, name in names.items():
         is_t = F.col("kind") == F.lit(t)
-        out.append(F.sum(F.when(is_t, F.col("n")).otherwise(F.lit(0))).alias(f"count_{t}"))
-        out.append(F.min(F.when(is_t, F.col("dist"))).alias(f"nearest_{t}_dist"))
-    return types, rows.groupBy("place").agg(*out) if out else rows.select("place").distinct()
+        out.append(F.sum(F.when(is_t, F.col("n")).otherwise(F.lit(0))).alias(f"count_{name}"))
+        out.append(F.min(F.when(is_t, F.col("dist"))).alias(f"nearest_{name}_dist"))
+    return list(names.values()), rows.groupBy("place").agg(*out) if out else rows.select("place").distinct()
 
 
-def poi_features(buildings, pois, radius=1000.0, types=None, size=CELL_SIZE, sides=None):
+def poi_features(buildings, pois, radius=1000.0, types=None, size=CELL_SIZE, sides=None, budget=PAIR_BUDGET):
     """Buildings with a count and a nearest distance for each POI type.
 
     The count is 0 and the distance null where nothing is in range. ``sides`` searches a regular
-    polygon in place of the circle (for point POI).
+    polygon in place of the circle; for POI that are lines or polygons that is an error.
     """
     located, spots = with_places(buildings)
-    types, found = poi_by_place(spots, pois, radius, types, size, sides)
+    names, found = poi_by_place(spots, pois, radius, types, size, sides, budget)
     out = attach(located, at_places(found, spots), XY, spots, buildings.key)
-    return onto(buildings, out.fillna(0, [f"count_{t}" for t in types]))
+    return onto(buildings, fill_counts(out, names))
 
 
 def water_by_place(spots, water, radius, size=CELL_SIZE, budget=PAIR_BUDGET):
@@ -157,7 +181,9 @@ def water_by_place(spots, water, radius, size=CELL_SIZE, budget=PAIR_BUDGET):
 
 
 def water_counts(spots, layer, radius, size=CELL_SIZE, budget=PAIR_BUDGET):
-    """Shapes around or within the radius of each place that has any."""
+    """Shapes around or within the radius of each place that has any; a radius below 10 micrometres is an error."""
+    if radius < 1e-5:
+        raise ValueError("the radius is too small")
     edges = explode_edges(layer)
     celled = with_cell(spots.select(*PLACE), "x", "y", size)
     cold, crowd = by_crowding(celled, hot_cells(celled, spread_edges(edges, radius, size), budget))
@@ -178,11 +204,11 @@ def water_centre_distance(spots, layer, radius, size=CELL_SIZE, budget=PAIR_BUDG
     return rows.groupBy("place").agg(F.min("dist").alias("nearest_water_dist"))
 
 
-def water_features(buildings, water, radius=WATER_RADIUS, size=CELL_SIZE):
+def water_features(buildings, water, radius=WATER_RADIUS, size=CELL_SIZE, budget=PAIR_BUDGET):
     """Buildings with the number of water shapes within the radius of a point inside the building,
     and the distance to the nearest water centre (infinity if none)."""
     located, spots = with_places(buildings, inner=True)
-    found = at_places(water_by_place(spots, water, radius, size), spots)
+    found = at_places(water_by_place(spots, water, radius, size, budget), spots)
     out = attach(located, found, XY, spots, buildings.key)
     return onto(buildings, fill_water(out))
 
@@ -241,10 +267,10 @@ def fill_roads(df):
         "nearest_road_dist", F.coalesce(F.col("nearest_road_dist"), F.lit(INFINITY)))
 
 
-def road_features(buildings, roads, radius=ROAD_RADIUS, size=CELL_SIZE):
+def road_features(buildings, roads, radius=ROAD_RADIUS, size=CELL_SIZE, budget=PAIR_BUDGET):
     """Buildings with ``count_roads`` (roads in range), ``count_roads_tied`` (rows a nearest join
     gives, hence 1 when there is none) and ``nearest_road_dist``."""
     located, spots = with_places(buildings)
-    found = at_places(road_by_place(spots, roads, radius, size), spots)
+    found = at_places(road_by_place(spots, roads, radius, size, budget), spots)
     out = attach(located, found, XY, spots, buildings.key)
     return onto(buildings, fill_roads(out))

@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from hearthgrid.session import materialize
+
 CELL = ["gx", "gy"]
 
 # Pair tests one task may be given by one cell before the cell is split or searched on finer
 # grids: a few seconds of work for points, some more for edges.
 PAIR_BUDGET = 500_000_000
-# At most this many cells are split; that bounds what is broadcast. The rest join unsplit.
-HOT_CELLS = 100_000
 # A hot key holds more than this share of all rows, so there are fewer than 1 / share of them,
 # whatever the size of the data.
 HOT_KEY_SHARE = 1e-3
@@ -25,23 +25,27 @@ def cell_loads(points, pieces):
 
 
 def hot_cells(points, pieces, budget=PAIR_BUDGET):
-    """The most crowded cells and the number of parts to split each into, at most ``HOT_CELLS``."""
-    parts = F.least(F.lit(1024.0), F.ceil(F.col("tests") / F.lit(float(budget))))
-    return cell_loads(points, pieces).filter(F.col("tests") > F.lit(float(budget))) \
-        .orderBy(F.desc("tests")).limit(HOT_CELLS) \
-        .select(*CELL, parts.cast("int").alias("parts")).collect()
+    """The crowded cells and the number of parts to split each into, written out; None if there are none."""
+    parts = F.ceil(F.col("tests") / F.lit(float(budget))).cast("int")
+    return written(cell_loads(points, pieces).filter(F.col("tests") > F.lit(float(budget)))
+                   .select(*CELL, parts.alias("parts")))
+
+
+def written(hot):
+    hot = materialize(hot, "hot_cells")
+    return None if hot.isEmpty() else hot
 
 
 def join_cells(points, pieces, point_xy, budget=PAIR_BUDGET):
     """Inner join on ``(gx, gy)``; crowded cells are split over several tasks.
 
     The points of a crowded cell are dealt out by a hash of ``point_xy`` and its pieces repeated
-    for every part, so each pair still meets exactly once.
+    for every part, so each pair still meets exactly once. There may be any number of crowded
+    cells: whether their table is broadcast is left to Spark, which sees its size.
     """
     hot = hot_cells(points, pieces, budget)
-    if not hot:
+    if hot is None:
         return points.join(pieces, CELL)
-    hot = F.broadcast(points.sparkSession.createDataFrame(hot, "gx bigint, gy bigint, parts int"))
     parts = F.coalesce(F.col("parts"), F.lit(1))
     part = F.pmod(F.xxhash64(*point_xy), parts)
     points = points.join(hot, CELL, "left").withColumn("part", part.cast("int")).drop("parts")

@@ -24,7 +24,7 @@ def building_features(buildings, raster, pois, water, roads, areas=None,
         layer.key, "c.x AS cx", "c.y AS cy", "i.x AS ix", "i.y AS iy"), "located")
 
     centres = nb.places(spots, "cx", "cy")
-    types, by_poi = nb.poi_by_place(centres, pois, poi_radius)
+    names, by_poi = nb.poi_by_place(centres, pois, poi_radius)
     by_centre = sample_places(centres.select(*nb.PLACE), raster) \
         .join(by_poi, "place", "left") \
         .join(nb.road_by_place(centres, roads, road_radius), "place", "left").drop("place")
@@ -36,8 +36,7 @@ def building_features(buildings, raster, pois, water, roads, areas=None,
                  centres.withColumnsRenamed(centre), layer.key)
     out = attach(out, by_inner.withColumnsRenamed(inner), ["ix", "iy"],
                  inners.withColumnsRenamed(inner), layer.key)
-    out = out.drop("cx", "cy", "ix", "iy").fillna(0, [f"count_{t}" for t in types]) \
-        .fillna({"population": 0.0})
+    out = nb.fill_counts(out.drop("cx", "cy", "ix", "iy"), names).fillna(0.0, ["population"])
     out = buildings.df.join(nb.fill_roads(nb.fill_water(out)), buildings.key, "left")
     if areas is None:
         return out

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthgrid import Layer
-from hearthgrid.operators import cells, crowded, skew
+from hearthgrid.operators import areas, cells, crowded, skew
 from hearthgrid.operators import neighbours as nb
 from hearthgrid.operators import spatial_join as sj
 from tests import shapes
@@ -98,7 +98,7 @@ def test_crowded_cells_are_split_without_losing_or_repeating_pairs(spark):
     a = spots(spark, [(rng.gauss(5, 1), rng.gauss(5, 1)) for _ in range(300)])
     b = spark.createDataFrame([(i, rng.gauss(5, 1), rng.gauss(5, 1)) for i in range(300)], "pid bigint, ox double, oy double")
     left, right = cells.with_cell(a, "x", "y", 10.0), cells.spread_points(b, "ox", "oy", 2.0, 10.0)
-    assert skew.hot_cells(left, right, 1000)[0]["parts"] > 1
+    assert skew.hot_cells(left, right, 1000).first()["parts"] > 1
     split = skew.join_cells(left, right, ["x", "y"], 1000).select("qid", "pid")
     plain = left.join(right, ["gx", "gy"]).select("qid", "pid")
     assert sorted(split.collect()) == sorted(plain.collect())
@@ -223,3 +223,30 @@ def test_nearest_left_keeps_ties_and_unmatched(spark):
     got = sorted((r["qid"], r["rid"], r["dist"]) for r in found.filter("rid IS NOT NULL").collect())
     assert got == [(0, 0, 10.0), (0, 1, 10.0), (1, 0, 1.0)]
     assert [r["qid"] for r in found.filter("rid IS NULL").collect()] == [2]
+
+
+def test_one_huge_area_does_not_fill_the_grid(spark):
+    """Cell rows stay linear in the outlines when one area is a thousand times as wide as the others."""
+    small = [[[shapes.ring([(x, y), (x + 0.03, y), (x + 0.03, y + 0.03), (x, y + 0.03)])]]
+             for x in [i * 0.05 for i in range(50)] for y in [i * 0.05 for i in range(40)]]
+    polys = small + [[[shapes.ring([(-10, -10), (10, -10), (10, 10), (-10, 10)])]]]
+    lay = Layer(spark.createDataFrame(list(enumerate(polys)), POLYGON), "id", "geom", "polygon", 4326)
+    rows = 0
+    for size, one in areas.size_classes(lay):
+        edges = cells.explode_edges(one)
+        rows += cells.spread_edges(edges, 0.0, size).count() + cells.covered_centres(edges, "id", size).count()
+    assert rows < 100 * len(polys)
+    where = spots(spark, [(0.01, 0.01), (1.0, 5.0), (50.0, 0.0), (0.04, 0.04)])
+    got = sorted((r["qid"], r["id"]) for r in areas.areas_at(where, ["qid"], lay).collect())
+    assert got == [(0, 0), (0, 2000), (1, 2000), (3, 2000)]
+
+
+def test_any_radius_is_searched_in_crowded_cells(spark):
+    rng = shapes.rng(21)
+    polys = [shapes.polygon(rng, 30.0) for _ in range(10)]
+    lay = Layer(spark.createDataFrame(list(enumerate(polys)), POLYGON), "id", "geom", "polygon", 3857)
+    where = nb.places(spots(spark, [(rng.uniform(-40, 40), rng.uniform(-40, 40)) for _ in range(50)]))
+    plain = {r["place"]: r["count_water"] for r in nb.water_counts(where, lay, 1.0, 50.0).collect()}
+    assert plain == {r["place"]: r["count_water"] for r in nb.water_counts(where, lay, 1.0, 50.0, 0.5).collect()}
+    with pytest.raises(ValueError, match="radius"):
+        nb.water_counts(where, lay, 0.0)
