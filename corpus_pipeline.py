@@ -34,7 +34,7 @@ def cut_repeated_passages(spark, docs, sf_dir):
 
 def pack_sequences(spark, docs, sf_dir):
     """Pieces of at most 4096 tokens, placed into sequences."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remember=False)
 
 
 STAGES = [

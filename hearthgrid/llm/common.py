@@ -43,3 +43,10 @@ class Memory(dict):
                 self.older = dict(self)
                 self.clear()
             self[word] = found
+
+
+def slices(batches, rows=1024):
+    """The batches in pieces of at most ``rows`` rows, so that few texts at a time exist as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthgrid.llm.common import Memory, keyed_text, with_key
+from hearthgrid.llm.common import Memory, keyed_text, slices, with_key
 from hearthgrid.session import materialize
 
 FAN_IN = 256
@@ -115,10 +115,12 @@ def _sequences(level, worker):
     return itertools.count((level << 52) | (worker << 32))
 
 
-def pack(docs, tokenizer_path, capacity=4096, end_id=2, key="doc_id", text="text", with_ids=False):
+def pack(docs, tokenizer_path, capacity=4096, end_id=2, key="doc_id", text="text", with_ids=False, remember=True):
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids].
 
-    ``ids_crc32`` is the checksum of the piece's ids as little-endian unsigned 32-bit numbers.
+    ``ids_crc32`` is the checksum of the piece's ids as little-endian unsigned 32-bit numbers. Workers
+    ``remember`` the ids of words from one partition to the next; where packing is one step among
+    others, they had better free that memory.
     """
     slim = keyed_text(docs, key, text)
     fields = [("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()),
@@ -135,7 +137,7 @@ def pack(docs, tokenizer_path, capacity=4096, end_id=2, key="doc_id", text="text
         tokenizer, number, waiting = tokenizer_for(tokenizer_path), _sequences(0, worker), {}
         end = int(end_id).to_bytes(4, "little")
         arrow = None
-        for batch in batches:
+        for batch in slices(batches):
             done = []
             arrow = arrow or pa.schema([batch.schema.field(0), *_arrow_fields(with_ids)])
             for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -153,6 +155,8 @@ def pack(docs, tokenizer_path, capacity=4096, end_id=2, key="doc_id", text="text
             if done:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*done), arrow)], schema=arrow)
+        if not remember:
+            _TOKENIZERS.clear()
         rest = [row for group in waiting.values() for row in group]
         if rest:
             yield pa.RecordBatch.from_arrays(

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthgrid.llm.blocks import shifts, split_groups, whole_groups
-from hearthgrid.llm.common import keyed_text, with_key
+from hearthgrid.llm.common import keyed_text, slices, with_key
 from hearthgrid.llm.components import Trees, connected
 from hearthgrid.session import materialize
 
@@ -53,7 +53,7 @@ def fingerprints(docs, length=4, key="doc_id", text="text"):
     slim = keyed_text(docs, key, text)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [fingerprint(t, length) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 

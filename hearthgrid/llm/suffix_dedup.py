@@ -27,11 +27,11 @@ from pyspark.sql import types as T
 from hearthgrid.llm import anchors as A
 from hearthgrid.llm.blocks import whole_groups
 from hearthgrid.llm.bwt import equal_windows
-from hearthgrid.llm.common import keyed_text, with_key
+from hearthgrid.llm.common import keyed_text, slices, with_key
 from hearthgrid.session import materialize
 
 KINDS = 2048
-BATCH = 1 << 20
+BATCH = 1 << 19
 HELD = 500_000
 
 
@@ -73,7 +73,7 @@ def _anchor_rows(length):
 
     def run(batches):
         held, ids, tags, n, seen = [], [], [], 0, 0
-        for batch in batches:
+        for batch in slices(batches):
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             ids.append(batch.column(0))
             tags.append(batch.column(2).to_numpy())
@@ -177,7 +177,7 @@ def _settled(rows, chosen, h, start, end, ranks):
 def _bytes_of(batches):
     """The bytes of the open rows of each document: one row (h, hot, doc_id, tag, start, bytes) per open row."""
     names = ["h", "hot", "doc_id", "tag", "start", "bytes"]
-    for batch in batches:
+    for batch in slices(batches):
         out, ids = [], []
         rows = zip(batch.column("text").to_pylist(), batch.column("tag").to_pylist(), batch.column("open").to_pylist())
         for i, (text, tag, cases) in enumerate(rows):
@@ -322,7 +322,7 @@ def remove_repeats(docs, length=200, key="doc_id", text="text", kinds=KINDS):
               ("kept_sha256", T.StringType()), ("runs", runs_type)]
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for content, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = (content or "").encode()
@@ -352,7 +352,7 @@ def cut_repeats(docs, length=200, key="doc_id", text="text", count=None):
     at, counted = docs.columns.index(text), docs.columns.index(count) if count else None
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for content, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 if content is not None and spans:

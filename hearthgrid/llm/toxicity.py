@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthgrid.llm.common import Memory, keyed_text, with_key
+from hearthgrid.llm.common import Memory, keyed_text, slices, with_key
 
 # Words of the classes that the transducers know without learning.
 INSULTS = """idiot idiots moron morons stupid pathetic worthless disgusting scum trash loser losers clown
@@ -71,8 +71,8 @@ def word_table(docs, labels, text="text", label="toxic"):
             counts[1].clear()
             return out
 
-        known = Memory(features_of)
-        for batch in batches:
+        known = Memory(features_of, limit=50_000)
+        for batch in slices(batches):
             for y, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts[1 if y else 0].update({t for w in set(WORD.findall((content or "").lower())) for t in known[w]})
                 if len(counts[0]) + len(counts[1]) > 1_000_000:
@@ -90,8 +90,8 @@ class Grammar:
         self.weights = weights
         self.fixed = {w: (c, 0.0) for c, words in (
             ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in words}
-        self.classes = Memory(self._class)
-        self.chunks = Memory(self._abusive)
+        self.classes = Memory(self._class, limit=100_000)
+        self.chunks = Memory(self._abusive, limit=100_000)
 
     def _class(self, word):
         """(class, weight) of a word; learned arcs come before the fixed ones."""
@@ -212,7 +212,7 @@ def learn(docs, labels, key="doc_id", text="text", label="toxic", sample=20_000)
 
         def measure(batches):
             grammar = Grammar(shared.value)
-            for batch in batches:
+            for batch in slices(batches):
                 rows = [grammar.outputs(t) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))],
                                                  names=["y", "x"])
@@ -234,7 +234,7 @@ def score(docs, model, key="doc_id", text="text"):
 
     def run(batches):
         of = shared.value.scorer()
-        for batch in batches:
+        for batch in slices(batches):
             scores = [of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())],
@@ -250,7 +250,7 @@ def clean(docs, model, text="text", most=0.5):
 
     def run(batches):
         of = shared.value.scorer()
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([of(t) < most for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
