@@ -48,28 +48,30 @@ def _rows(names, **columns):
 ANCHOR_ROWS = ["doc_id", "tag", "h", "c", "start", "last", "many", "cover"]
 
 
-def _anchor_rows(length):
-    """Anchor rows of all documents of a task, equal ones merged.
+def _merged_rows(ids, tags, doc, start, last, h, c):
+    """Batches of anchor rows, equal ones merged; ``doc`` numbers the documents of ``ids`` and ``tags``.
 
     ``many``: the row stands for two or more equal ones, whose own stretches are emitted as rows with
     ``cover``. Those are spread by an arbitrary h, for nothing is looked up with them.
     """
+    order = np.lexsort((c, h))
+    doc, start, last, h, c = (x[order] for x in (doc, start, last, h, c))
+    same = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+    again, more = np.append(False, same), np.append(same, False)
+    for rows, many, cover in ((np.flatnonzero(~again), more[~again], False),
+                              (np.flatnonzero(again | more), None, True)):
+        spread = h[rows] if not cover else A.mix(h[rows] + np.arange(len(rows), dtype=np.uint64))
+        yield _rows(ANCHOR_ROWS, doc_id=ids.take(pa.array(doc[rows])), tag=tags[doc[rows]],
+                    h=spread.view(np.int64), c=c[rows].view(np.int64), start=start[rows], last=last[rows],
+                    many=np.zeros(len(rows), dtype=bool) if many is None else many,
+                    cover=np.full(len(rows), cover))
+
+
+def _anchor_rows(length):
+    """Anchor rows of all documents of a task, equal ones merged."""
 
     def flush(held, ids, tags):
-        doc, start, last, h, c = (np.concatenate(x) for x in zip(*held))
-        ids, tags = pa.concat_arrays(ids), np.concatenate(tags)
-        order = np.lexsort((c, h))
-        doc, start, last, h, c = (x[order] for x in (doc, start, last, h, c))
-        same = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
-        again, more = np.append(False, same), np.append(same, False)
-        covers = again | more
-        for rows, many, cover in ((np.flatnonzero(~again), more[~again], False),
-                                  (np.flatnonzero(covers), None, True)):
-            spread = h[rows] if not cover else A.mix(h[rows] + np.arange(len(rows), dtype=np.uint64))
-            yield _rows(ANCHOR_ROWS, doc_id=ids.take(pa.array(doc[rows])), tag=tags[doc[rows]],
-                        h=spread.view(np.int64), c=c[rows].view(np.int64), start=start[rows], last=last[rows],
-                        many=np.zeros(len(rows), dtype=bool) if many is None else many,
-                        cover=np.full(len(rows), cover))
+        yield from _merged_rows(pa.concat_arrays(ids), np.concatenate(tags), *(np.concatenate(x) for x in zip(*held)))
 
     def run(batches):
         held, ids, tags, n, seen = [], [], [], 0, 0
@@ -228,22 +230,21 @@ def _compare(length):
 
 
 def _window_rows(length):
-    """A row like an anchor row for every single window, under two independent hashes of its bytes."""
+    """A row like an anchor row for every single window, under two independent hashes of its bytes, merged alike."""
 
     def run(batches):
         for batch in batches:
-            starts = batch.column("start").to_numpy()
+            starts, held = batch.column("start").to_numpy(), []
             for i, data in enumerate(batch.column("bytes").to_pylist()):
                 data = np.frombuffer(data, dtype=np.uint8)
                 n = len(data) - length + 1
                 begin, end = slice(0, n), slice(length, length + n)
-                h = A.GRAMS.of(A.GRAMS.prefix(data), begin, end)
-                c = A.SPANS.of(A.SPANS.prefix(data), begin, end)
                 at = starts[i] + np.arange(n)
-                ones = pa.array(np.full(n, i))
-                yield _rows(ANCHOR_ROWS, doc_id=batch.column("doc_id").take(ones),
-                            tag=batch.column("tag").take(ones), h=h.view(np.int64), c=c.view(np.int64), start=at,
-                            last=at, many=np.zeros(n, dtype=bool), cover=np.zeros(n, dtype=bool))
+                held.append((np.full(n, i), at, at, A.GRAMS.of(A.GRAMS.prefix(data), begin, end),
+                             A.SPANS.of(A.SPANS.prefix(data), begin, end)))
+            if held:
+                yield from _merged_rows(batch.column("doc_id"), batch.column("tag").to_numpy(),
+                                        *(np.concatenate(x) for x in zip(*held)))
 
     return run
 
