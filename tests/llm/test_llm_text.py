@@ -40,6 +40,30 @@ def test_windows_sorted_by_words_give_the_same(spark):
         assert r.n == r.m == counts(r.text)[4]
 
 
+def test_every_row_of_the_table_rejects(spark):
+    good = prose(1, 120)
+    words = good.split()
+    planted = {
+        "good": good, "word_length": "a I " * 5 + " ".join(w[:2] for w in words), "long": " ".join(w + "x" * 8 for w in words) + " the" * 6,
+        "symbols": " ".join(w + "#" * (i % 4 == 0) for i, w in enumerate(words)),
+        "stop_words": " ".join(f"thoner{i}" for i in range(120)),
+        "dup_lines": "\n".join([*words, "x", "x", *["the mat"] * 80]),
+        "repeats": good + " " + good}
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(list(planted.items()), "doc_id string, text string")).collect()}
+    assert got["good"].kept and not any(r.kept for k, r in got.items() if k != "good")
+    assert not got["long"].rule_word_length
+    for name, *_ in quality.THRESHOLDS:
+        assert not got[name][f"rule_{name}"], name
+
+
+def test_quality_follows_the_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    got = quality.quality(spark.read.parquet(f"{sf}/documents.parquet")).join(labels, "doc_id").filter("NOT base_failed")
+    n = {(r.quality, r.kept): r["count"] for r in got.groupBy("quality", "kept").count().collect()}
+    assert set(n) == {(1, True), (0, False)}
+
+
 def test_accepted_keeps_rows_as_they_are(spark):
     docs = edge_documents(spark)
     kept = quality.accepted(docs)
