@@ -2,12 +2,14 @@
 
 A vector is described by its nearest reference points (pivots), in order. Every pivot has an inverted list of
 the vectors that name it among their first ``named`` ones. Within a list, pairs that share at least
-``shared`` pivots are verified by their cosine in double precision. A pair is dealt with in the list of
-the smallest pivot it shares, so it is counted once. Long lists are cut into parts that are compared
-pairwise in separate tasks, so nothing is left out and no task holds a whole list.
+``shared`` pivots are verified by their cosine in double precision. A pair with the same nearest pivot is dealt
+with in that pivot's list, any other in the list of the smallest pivot it shares, so it is counted once. Long
+lists are cut into parts that are compared pairwise in separate tasks, so nothing is left out and no task
+holds a whole list. Vectors of a crowd name the same pivots; they meet each other in one list only.
 
 Equal vectors are collapsed first. Pivots are fitted on a bounded sample: the distinct vectors with the
-smallest hashes. Their number grows with the square root of the vectors up to ``most_pivots``, which keeps
+smallest hashes, without those within the cosine ``APART`` of a chosen one. So a crowd has few pivots whatever its
+share of the rows, and its vectors do not pick theirs out of many that are almost tied. Their number grows with the square root of the vectors up to ``most_pivots``, which keeps
 lists short; beyond it lists get longer, not lossy. A task returns counts and a spanning forest, never pairs.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing: no links, a
@@ -22,25 +24,45 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthgrid.llm.blocks import split_groups, whole_groups
+from hearthgrid.llm.blocks import whole_groups
 from hearthgrid.llm.components import Trees, connected
 from hearthgrid.session import materialize
 
 LIMIT = 512
+APART = 0.8
 
 
 def _unit(vectors):
     return vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
 
 
+def spaced(sample, wanted, apart=APART):
+    """At most ``wanted`` of the unit vectors, in their order, leaving out those within ``apart`` of a chosen one."""
+    chosen = np.empty((wanted, sample.shape[1]))
+    n = 0
+    for at in range(0, len(sample), 256):
+        some = sample[at:at + 256]
+        some = some[(some @ chosen[:n].T).max(axis=1, initial=-1.0) < apart]
+        near, free = some @ some.T >= apart, np.ones(len(some), dtype=bool)
+        for i in range(len(some)):
+            if free[i]:
+                free[i + 1:] &= ~near[i, i + 1:]
+        some = some[free][:wanted - n]
+        chosen[n:n + len(some)] = some
+        n += len(some)
+        if n == wanted:
+            break
+    return chosen[:n]
+
+
 def fit_pivots(vectors, most_pivots=16384):
-    """{length: array of unit vectors}; the sample is the distinct vectors with the smallest hashes."""
+    """{length: array of unit vectors}; the sample is the distinct vectors with the smallest hashes, two for a pivot."""
     pivots = {}
     for row in vectors.groupBy("size").agg(F.count("*").alias("n")).orderBy("size").collect():
         wanted = min(most_pivots, max(32, 1 << math.ceil(math.log2(2 * math.sqrt(row["n"])))))
         chosen = vectors.filter(F.col("size") == row["size"]).select("vector") \
-            .orderBy(F.xxhash64("vector"), "vector").limit(wanted).collect()
-        pivots[row["size"]] = _unit(np.array([r["vector"] for r in chosen], dtype=np.float64))
+            .orderBy(F.xxhash64("vector"), "vector").limit(2 * wanted).collect()
+        pivots[row["size"]] = spaced(_unit(np.array([r["vector"] for r in chosen], dtype=np.float64)), wanted)
     return pivots
 
 
@@ -50,7 +72,7 @@ def _matrix(column, size):
 
 
 def _describe(pivots, named):
-    """One row per vector and pivot it names: (pivot, size, node, copies, vector, names)."""
+    """One row per vector and pivot it names: (pivot, nearest, size, node, copies, vector, names)."""
 
     def run(batches):
         known = pivots.value
@@ -67,14 +89,43 @@ def _describe(pivots, named):
                 lists = pa.ListArray.from_arrays(np.arange(0, len(x) * k + 1, k, dtype=np.int32),
                                                  pa.array(names.ravel().astype(np.int32)))
                 pivot = names.ravel().astype(np.int64) * 65536 + int(size)
+                nearest = np.repeat(names[:, 0].astype(np.int64) * 65536 + int(size), k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pivot), pa.array(np.full(len(x) * k, size, np.int32)), rows.column("node").take(at),
+                    [pa.array(pivot), pa.array(nearest), pa.array(np.full(len(x) * k, size, np.int32)), rows.column("node").take(at),
                      rows.column("copies").take(at), rows.column("vector").take(at), lists.take(at)],
-                    names=["pivot", "size", "node", "copies", "vector", "names"])
+                    names=["pivot", "nearest", "size", "node", "copies", "vector", "names"])
 
     return run
 
 
+def _deal(described, limit):
+    """``described`` with part, i and j: the rows of a block (pivot, i, j) are to be compared.
+
+    Vectors of a list with the same nearest pivot, if more than ``limit``, have parts of their own, and the others of
+    the list are cut into parts by a hash. Every pair of parts is a block, except two of vectors that
+    share a nearest pivot other than the list's: these meet in that one's list.
+    """
+    sizes = materialize(described.groupBy("pivot", "nearest").agg(F.count("*").alias("_n")), "list_sizes")
+    crowd = F.when(F.col("_n") > limit, F.col("nearest"))
+    parts = sizes.groupBy("pivot", crowd.alias("_crowd")).agg(F.ceil(F.sum("_n") / F.lit(limit)).cast("int").alias("_parts")) \
+        .groupBy("pivot").agg(F.array_sort(F.collect_list(F.struct("_crowd", "_parts"))).alias("_groups"))
+    parts = materialize(parts.withColumn("_all", F.expr("aggregate(_groups, 0, (n, g) -> n + g._parts)")).filter("_all > 1"), "lists")
+    laid = parts.select("pivot", "_all", F.posexplode("_groups").alias("_at", "_group"), "_groups").selectExpr(
+        "pivot", "_all", "_group._crowd AS _crowd", "_group._parts AS _parts",
+        "aggregate(slice(_groups, 1, _at), 0, (n, g) -> n + g._parts) AS _first")
+    big = sizes.filter(F.col("_n") > limit).select("pivot", "nearest", F.col("nearest").alias("_crowd"))
+    zero = F.lit(0)
+    small = described.join(parts.select("pivot"), "pivot", "left_anti").withColumns({"part": zero, "i": zero, "j": zero})
+    dealt = described.join(big, ["pivot", "nearest"], "left").alias("d").join(
+        laid.alias("l"), F.expr("d.pivot = l.pivot AND d._crowd <=> l._crowd")) \
+        .select("d.*", "_all", "_parts", "_first") \
+        .withColumn("part", F.expr("_first + CAST(pmod(xxhash64(node), _parts) AS INT)")) \
+        .withColumn("_other", F.explode(F.expr("sequence(0, _all - 1)"))) \
+        .filter("_crowd IS NULL OR _crowd = pivot OR _other < _first OR _other >= _first + _parts")
+    dealt = dealt.withColumns({"i": F.least("part", "_other"), "j": F.greatest("part", "_other")})
+    return small.unionByName(dealt.drop("_all", "_parts", "_first", "_crowd", "_other"))
+
+
 def _verify(least, shared):
     """Links among the vectors of each block of an inverted list: (a, b) forest edges and (a, a, n) counts."""
 
@@ -88,7 +139,10 @@ def _verify(least, shared):
         np.put_along_axis(has, local.reshape(names.shape), 1.0, axis=1)
         one, two = np.flatnonzero(part == i), np.flatnonzero(part == j)
         lower = has[:, :np.searchsorted(used, pivot // 65536)]
-        ok = (has[one] @ has[two].T >= shared) & (lower[one] @ lower[two].T == 0)
+        nearest = names[:, 0]
+        here = np.where(nearest[one][:, None] == nearest[two][None, :], (nearest[one] == pivot // 65536)[:, None],
+                        lower[one] @ lower[two].T == 0)
+        ok = (has[one] @ has[two].T >= shared) & here
         ok &= x[one] @ x[two].T >= least
         if i == j:
             ok &= ~np.eye(len(one), dtype=bool)
@@ -122,7 +176,7 @@ def _verify(least, shared):
     return run
 
 
-def near_duplicates(embeddings, least=0.9, named=8, shared=2, key="vec_id", vector="embedding", limit=LIMIT):
+def near_duplicates(embeddings, least=0.9, named=8, shared=1, key="vec_id", vector="embedding", limit=LIMIT):
     """vec_id, n_links, component_id, kept for every row."""
     slim = embeddings.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -134,8 +188,8 @@ def near_duplicates(embeddings, least=0.9, named=8, shared=2, key="vec_id", vect
     fitted = embeddings.sparkSession.sparkContext.broadcast(fit_pivots(classes))
     described = materialize(classes.select("size", "node", "copies", "vector").mapInArrow(
         _describe(fitted, named),
-        "pivot long, size int, node long, copies long, vector array<double>, names array<int>"), "described")
-    dealt = split_groups(described, "pivot", "node", limit) \
+        "pivot long, nearest long, size int, node long, copies long, vector array<double>, names array<int>"), "described")
+    dealt = _deal(described, limit) \
         .select("pivot", "i", "j", "part", "size", "node", "copies", "vector", "names")
     links = materialize(dealt.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
                         .mapInArrow(_verify(least, shared), "a long, b long, n long"), "links")

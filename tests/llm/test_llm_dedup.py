@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from edges import TEXTS, edge_documents, no_documents, prose
@@ -210,6 +211,22 @@ def test_recall_does_not_fall_with_a_crowd(spark):
     assert (found <= near.sum(1)).all() and found.sum() >= 0.9 * near.sum()
 
 
+@pytest.mark.parametrize("noise", [0.12, 0.36])
+def test_recall_in_a_crowd_of_a_large_table(spark, noise):
+    rng = np.random.default_rng(6)
+    n, crowd = 20_000, 6_667
+    x = rng.normal(size=(n, 32))
+    x[:crowd] = rng.normal(size=(1, 32)) + noise * x[:crowd]
+    x = x.astype(np.float32)
+    got = dict(spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)}))
+               .transform(pivots.near_duplicates).select("vec_id", "n_links").collect())
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = np.concatenate([(u[at:at + 1000] @ u.T >= 0.9).sum(1) - 1 for at in range(0, n, 1000)])
+    found = np.array([got[i] for i in range(n)])
+    assert (found <= near).all() and found.sum() >= 0.99 * near.sum() > 0
+
+
 def test_vector_edges(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]),
             (7, [None, 1.0]), (8, [float("inf"), 1.0]), (9, [1.0, 0.0, 0.0]), (10, [1.0, 0.0]), (None, [0.0, 3.0]),
