@@ -842,28 +842,33 @@ def _registry(spark):
     return ModelRegistry(spark, scratch_path(spark, "registry"))
 
 
-def _trained(spark, sf, registry, *names):
+def _trained(spark, sf, registry, *names, search=False):
     df = training_table(spark, sf)
-    return df, train_models(df, "id", registry, names)
+    return df, train_models(df, "id", registry, names, search=search)
 
 
-def _scored(name):
+def _scored(name, search=False):
     def run(spark, sf):
-        df, models = _trained(spark, sf, _registry(spark), name)
+        df, models = _trained(spark, sf, _registry(spark), name, search=search)
         return score_models(models, df, "id")
     return run
 
 
 query("random_forest")(_scored("random_forest"))
-query("gradient_boosting")(_scored("gradient_boosting"))
-query("boosted_sampled")(_scored("xgboost"))
+query("gradient_boosting")(_scored("gradient_boosting", search=True))
+query("boosted_sampled")(_scored("xgboost", search=True))
 query("score_table")(_scored("linear_regression"))
 
 
 @query("grid_search")
 def grid_search(spark, sf):
-    rows, _ = prepared(spark, sf)
-    return est.grid_search("lasso", rows)[1]
+    """Every point of the boosting grids; the lasso chooses its penalty on a path of its own, see ``lasso_cv``."""
+    df = training_table(spark, sf)
+    train = prep.split_flag(df, "id").filter("NOT is_test").drop("is_test")
+    features = c.feature_names(df.drop("id"))
+    rows = est.prepare(train, est.preparation(df, features), "id")
+    tables = [est.grid_search(name, rows)[1].withColumn("model", F.lit(name)) for name in ("gradient_boosting", "xgboost")]
+    return tables[0].unionByName(tables[1])
 
 
 @query("feature_importance")
@@ -903,7 +908,7 @@ def latest_model(spark, sf):
 
 @query("model_leaderboard")
 def model_leaderboard(spark, sf):
-    return train_and_compare(training_table(spark, sf), "id", _registry(spark))
+    return train_and_compare(training_table(spark, sf), "id", _registry(spark), search=True)
 
 
 # --- whole jobs --------------------------------------------------------------------------------------
