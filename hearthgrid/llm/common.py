@@ -1,5 +1,6 @@
 """Small helpers that several of the operators share."""
 
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,3 +51,17 @@ def slices(batches, rows=1024):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def byte_slices(batches, column, limit=16 << 20):
+    """The batches in pieces whose strings in ``column`` take about ``limit`` bytes, one row at least."""
+    for batch in batches:
+        start, size = 0, 0
+        for at, more in enumerate(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)):
+            more = 0 if more != more else int(more)
+            if at > start and size + more > limit:
+                yield batch.slice(start, at - start)
+                start, size = at, 0
+            size += more
+        if batch.num_rows > start:
+            yield batch.slice(start)

@@ -3,7 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hearthgrid.llm import byte_bpe, langid, packing, pivots, quality, sharding, simhash, suffix_dedup, token_counts, toxicity
+from hearthgrid.llm import (
+    byte_bpe, collocations, infill, langid, packing, pivots, quality, sharding, simhash, suffix_dedup, token_counts, toxicity)
 from hearthgrid.llm.common import table
 
 
@@ -99,9 +100,20 @@ def op10_deletion_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_arrow_infill(spark, sf_dir):
+    done = infill.restore(infill.infill(table(spark, sf_dir, "documents"), seed=7, rate=100, spm_rate=50))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_fm_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, share=80, top=2000)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_harmonic_packing, op2_quality_rules, op3_bitmask_language_id, op4_kd_sharding, op5_prefix_byte_bpe,
-    op6_pivot_permutation, op7_grammar_toxicity, op8_trie_token_counts, op9_bwt_suffix_dedup, op10_deletion_simhash)}
+    op6_pivot_permutation, op7_grammar_toxicity, op8_trie_token_counts, op9_bwt_suffix_dedup, op10_deletion_simhash,
+    op12_arrow_infill, op13_fm_collocations)}
 
 _OP6_SQL = """
 WITH RECURSIVE vectors AS (
@@ -123,4 +135,66 @@ SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, ve
 FROM component LEFT JOIN counted USING (vec_id)
 """
 
-ORACLES = {"op2_quality_rules": _op2_sql(), "op6_pivot_permutation": _OP6_SQL}
+_OP12_SQL = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS pieces,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digits FROM documents
+), numbers AS (
+  SELECT *, len(pieces) - CAST(pieces[len(pieces)] = '' AS BIGINT) AS n, CAST('0x' || digits[1:8] AS BIGINT) AS h1,
+         CAST('0x' || digits[9:16] AS BIGINT) AS h2, CAST('0x' || digits[25:32] AS BIGINT) AS h4 FROM drawn
+), cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM numbers
+), heads AS (
+  SELECT *, CASE WHEN a = 0 THEN '' WHEN a < len(pieces) THEN array_to_string(pieces[1:a], chr(10)) || chr(10) ELSE text END AS prefix,
+         CASE WHEN b = 0 THEN '' WHEN b < len(pieces) THEN array_to_string(pieces[1:b], chr(10)) || chr(10) ELSE text END AS head FROM cuts
+), parts AS (
+  SELECT *, head[length(prefix) + 1:] AS middle, text[length(head) + 1:] AS suffix,
+         text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain FROM heads
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT plain THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN NOT plain THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE WHEN plain THEN text WHEN h4 % 100 < 50 THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+         ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+_OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), split AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), sized AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM split, (VALUES (1), (2), (3), (4)) AS t(k)
+), counted AS (
+  SELECT lang, w[i:i + k - 1] AS words, count(*) AS f FROM sized GROUP BY ALL
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split GROUP BY lang
+), found AS (
+  SELECT lang, words, f AS a FROM counted WHERE len(words) > 1 AND f >= 30
+), cuts AS (
+  SELECT c.lang, c.words, a, k, l.f AS l, r.f AS r, (CAST(a AS HUGEINT) * 2000000) // (l.f + r.f) AS score
+  FROM (SELECT *, unnest(range(1, len(words))) AS k FROM found) c
+  JOIN counted l ON l.lang = c.lang AND l.words = c.words[1:k]
+  JOIN counted r ON r.lang = c.lang AND r.words = c.words[k + 1:len(c.words)]
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1
+), inner_parts AS (
+  SELECT lang, words AS whole, a AS longer, k, unnest(range(1, len(words) - k + 2)) AS i
+  FROM found, (VALUES (2), (3)) AS t(k) WHERE k < len(words)
+), inside AS (
+  SELECT lang, whole[i:i + k - 1] AS words, max(longer) AS longer FROM inner_parts GROUP BY ALL
+), free AS (
+  SELECT lowest.*, array_to_string(words, ' ') AS phrase FROM lowest LEFT JOIN inside USING (lang, words)
+  WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n,
+       CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES = {"op12_arrow_infill": _OP12_SQL, "op13_fm_collocations": _OP13_SQL, "op2_quality_rules": _op2_sql(), "op6_pivot_permutation": _OP6_SQL}
