@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from hearthgrid.llm import (
-    byte_bpe, collocations, infill, langid, packing, pivots, quality, sharding, simhash, suffix_dedup, token_counts, toxicity)
+    byte_bpe, collocations, html_text, infill, langid, packing, pivots, quality, sharding, simhash, suffix_dedup,
+    token_counts, toxicity)
 from hearthgrid.llm.common import table
 
 
@@ -100,6 +101,10 @@ def op10_deletion_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_text_density(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"), keep=("page_id", "url"))
+
+
 def op12_arrow_infill(spark, sf_dir):
     done = infill.restore(infill.infill(table(spark, sf_dir, "documents"), seed=7, rate=100, spm_rate=50))
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
@@ -113,7 +118,7 @@ def op13_fm_collocations(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_harmonic_packing, op2_quality_rules, op3_bitmask_language_id, op4_kd_sharding, op5_prefix_byte_bpe,
     op6_pivot_permutation, op7_grammar_toxicity, op8_trie_token_counts, op9_bwt_suffix_dedup, op10_deletion_simhash,
-    op12_arrow_infill, op13_fm_collocations)}
+    op11_text_density, op12_arrow_infill, op13_fm_collocations)}
 
 _OP6_SQL = """
 WITH RECURSIVE vectors AS (
