@@ -1,29 +1,33 @@
 """Phrase collocations from word indexes of shards, with exact counts summed over all shards.
 
-A task cuts its documents into shards of about ``SHARD`` words and numbers the words of each. Words that are
-frequent enough in the whole corpus come back to the shards, which drop the others and build an index
-(``word_index``) of what is left. Its intervals, extended to the left, give all pairs with their counts. Counts
-are summed over shards; the pairs frequent everywhere together come back, and are extended to the left to three
-words and to the right to four, as long as every pair inside is frequent. No part of a frequent phrase is rarer
-than the phrase, so nothing is lost by that. Only phrases with at least ``least`` occurrences are scored.
+A task numbers the words of its documents and cuts them into shards of about ``SHARD`` words; consecutive shards share
+their numbers until these reach ``NUMBERS``. Words that are frequent enough in the whole corpus come back to the
+shards, which drop the others and build an index (``word_index``) of what is left. Its intervals, extended to the left,
+give all pairs with their counts. Counts are summed, first over shards with the same numbers and then over
+all; the pairs frequent everywhere together come back, and are extended to the left to three words and
+to the right to four, as long as every pair inside is frequent. No part of a frequent phrase is rarer than the
+phrase, so nothing is lost by that. Only phrases with at least ``least`` occurrences are scored.
 
 Per language; a null language is ``und``. A null or empty text has no words. Repeated rows count again. Words of very
-long texts are read piece by piece and end in one shard per text at least. Keys and other columns are not
+long texts are read piece by piece, and a text lies in one shard. Keys and other columns are not
 read, and an empty table gives an empty result. Ties of scores go to the more frequent phrase, then to
 byte order, so the result does not depend on the order of rows.
 """
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hearthgrid.llm.common import byte_slices
-from hearthgrid.llm.word_index import WordIndex, transform
+from hearthgrid.llm.word_index import WordIndex
 from hearthgrid.session import materialize
 
-SHARD = 2_000_000
+SHARD = 1_000_000
+NUMBERS = 500_000
+PENDING = 4_000_000
 SALTS = 64
 TOP = 2000
 
@@ -67,154 +71,222 @@ class _Language(dict):
         return self.shared.count
 
 
-def _cut_shards(size):
-    fields = ["shard", "lang", "word", "id", "n", "ids"]
+def _packed(ids):
+    """Ids as bytes: all first bytes, all second bytes and so on, compressed."""
+    planes = ids.astype("<i4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=6).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpacked(data):
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
+def _cut_shards(size, most):
+    fields = ["dict", "lang", "word", "id", "n", "ids"]
     types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
 
-    def rows(shard, numbers, parts):
+    def sequence(number, parts):
         ids = np.concatenate([*parts, np.zeros(1, np.int32)])
-        counts = np.bincount(ids, minlength=numbers.count + 1)
+        return ids, pa.RecordBatch.from_arrays([pa.array([number], types[0]), *(pa.nulls(1, t) for t in types[1:5]),
+                                                pa.array([_packed(ids)], types[5])], names=fields)
+
+    def words(number, numbers, counts):
         for lang, known in numbers.of.items():
-            words = [w.decode() for w in known if known[w]]
-            mine = np.array([i for i in known.values() if i], dtype=np.int32)
-            for at in range(0, len(words), 1 << 16):
+            mine = np.fromiter((i for i in known.values() if i), np.int32)
+            names = [w.decode() for w, i in known.items() if i]
+            for at in range(0, len(names), 1 << 16):
                 some = mine[at:at + (1 << 16)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * len(some), types[0]), pa.array([lang] * len(some), types[1]),
-                     pa.array(words[at:at + (1 << 16)], types[2]), pa.array(some, types[3]),
+                    [pa.array(np.full(len(some), number), types[0]), pa.array([lang] * len(some), types[1]),
+                     pa.array(names[at:at + (1 << 16)], types[2]), pa.array(some, types[3]),
                      pa.array(counts[some], types[4]), pa.nulls(len(some), types[5])], names=fields)
-        yield pa.RecordBatch.from_arrays([pa.array([shard], types[0]), *(pa.nulls(1, t) for t in types[1:5]),
-                                          pa.array([ids.astype("<i4").tobytes()], types[5])], names=fields)
 
     def run(batches):
-        shard = TaskContext.get().partitionId() << 32
-        numbers, parts, have = _Numbers(), [np.zeros(1, np.int32)], 0
+        task = TaskContext.get().partitionId()
+        if task >= 1 << 20:
+            raise ValueError("more than 2^20 input partitions: word numbers would not fit")
+        number, numbers, counts = task << 12, _Numbers(), np.zeros(1, np.int64)
+        parts, have = [np.zeros(1, np.int32)], 0
         for batch in byte_slices(batches, 1):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 known = numbers.language(lang)
-                for words in words_of(text):
-                    parts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-                    have += len(words)
+                for found in words_of(text):
+                    parts.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
+                    have += len(found)
                 parts.append(np.zeros(1, np.int32))
                 if have >= size:
-                    yield from rows(shard, numbers, parts)
-                    shard, numbers, parts, have = shard + 1, _Numbers(), [np.zeros(1, np.int32)], 0
+                    ids, row = sequence(number, parts)
+                    counts = np.bincount(ids, minlength=numbers.count + 1) + np.pad(counts, (0, numbers.count + 1 - len(counts)))
+                    parts, have = [np.zeros(1, np.int32)], 0
+                    yield row
+                    if numbers.count >= most and number + 1 & 4095:
+                        yield from words(number, numbers, counts)
+                        number, numbers, counts = number + 1, _Numbers(), np.zeros(1, np.int64)
         if have:
-            yield from rows(shard, numbers, parts)
+            ids, row = sequence(number, parts)
+            counts = np.bincount(ids, minlength=numbers.count + 1) + np.pad(counts, (0, numbers.count + 1 - len(counts)))
+            yield row
+        yield from words(number, numbers, counts)
 
     return run
 
 
-def shards(docs, lang="lang", text="text", size=SHARD):
-    """Words with their counts per shard, and one row per shard with its ids (``ids`` is null for words)."""
+def shards(docs, lang="lang", text="text", size=SHARD, most=NUMBERS):
+    """Words with their numbers and counts, and one row per shard with its ids (``ids`` is null for words).
+
+    ``dict`` tells which rows share their numbers.
+    """
     slim = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
                        F.col(text).cast("string").alias("text")).filter("text <> ''")
-    return slim.mapInArrow(_cut_shards(size), "shard long, lang string, word string, id int, n long, ids binary")
-
-
-def _index_shard(left, right):
-    """Index of a shard's frequent words, and its pairs."""
-    empty = np.zeros(0, dtype=np.int64)
-    ids = np.frombuffer(left.column("ids")[0].as_py(), dtype="<i4") if left.num_rows else np.zeros(0, np.int32)
-    names = ["shard", "g1", "g2", "ordinal", "n", "words", "forward", "backward"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    if not right.num_rows or not len(ids):
-        return pa.Table.from_arrays([pa.array(empty, t) if t != pa.binary() else pa.array([], t) for t in types], names=names)
-    shard = left.column("here")[0].as_py()
-    local, word = right.column("id").to_numpy(), right.column("gid").to_numpy()
-    order = np.argsort(word, kind="stable")
-    local, word = local[order], word[order]
-    known = np.zeros(max(int(ids.max()), int(local.max())) + 1, dtype=np.int32)
-    known[local] = np.arange(1, len(local) + 1)
-    ids = known[ids]
-    ids = ids[np.concatenate([[True], (ids[1:] != 0) | (ids[:-1] != 0)])]  # one separator is as good as many
-    forward, backward = transform(ids), transform(ids[::-1].copy())
-    x, y, count, _, _ = WordIndex(forward, backward).pairs()
-    n = len(x)
-    tail = [pa.array([word.astype("<i8").tobytes()], pa.binary()), pa.array([forward.astype("<i4").tobytes()], pa.binary()),
-            pa.array([backward.astype("<i4").tobytes()], pa.binary())]
-    columns = [pa.array(np.full(n + 1, shard), types[0])]
-    for values, kind in ((word[x - 1], types[1]), (word[y - 1], types[2]), (np.arange(n), types[3]), (count, types[4])):
-        columns.append(pa.concat_arrays([pa.array(values, kind), pa.nulls(1, kind)]))
-    columns += [pa.concat_arrays([pa.nulls(n, pa.binary()), t]) for t in tail]
-    return pa.Table.from_arrays(columns, names=names)
+    return slim.mapInArrow(_cut_shards(size, most), "dict long, lang string, word string, id int, n long, ids binary")
+
+
+class _Sums:
+    """Counts by rows of whole numbers; rows are added up whenever many have come together."""
+
+    def __init__(self, width):
+        self.rows, self.counts, self.waiting = [np.zeros((0, width), np.int64)], [np.zeros(0, np.int64)], 0
+
+    def add(self, counts, *columns):
+        self.rows.append(np.stack(columns, axis=1).astype(np.int64))
+        self.counts.append(counts)
+        self.waiting += len(counts)
+        if self.waiting > PENDING:
+            self.total()
+
+    def total(self):
+        rows, counts = np.concatenate(self.rows), np.concatenate(self.counts)
+        order = np.lexsort(rows.T)
+        rows, counts = rows[order], counts[order]
+        if len(rows):
+            heads = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
+            rows, counts = rows[heads], np.add.reduceat(counts, heads)
+        self.rows, self.counts, self.waiting = [rows], [counts], 0
+        return rows, counts
+
+
+class _Frequent:
+    """The frequent words of some shards: their numbers there and everywhere, in the order of the latter."""
+
+    def __init__(self, local, word):
+        order = np.argsort(word, kind="stable")
+        self.local, self.word = local[order], word[order]
+
+    def index(self, data):
+        """Index of a shard's frequent words, numbered from 1; all others have become separators."""
+        ids = _unpacked(data)
+        known = np.zeros(max(int(ids.max()), int(self.local.max())) + 1, dtype=np.int32)
+        known[self.local] = np.arange(1, len(self.local) + 1)
+        ids = known[ids]
+        return WordIndex.of(ids[np.concatenate([[True], (ids[1:] != 0) | (ids[:-1] != 0)])])
+
+
+def _columns(right, *names):
+    return [right.column(n).to_numpy() for n in names]
+
+
+def _pairs(left, right):
+    """Pairs of frequent words of the shards that share their numbers."""
+    sums, number = _Sums(2), left.column("here")[0].as_py() if left.num_rows else 0
+    if left.num_rows and right.num_rows:
+        frequent = _Frequent(*_columns(right, "id", "gid"))
+        for data in left.column("ids"):
+            x, y, count, _, _ = frequent.index(data.as_py()).pairs()
+            sums.add(count, frequent.word[x - 1], frequent.word[y - 1])
+    rows, counts = sums.total()
+    return pa.Table.from_arrays([pa.array(np.full(len(rows), number), pa.int64()), pa.array(rows[:, 0]), pa.array(rows[:, 1]),
+                                 pa.array(counts, pa.int64())], names=["dict", "g1", "g2", "n"])
 
 
 def _longer(left, right):
-    """Phrases of three and four words of a shard whose pairs are all frequent: left word, pair, right word or null."""
-    names, types = ["g1", "pair", "g4", "n"], [pa.int64()] * 4
-    if not left.num_rows or not right.num_rows:
-        return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
-    word = np.frombuffer(left.column("words")[0].as_py(), dtype="<i8")
-    index = WordIndex(*(np.frombuffer(left.column(c)[0].as_py(), dtype="<i4") for c in ("forward", "backward")))
-    x, y, count, start, back = index.pairs()
-    wide = len(word) + 1
-    kept = right.column("ordinal").to_numpy()
-    order = np.argsort(kept, kind="stable")
-    kept, pair = kept[order], right.column("pair").to_numpy()[order]
-    x, y, count, start, back = (a[kept] for a in (x, y, count, start, back))
-    frequent = np.sort(x.astype(np.int64) * wide + y)
-
-    def is_pair(a, b):
-        key = a.astype(np.int64) * wide + b
-        at = np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)
-        return frequent[at] == key
-
-    of, first, n3, start, back = index.to_the_left(start, back, count)
-    ok = is_pair(first, x[of])
-    of, first, n3, start, back = (a[ok] for a in (of, first, n3, start, back))
-    of4, last, n4, _, _ = index.to_the_right(start, back, n3)
-    ok = is_pair(y[of[of4]], last)
-    of4, last, n4 = of4[ok], last[ok], n4[ok]
-    g1, pairs = word[first - 1], pair[of]
-    return pa.Table.from_arrays([
-        pa.array(np.concatenate([g1, g1[of4]])), pa.array(np.concatenate([pairs, pairs[of4]])),
-        pa.concat_arrays([pa.nulls(len(of), pa.int64()), pa.array(word[last - 1], pa.int64())]),
-        pa.array(np.concatenate([n3, n4]).astype(np.int64))], names=names)
-
-
-def _by_shard(rows, name):
-    """Grouped by the shard under a name of its own, as both sides of a cogroup may come from one table."""
-    return rows.withColumnRenamed("shard", name).groupBy(name)
-
-
-def phrases(docs, least=30, lang="lang", text="text", size=SHARD):
+    """Phrases of three and four words, all pairs of which are frequent, of the shards that share their numbers; -1: no fourth."""
+    sums = _Sums(4)
+    is_word = right.column("id").is_valid()
+    words, pairs = right.filter(is_word), right.filter(is_word.to_numpy() == 0) if right.num_rows else right
+    if left.num_rows and words.num_rows and pairs.num_rows:
+        frequent = _Frequent(*_columns(words, "id", "gid"))
+        wide = len(frequent.word) + 1
+        first, second = (np.searchsorted(frequent.word, c) + 1 for c in _columns(pairs, "gid", "g2"))
+        known = np.sort(first.astype(np.int64) * wide + second)
+
+        def is_pair(a, b):
+            key = a.astype(np.int64) * wide + b
+            return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+
+        for data in left.column("ids"):
+            index = frequent.index(data.as_py())
+            x, y, n, start, back = index.pairs()
+            ok = is_pair(x, y)
+            x, y, n, start, back = (a[ok] for a in (x, y, n, start, back))
+            of, before, n, start, back = index.to_the_left(start, back, n)
+            ok = is_pair(before, x[of])
+            of, before, n, start, back = (a[ok] for a in (of, before, n, start, back))
+            names = [frequent.word[a - 1] for a in (before, x[of], y[of])]
+            sums.add(n, *names, np.full(len(of), -1))
+            of4, after, n4, _, _ = index.to_the_right(start, back, n)
+            ok = is_pair(y[of[of4]], after)
+            of4, after, n4 = of4[ok], after[ok], n4[ok]
+            sums.add(n4, *(a[of4] for a in names), frequent.word[after - 1])
+    rows, counts = sums.total()
+    return pa.Table.from_arrays([*(pa.array(c) for c in rows.T), pa.array(counts, pa.int64())], names=["g1", "g2", "g3", "g4", "n"])
+
+
+def _by_numbers(rows, name):
+    """Grouped by the dictionary under a name of its own, as both sides of a cogroup come from one table."""
+    return rows.withColumnRenamed("dict", name).groupBy(name)
+
+
+def _frequent(rows, least, *key):
+    """The rows whose key has at least ``least`` occurrences: with that number, ``f``, and whether a row is its key's ``first``.
+
+    One shuffle finds the sums and keeps the rows they belong to. A key has one row per dictionary at most.
+    """
+    same = Window.partitionBy(*key)
+    return rows.withColumns({"f": F.sum("n").over(same), "first": F.min("dict").over(same) == F.col("dict")}) \
+        .filter(F.col("f") >= least)
+
+
+def phrases(docs, least=30, lang="lang", text="text", size=SHARD, most=NUMBERS):
     """Two tables: lang, words (array of 1 to 4) and f of everything with at least ``least`` occurrences; lang and n."""
-    cut = materialize(shards(docs, lang, text, size), "shards")
-    counted = cut.filter("ids IS NULL")
+    cut = materialize(shards(docs, lang, text, size, most), "shards")
+    counted = cut.filter("ids IS NULL").drop("ids")
     totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
-    known = materialize(counted.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-                        .withColumn("gid", F.monotonically_increasing_id()), "vocabulary")
-    back = counted.join(known.select("lang", "word", "gid"), ["lang", "word"]).select("shard", "id", "gid")
-    sequences = cut.filter("ids IS NOT NULL").select("shard", "ids")
-    indexed = materialize(_by_shard(sequences, "here").cogroup(_by_shard(back, "there")).applyInArrow(
-        _index_shard, "shard long, g1 long, g2 long, ordinal int, n long, words binary, forward binary, backward binary"), "index")
-    local = indexed.filter("words IS NULL")
-    pairs = materialize(local.groupBy("g1", "g2").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-                        .withColumn("pair", F.monotonically_increasing_id()), "pairs")
-    kept = local.join(pairs.select("g1", "g2", "pair"), ["g1", "g2"]).select("shard", "ordinal", "pair")
-    whole = indexed.filter("words IS NOT NULL").select("shard", "words", "forward", "backward")
-    longer = _by_shard(whole, "here").cogroup(_by_shard(kept, "there")).applyInArrow(_longer, "g1 long, pair long, g4 long, n long")
-    longer = materialize(longer.groupBy("g1", "pair", "g4").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "longer")
-
-    def named(side):
-        return known.select(F.col("gid").alias(side), "lang", F.col("word").alias(f"{side}_word"))
-
-    two = pairs.join(named("g1"), "g1").join(named("g2").drop("lang"), "g2") \
-        .select("pair", "lang", F.array("g1_word", "g2_word").alias("words"), "f")
-    inner = two.select("pair", "lang", "words")
-    more = longer.join(inner, "pair").join(named("g1").drop("lang"), "g1").join(named("g4").drop("lang"), "g4", "left") \
-        .select("lang", F.concat(F.array("g1_word"), "words", F.filter(F.array("g4_word"), lambda w: w.isNotNull())).alias("words"), "f")
-    one = known.select("lang", F.array("word").alias("words"), "f")
-    return materialize(one.unionByName(two.drop("pair")).unionByName(more), "phrases"), materialize(totals, "totals")
-
-
-def collocations(docs, least=30, share=80, top=TOP, scale=2_000_000, lang="lang", text="text", size=SHARD):
+    named = _frequent(counted, least, "lang", "word") \
+        .withColumn("gid", F.min(F.expr("shiftleft(dict, 31) | CAST(id AS BIGINT)")).over(Window.partitionBy("lang", "word")))
+    named = materialize(named.drop("n"), "vocabulary")
+    sequences = cut.filter("ids IS NOT NULL").select("dict", "ids")
+    back = named.select("dict", "id", "gid")
+    local = _by_numbers(sequences, "here").cogroup(_by_numbers(back, "there")) \
+        .applyInArrow(_pairs, "dict long, g1 long, g2 long, n long")
+    pairs = materialize(_frequent(local, least, "g1", "g2").drop("n"), "pairs")
+    sent = back.withColumn("g2", F.lit(None).cast("long")).unionByName(
+        pairs.select("dict", F.lit(None).cast("int").alias("id"), F.col("g1").alias("gid"), "g2"))
+    longer = _by_numbers(sequences, "here").cogroup(_by_numbers(sent, "there")) \
+        .applyInArrow(_longer, "g1 long, g2 long, g3 long, g4 long, n long")
+    longer = longer.groupBy("g1", "g2", "g3", "g4").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    word = named.filter("first").select("gid", "lang", "word", "f")
+
+    def spelled(rows, *ids):
+        """Word ids as words; -1 is none."""
+        for i, g in enumerate(ids):
+            names = word.select(F.col("gid").alias(g), F.col("word").alias(f"w{i}"), *(["lang"] if not i else []))
+            rows = rows.join(names, g, "left" if g == "g4" else "inner")
+        words = F.filter(F.array(*[f"w{i}" for i in range(len(ids))]), lambda w: w.isNotNull())
+        return rows.select("lang", words.alias("words"), "f")
+
+    two = spelled(pairs.filter("first").select("g1", "g2", "f"), "g1", "g2")
+    more = spelled(longer, "g1", "g2", "g3", "g4")
+    one = word.select("lang", F.array("word").alias("words"), "f")
+    return materialize(one.unionByName(two).unionByName(more), "phrases"), materialize(totals, "totals")
+
+
+def collocations(docs, least=30, share=80, top=TOP, scale=2_000_000, lang="lang", text="text", size=SHARD, most=NUMBERS):
     """lang, rank, phrase, a, l, r, n and score of the best ``top`` phrases of every language.
 
     A phrase that lies in a longer one with at least ``share`` percent of its occurrences is dropped.
     """
-    counted, totals = phrases(docs, least, lang, text, size)
+    counted, totals = phrases(docs, least, lang, text, size, most)
     found = counted.filter("size(words) > 1").withColumnRenamed("f", "a")
 
     def part(name):

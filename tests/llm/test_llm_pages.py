@@ -134,8 +134,9 @@ def plain_collocations(rows, least=30, share=80, top=2000):
     return sorted(out)
 
 
-@pytest.mark.parametrize("least,top,size", [(30, 2000, 400), (4, 25, 2_000_000)])
-def test_collocations_equal_the_plain_version(spark, least, top, size):
+@pytest.mark.parametrize("least,top,size,most", [(30, 2000, 400, 5), (4, 25, 300, 1_000_000), (5, 2000, 1_000_000, 9)])
+def test_collocations_equal_the_plain_version(spark, monkeypatch, least, top, size, most):
+    monkeypatch.setattr(collocations, "PENDING", 50)
     rng = random.Random(5)
     words = ["the", "The", "cat", "é", "É", "\x1c", "a\x00b", "sat", "on", "of", "x"]
     rows = [(rng.choice(["en", "fr", None, "und"]),
@@ -143,7 +144,7 @@ def test_collocations_equal_the_plain_version(spark, least, top, size):
                       for _ in range(rng.randint(0, 60)))) for _ in range(250)]
     rows += [(None, None), ("en", ""), ("de", "..."), ("en", "tic tac " * 700 + "\x0b" + "tic tac toe " * 100)]
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
-    got = sorted(tuple(r) for r in collocations.collocations(docs, least=least, top=top, size=size).collect())
+    got = sorted(tuple(r) for r in collocations.collocations(docs, least=least, top=top, size=size, most=most).collect())
     assert got == plain_collocations(rows, least, top=top) and len(got) > 20
 
 
