@@ -16,6 +16,7 @@ byte order, so the result does not depend on the order of rows.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Window
@@ -25,9 +26,9 @@ from hearthgrid.llm.common import byte_slices
 from hearthgrid.llm.word_index import WordIndex
 from hearthgrid.session import materialize
 
-SHARD = 1_000_000
-NUMBERS = 500_000
-PENDING = 4_000_000
+SHARD = 500_000
+NUMBERS = 300_000
+PENDING = 1_000_000
 SALTS = 64
 TOP = 2000
 
@@ -108,7 +109,7 @@ def _cut_shards(size, most):
             raise ValueError("more than 2^20 input partitions: word numbers would not fit")
         number, numbers, counts = task << 12, _Numbers(), np.zeros(1, np.int64)
         parts, have = [np.zeros(1, np.int32)], 0
-        for batch in byte_slices(batches, 1):
+        for batch in byte_slices(batches, 1, 4 << 20):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 known = numbers.language(lang)
                 for found in words_of(text):
@@ -149,7 +150,7 @@ class _Sums:
         self.rows, self.counts, self.waiting = [np.zeros((0, width), np.int64)], [np.zeros(0, np.int64)], 0
 
     def add(self, counts, *columns):
-        self.rows.append(np.stack(columns, axis=1).astype(np.int64))
+        self.rows.append(np.stack(columns, axis=1))
         self.counts.append(counts)
         self.waiting += len(counts)
         if self.waiting > PENDING:
@@ -188,31 +189,36 @@ def _columns(right, *names):
 
 def _pairs(left, right):
     """Pairs of frequent words of the shards that share their numbers."""
-    sums, number = _Sums(2), left.column("here")[0].as_py() if left.num_rows else 0
+    sums, number = _Sums(1), left.column("here")[0].as_py() if left.num_rows else 0
+    frequent = _Frequent(*_columns(right, "id", "gid"))
+    wide = len(frequent.word) + 1
     if left.num_rows and right.num_rows:
-        frequent = _Frequent(*_columns(right, "id", "gid"))
         for data in left.column("ids"):
             x, y, count, _, _ = frequent.index(data.as_py()).pairs()
-            sums.add(count, frequent.word[x - 1], frequent.word[y - 1])
+            sums.add(count, x.astype(np.int64) * wide + y)
     rows, counts = sums.total()
-    return pa.Table.from_arrays([pa.array(np.full(len(rows), number), pa.int64()), pa.array(rows[:, 0]), pa.array(rows[:, 1]),
-                                 pa.array(counts, pa.int64())], names=["dict", "g1", "g2", "n"])
+    g1, g2 = (frequent.word[i - 1] for i in np.divmod(rows[:, 0], wide))
+    return pa.Table.from_arrays([pa.array(np.full(len(rows), number), pa.int64()), pa.array(g1, pa.int64()),
+                                 pa.array(g2, pa.int64()), pa.array(counts, pa.int64())], names=["dict", "g1", "g2", "n"])
 
 
 def _longer(left, right):
     """Phrases of three and four words, all pairs of which are frequent, of the shards that share their numbers; -1: no fourth."""
-    sums = _Sums(4)
+    sums = _Sums(2)
     is_word = right.column("id").is_valid()
-    words, pairs = right.filter(is_word), right.filter(is_word.to_numpy() == 0) if right.num_rows else right
+    words, pairs = right.filter(is_word), right.filter(pc.invert(is_word))
+    frequent = _Frequent(*_columns(words, "id", "gid"))
+    wide = len(frequent.word) + 1
     if left.num_rows and words.num_rows and pairs.num_rows:
-        frequent = _Frequent(*_columns(words, "id", "gid"))
-        wide = len(frequent.word) + 1
         first, second = (np.searchsorted(frequent.word, c) + 1 for c in _columns(pairs, "gid", "g2"))
         known = np.sort(first.astype(np.int64) * wide + second)
 
+        def key(a, b):
+            return a.astype(np.int64) * wide + b
+
         def is_pair(a, b):
-            key = a.astype(np.int64) * wide + b
-            return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+            found = key(a, b)
+            return known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found
 
         for data in left.column("ids"):
             index = frequent.index(data.as_py())
@@ -222,14 +228,18 @@ def _longer(left, right):
             of, before, n, start, back = index.to_the_left(start, back, n)
             ok = is_pair(before, x[of])
             of, before, n, start, back = (a[ok] for a in (of, before, n, start, back))
-            names = [frequent.word[a - 1] for a in (before, x[of], y[of])]
-            sums.add(n, *names, np.full(len(of), -1))
+            two, third = key(before, x[of]), y[of]
+            sums.add(n, two, key(third, 0))
             of4, after, n4, _, _ = index.to_the_right(start, back, n)
-            ok = is_pair(y[of[of4]], after)
+            ok = is_pair(third[of4], after)
             of4, after, n4 = of4[ok], after[ok], n4[ok]
-            sums.add(n4, *(a[of4] for a in names), frequent.word[after - 1])
+            sums.add(n4, two[of4], key(third[of4], after))
     rows, counts = sums.total()
-    return pa.Table.from_arrays([*(pa.array(c) for c in rows.T), pa.array(counts, pa.int64())], names=["g1", "g2", "g3", "g4", "n"])
+    ids = [i for column in rows.T for i in np.divmod(column, wide)]
+    # Number 0 stands for no fourth word.
+    named = np.concatenate([[-1], frequent.word])
+    return pa.Table.from_arrays([*(pa.array(named[i], pa.int64()) for i in ids), pa.array(counts, pa.int64())],
+                                names=["g1", "g2", "g3", "g4", "n"])
 
 
 def _by_numbers(rows, name):
