@@ -546,6 +546,52 @@ def poi_shapes_wide(spark, sf):
     return rounded(out.drop("footprint"), 3, "nearest_lake_dist")
 
 
+ORACLES["poi_shapes_crowded"] = ORACLES["poi_shapes_wide"]
+
+
+@query("poi_shapes_crowded")
+def poi_shapes_crowded(spark, sf):
+    lakes = fx.water(spark, sf)
+    lakes = lakes.with_df(lakes.df.withColumn("poi_type", F.lit("lake")))
+    out = nb.poi_features(fx.buildings(spark, sf), lakes, config.POI_RADIUS, budget=1)
+    return rounded(out.drop("footprint"), 3, "nearest_lake_dist")
+
+
+_LOW, _HIGH = (f"sqrt((w.x{e} - a.x) * (w.x{e} - a.x) + (w.y{e} - a.y) * (w.y{e} - a.y))" for e in ("min", "max"))
+_DIAGONAL = SEG.replace("r.x1", "w.xmin").replace("r.y1", "w.ymin").replace("r.x2", "w.xmax").replace("r.y2", "w.ymax")
+MIXED_KINDS = ["lake", "pond"]
+MIXED = f"""
+, near AS (SELECT a.building_id, CASE WHEN w.water_id % 2 = 0 THEN 'lake' ELSE 'pond' END AS poi_type,
+   CASE w.water_id % 3 WHEN 0 THEN {BOX} WHEN 1 THEN least({_LOW}, {_HIGH}) ELSE {_DIAGONAL} END AS dist
+   FROM fx_buildings a JOIN fx_water w ON a.x BETWEEN w.xmin - 500 AND w.xmax + 500 AND a.y BETWEEN w.ymin - 500 AND w.ymax + 500
+   WHERE CASE WHEN w.water_id % 3 = 0 THEN sqrt({_FAR[0]} * {_FAR[0]} + {_FAR[1]} * {_FAR[1]}) ELSE greatest({_LOW}, {_HIGH}) END < 500),
+wide AS (SELECT building_id, {', '.join(
+    f"count(*) FILTER (WHERE poi_type = '{t}') AS n_{t}, min(dist) FILTER (WHERE poi_type = '{t}') AS d_{t}" for t in MIXED_KINDS)}
+   FROM near GROUP BY building_id)
+SELECT b.building_id, {', '.join(f'coalesce(n_{t}, 0) AS count_{t}, round(d_{t}, 3) AS nearest_{t}_dist' for t in MIXED_KINDS)}
+FROM fx_buildings b LEFT JOIN wide ON b.building_id = wide.building_id"""
+
+
+@query("poi_mixed_wide", MIXED, ["fx_buildings", "fx_water"])
+def poi_mixed_wide(spark, sf):
+    """A folder whose files hold polygons, lines and multi-points side by side, written and read again."""
+    folder, pois = scratch_path(spark, "mixed"), fx.mixed_pois(spark, sf)
+    for kind in MIXED_KINDS:
+        one = c.by_type(pois, kind)
+        geojson.write_geojson(one.with_df(one.df.drop("poi_type")), f"{folder}/{kind}.geojson")
+    out = nb.poi_features(fx.buildings(spark, sf), geojson.read_poi_folder(spark, folder), config.POI_RADIUS)
+    return rounded(out.drop("footprint"), 3, *[f"nearest_{t}_dist" for t in MIXED_KINDS])
+
+
+ORACLES["poi_mixed_crowded"] = ORACLES["poi_mixed_wide"]
+
+
+@query("poi_mixed_crowded")
+def poi_mixed_crowded(spark, sf):
+    out = nb.poi_features(fx.buildings(spark, sf), fx.mixed_pois(spark, sf), config.POI_RADIUS, budget=1)
+    return rounded(out.drop("footprint"), 3, *[f"nearest_{t}_dist" for t in MIXED_KINDS])
+
+
 GON = "b.dist * cos(b.turn - floor(b.turn / (pi() / 32)) * (pi() / 32) - pi() / 64) < 500 * cos(pi() / 64)"
 
 
@@ -561,6 +607,50 @@ def poi_counts_in_polygon_buffer(spark, sf):
     return out.drop("footprint", *POI_DISTS)
 
 
+_CORNERS = [(f"w.{x} - a.x", f"w.{y} - a.y") for x in ("xmin", "xmax") for y in ("ymin", "ymax")]
+# A regular polygon and a box meet unless the box lies beyond one of the polygon's sides or outside its extent.
+_SIDES = "generate_series(0, 63)"
+_BEYOND = (f"list_max(list_transform({_SIDES}, lambda k: cos((2 * k + 1) * pi() / 64) * (CASE WHEN cos((2 * k + 1) * pi() / 64) > 0 "
+           "THEN w.xmin ELSE w.xmax END - a.x) + sin((2 * k + 1) * pi() / 64) * (CASE WHEN sin((2 * k + 1) * pi() / 64) > 0 "
+           "THEN w.ymin ELSE w.ymax END - a.y)))")
+_CORNERS_BEYOND = "greatest(" + ", ".join(
+    f"list_max(list_transform({_SIDES}, lambda k: cos((2 * k + 1) * pi() / 64) * ({x}) + sin((2 * k + 1) * pi() / 64) * ({y})))"
+    for x, y in _CORNERS) + ")"
+
+
+@query("water_counts_in_polygon_buffer", f"""
+, met AS (SELECT a.building_id, count(*) AS n FROM fx_buildings a JOIN fx_water w
+   ON a.x BETWEEN w.xmin - 500 AND w.xmax + 500 AND a.y BETWEEN w.ymin - 500 AND w.ymax + 500
+   WHERE {_BEYOND} <= 500 * cos(pi() / 64) GROUP BY a.building_id)
+SELECT b.building_id, coalesce(n, 0) AS count_water FROM fx_buildings b LEFT JOIN met ON b.building_id = met.building_id""",
+       ["fx_buildings", "fx_water"])
+def water_counts_in_polygon_buffer(spark, sf):
+    out = nb.water_features(fx.buildings(spark, sf), fx.water(spark, sf), sides=config.BUFFER_SIDES)
+    return out.select("building_id", "count_water")
+
+
+ORACLES["water_counts_in_polygon_buffer_crowded"] = ORACLES["water_counts_in_polygon_buffer"]
+
+
+@query("water_counts_in_polygon_buffer_crowded")
+def water_counts_in_polygon_buffer_crowded(spark, sf):
+    out = nb.water_features(fx.buildings(spark, sf), fx.water(spark, sf), sides=config.BUFFER_SIDES, budget=1)
+    return out.select("building_id", "count_water")
+
+
+@query("poi_shapes_in_polygon_buffer", f"""
+, met AS (SELECT a.building_id, count(*) AS n FROM fx_buildings a JOIN fx_water w
+   ON a.x BETWEEN w.xmin - 500 AND w.xmax + 500 AND a.y BETWEEN w.ymin - 500 AND w.ymax + 500
+   WHERE {_CORNERS_BEYOND} < 500 * cos(pi() / 64) GROUP BY a.building_id)
+SELECT b.building_id, coalesce(n, 0) AS count_lake FROM fx_buildings b LEFT JOIN met ON b.building_id = met.building_id""",
+       ["fx_buildings", "fx_water"])
+def poi_shapes_in_polygon_buffer(spark, sf):
+    lakes = fx.water(spark, sf)
+    lakes = lakes.with_df(lakes.df.withColumn("poi_type", F.lit("lake")))
+    out = nb.poi_features(fx.buildings(spark, sf), lakes, config.POI_RADIUS, sides=config.BUFFER_SIDES)
+    return out.select("building_id", "count_lake")
+
+
 WATER_COLUMNS = f"coalesce(w.n, 0) AS count_water, coalesce(round(d.dist, 3), {INF}) AS nearest_water_dist"
 
 

@@ -148,6 +148,16 @@ def water(spark, sf_dir):
                   "water_id", "shape", "polygon", 3857)
 
 
+def mixed_pois(spark, sf_dir):
+    """The water boxes as POI of all kinds side by side: polygons, their lower left and upper right corners, the diagonals."""
+    low, high = g.point("xmin", "ymin"), g.point("xmax", "ymax")
+    shape = (f"CASE water_id % 3 WHEN 0 THEN {g.mixed(chr(39) + 'Polygon' + chr(39), polygons=f'array({METRE_BOX})')} "
+             f"WHEN 1 THEN {g.mixed(chr(39) + 'MultiPoint' + chr(39), points=f'array({low}, {high})')} "
+             f"ELSE {g.mixed(chr(39) + 'LineString' + chr(39), lines=f'array(array({low}, {high}))')} END AS shape")
+    kind = "if(water_id % 2 = 0, 'lake', 'pond') AS poi_type"
+    return _layer(spark, sf_dir, "fx_water", ["water_id AS poi_id", kind, shape], "poi_id", "shape", "mixed", 3857)
+
+
 def areas(spark, sf_dir):
     return _layer(spark, sf_dir, "fx_areas",
                   ["objectid AS OBJECTID", "fname AS FNAME", "eng_name AS Eng_Name",

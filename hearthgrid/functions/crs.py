@@ -133,3 +133,10 @@ def reproject(geom, levels, source, target):
         return f"if({geom} IS NULL, NULL, struct({x} AS x, {y} AS y))"
     part = f"g{levels}"
     return f"transform({geom}, {part} -> {reproject(part, levels - 1, source, target)})"
+
+
+def reproject_mixed(geom, source, target):
+    """Move a geometry of any kind."""
+    parts = [f"{reproject(f'{geom}.{part}', levels, source, target)} AS {part}"
+             for part, levels in (("points", 1), ("lines", 2), ("polygons", 3))]
+    return f"if({geom} IS NULL, NULL, struct({geom}.kind AS kind, {', '.join(parts)}))"

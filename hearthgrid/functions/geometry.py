@@ -30,6 +30,8 @@ def depth(df, name):
 
 def as_multi(df, name, kind):
     """A single-part line or polygon in its one-element multi-part form."""
+    if kind == "mixed":
+        return name
     levels, wanted = depth(df, name), DEPTH[kind] + (kind != "point")
     if levels == wanted:
         return name
@@ -52,11 +54,36 @@ def path_edges(path):
 
 def all_edges(multi, kind):
     """Every edge of a multi-line or multi-polygon in one flat array."""
+    if kind == "mixed":
+        spots = f"transform({multi}.points, q -> struct(q.x AS x1, q.y AS y1, q.x AS x2, q.y AS y2))"
+        return f"concat({spots}, {all_edges(f'{multi}.lines', 'line')}, {all_edges(f'{multi}.polygons', 'polygon')})"
     if kind == "line":
         return f"flatten(transform({multi}, ln -> {path_edges('ln')}))"
     return f"flatten(transform(flatten({multi}), rg -> {edges('rg')}))"
 
 
+def mixed(kind, points="NULL", lines="NULL", polygons="NULL"):
+    """A geometry of any kind: its GeoJSON type and its points, lines and polygons, empty arrays where it has none."""
+    spot = "STRUCT<x: DOUBLE, y: DOUBLE>"
+    parts = []
+    for name, value, levels in (("points", points, 1), ("lines", lines, 2), ("polygons", polygons, 3)):
+        kind_of = "ARRAY<" * levels + spot + ">" * levels
+        parts.append(f"coalesce(CAST({value} AS {kind_of}), CAST(array() AS {kind_of})) AS {name}")
+    return f"struct({kind} AS kind, {', '.join(parts)})"
+
+
+def as_mixed(multi, kind):
+    """A point, multi-line or multi-polygon as a geometry of any kind."""
+    made = {"point": ("'Point'", f"array({multi})"), "line": ("'MultiLineString'", "NULL", multi),
+            "polygon": ("'MultiPolygon'", "NULL", "NULL", multi)}
+    return multi if kind == "mixed" else f"if({multi} IS NULL, NULL, {mixed(*made[kind])})"
+
+
+def mixed_vertices(geom):
+    """All corners of a geometry of any kind in one flat array."""
+    return f"concat({geom}.points, flatten({geom}.lines), flatten(flatten({geom}.polygons)))"
+
+
 # --- centroids ------------------------------------------------------------------
 
 
@@ -103,6 +130,12 @@ def centroid(geom, kind):
     """Area-weighted for polygons, length-weighted for lines, the point itself for points."""
     if kind == "point":
         return geom
+    if kind == "mixed":
+        # Of what a geometry holds, the parts with the most dimensions decide.
+        spots = (f"aggregate({geom}.points, struct(0D AS n, 0D AS x, 0D AS y), (m, q) -> struct(m.n + 1 AS n, m.x + q.x AS x, "
+                 f"m.y + q.y AS y), m -> if(m.n > 0, {point('m.x / m.n', 'm.y / m.n')}, NULL))")
+        return (f"CASE WHEN size({geom}.polygons) > 0 THEN {_polygon_centroid(f'{geom}.polygons')} "
+                f"WHEN size({geom}.lines) > 0 THEN {_line_centroid(f'{geom}.lines')} ELSE {spots} END")
     return _polygon_centroid(geom) if kind == "polygon" else _line_centroid(geom)
 
 
@@ -172,6 +205,26 @@ def segment_distance(px, py, x1, y1, x2, y2):
     return f"sqrt({ox} * {ox} + {oy} * {oy})"
 
 
+def segment_in_reach(dist, px, py, x1, y1, x2, y2, radius, sides=None):
+    """Whether a segment at distance ``dist`` touches the search region: the circle, or the polygon drawn in it.
+
+    Between the polygon's inner and outer circle the segment is cut at each of the polygon's sides; it touches if
+    something is left.
+    """
+    if sides is None:
+        return f"{dist} <= {num(radius)}"
+    sure = num(sure_reach(radius, sides))
+    facing = f"(2 * k + 1) * {num(math.pi / sides)}"
+    ahead = [f"(cos({facing}) * ({x} - {px}) + sin({facing}) * ({y} - {py}))" for x, y in ((x1, y1), (x2, y2))]
+    side = f"struct({ahead[0]} AS a, {ahead[1]} AS b)"
+    cut = f"({sure} - s.a) / nullif(s.b - s.a, 0D)"
+    low = f"CASE WHEN s.b < s.a THEN {cut} WHEN s.b = s.a AND s.a > {sure} THEN 2D ELSE 0D END"
+    high = f"if(s.b > s.a, {cut}, 1D)"
+    left = (f"aggregate(transform(sequence(0, {sides - 1}), k -> {side}), struct(0D AS t0, 1D AS t1), (m, s) -> "
+            f"struct(greatest(m.t0, {low}) AS t0, least(m.t1, {high}) AS t1), m -> m.t0 <= m.t1)")
+    return f"({dist} <= {sure} OR ({dist} <= {num(radius)} AND {left}))"
+
+
 def turn(px, py, x1, y1, x2, y2):
     """Positive if the point lies to the left of the directed edge, zero if in line with it."""
     return f"(({x2} - {x1}) * ({py} - {y1}) - ({y2} - {y1}) * ({px} - {x1}))"
@@ -230,6 +283,9 @@ def point_geometry_distance(px, py, geom, kind):
     outline = point_path_distance(px, py, geom, kind)
     if kind == "line":
         return outline
+    if kind == "mixed":
+        inside = f"size({geom}.polygons) > 0 AND {point_in_polygon(px, py, f'{geom}.polygons')}"
+        return f"if({inside}, 0D, {outline})"
     return f"if({point_in_polygon(px, py, geom)}, 0D, {outline})"
 
 

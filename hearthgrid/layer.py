@@ -17,6 +17,7 @@ class Layer:
     * line: ``ARRAY<STRUCT<x, y>>``, one more array level if multi-part
     * polygon: ``ARRAY<ARRAY<STRUCT<x, y>>>`` (ring 0 outer, the rest holes), one more level
       if multi-part
+    * mixed: ``STRUCT<kind, points, lines, polygons>``, any of them per row, in their multi-part forms
 
     All coordinates of a layer share one ``srid``.
     """
@@ -28,7 +29,7 @@ class Layer:
     srid: int | None
 
     def __post_init__(self):
-        if self.kind not in ("point", "line", "polygon"):
+        if self.kind not in ("point", "line", "polygon", "mixed"):
             raise ValueError(f"unknown geometry kind: {self.kind}")
         require_columns(self.df, [self.key, self.geom])
 
@@ -41,7 +42,10 @@ class Layer:
         """Layer in another reference system; unchanged if it is already there."""
         if self.require_srid() == srid:
             return self
-        moved = crs.reproject(self.geom, g.depth(self.df, self.geom), self.srid, srid)
+        if self.kind == "mixed":
+            moved = crs.reproject_mixed(self.geom, self.srid, srid)
+        else:
+            moved = crs.reproject(self.geom, g.depth(self.df, self.geom), self.srid, srid)
         return replace(self, df=self.df.withColumn(self.geom, F.expr(moved)), srid=srid)
 
     def with_df(self, df):
@@ -59,8 +63,16 @@ class Layer:
         """A point inside the shape (the centroid may lie outside it), as SQL text."""
         if self.kind == "polygon":
             return g.inner_point(self.multi())
+        if self.kind == "mixed":
+            inner = g.inner_point(f"{self.geom}.polygons")
+            return f"if(size({self.geom}.polygons) > 0, {inner}, {self.centroid()})"
         return self.centroid()
 
+    def any_kind(self):
+        """The same layer with geometry of any kind."""
+        made = self.df.withColumn(self.geom, F.expr(g.as_mixed(self.multi(), self.kind)))
+        return replace(self, df=made, kind="mixed")
+
     def located(self, *keep, inner=False, srid=None, names=("x", "y")):
         """The key, ``keep`` and the centroid (or inner point) as two columns.
 

@@ -122,22 +122,24 @@ def _leaf_rows(judged, q, p, level, radius, sides):
 # a shape follow bounds for every place in that cell, half a diagonal to either side.
 
 
-def _edge_bounds(rows, key, level, radius, size):
+def _edge_bounds(rows, key, level, radius, size, sides):
     """Rows ``qx, qy, key, edge`` with what is to become of the shape in that cell."""
-    side, r = size / 4**level, float(radius)
+    side, r, sure = size / 4**level, float(radius), g.sure_reach(radius, sides)
     half = side * 2**0.5 / 2 + SLACK
     centre = [f"((q{a} + 0.5D) * {num(side)})" for a in "xy"]
     rows = rows.selectExpr("*", f"{g.segment_distance(*centre, *g.EDGE)} AS d")
     shape = rows.groupBy("qx", "qy", key).agg(F.min("d").alias("m"))
     best = shape.groupBy("qx", "qy").agg((F.min("m") + F.lit(half)).alias("best"))
     judged = shape.join(best, ["qx", "qy"]).selectExpr(
-        "qx", "qy", key, "m", f"m + {num(half)} < {num(r)} AS within",
+        "qx", "qy", key, "m", f"m + {num(half)} < {num(sure)} AS within",
         f"m - {num(half)} <= least(best, {num(r)}) AS close", f"m - {num(half)} <= {num(r)} AS near")
-    # An edge that is farther by a whole diagonal can nowhere be the nearest one of its shape.
-    return rows.join(judged, ["qx", "qy", key]).filter(f"near AND d <= m + {num(2 * half)}")
+    # An edge that is farther by a whole diagonal can nowhere be the nearest one of its shape. A polygon may be
+    # touched by any edge in range, the nearest or not.
+    wanted = f"d <= m + {num(2 * half)}" if sides is None else f"d - {num(half)} <= {num(r)}"
+    return rows.join(judged, ["qx", "qy", key]).filter(f"near AND {wanted}")
 
 
-def crowded_edge_rows(queries, edges, key, radius, size, small=SMALL, first=0, held=None, nearest=True):
+def crowded_edge_rows(queries, edges, key, radius, size, small=SMALL, first=0, held=None, nearest=True, sides=None):
     """Places against edges: exact rows ``place, key, dist, n``, and ``place, n`` to be added.
 
     The first frame has the distance of every shape that may be the nearest of its place, or whose
@@ -146,7 +148,7 @@ def crowded_edge_rows(queries, edges, key, radius, size, small=SMALL, first=0, h
 
     The search starts on level ``first``. ``held`` lists cells of that level and shapes,
     ``qx, qy, key``, that are counted elsewhere and get 0 for ``n``. Without ``nearest`` the
-    distances serve the counts only.
+    distances serve the counts only. ``sides`` counts shapes that touch the polygon drawn in the circle.
     """
     q = _fine(queries, "x", "y", size)
     rows = spread_edges(edges, radius, size / 4**first).withColumnsRenamed({"gx": "qx", "gy": "qy"}) \
@@ -157,7 +159,7 @@ def crowded_edge_rows(queries, edges, key, radius, size, small=SMALL, first=0, h
     rows = rows.selectExpr("qx", "qy", key, *g.EDGE, "nq", f"{weight} AS n", "true AS open")
     exact, settled = None, None
     for level in range(first, LEVELS + 1):
-        judged = _edge_bounds(rows, key, level, radius, size)
+        judged = _edge_bounds(rows, key, level, radius, size, sides)
         judged = judged.selectExpr("*", "open AND within AS settled", "open AND NOT within AS unsure")
         load = judged.groupBy("qx", "qy").agg(F.count(F.lit(1)).alias("edges"))
         few = "true" if level == LEVELS else f"nq * edges <= {small}"
@@ -167,8 +169,8 @@ def crowded_edge_rows(queries, edges, key, radius, size, small=SMALL, first=0, h
         judged = materialize(judged, "crowded")
         here = q.selectExpr("place", "x", "y", *_at(level, "qx", "qy"))
         met = judged.filter("kept AND leaf").join(here, ["qx", "qy"]).selectExpr(
-            "place", key, f"{g.segment_distance('x', 'y', *g.EDGE)} AS dist", "if(unsure, n, 0) AS n") \
-            .filter(f"dist <= {num(radius)}").groupBy("place", key) \
+            "place", key, "x", "y", *g.EDGE, f"{g.segment_distance('x', 'y', *g.EDGE)} AS dist", "if(unsure, n, 0) AS n") \
+            .filter(g.segment_in_reach("dist", "x", "y", *g.EDGE, radius, sides)).groupBy("place", key) \
             .agg(F.min("dist").alias("dist"), F.max("n").cast("bigint").alias("n"))
         whole = judged.filter("settled").select("qx", "qy", key, "n").distinct() \
             .groupBy("qx", "qy").agg(F.sum("n").alias("n")).join(here, ["qx", "qy"]).select("place", "n")
@@ -181,20 +183,21 @@ def crowded_edge_rows(queries, edges, key, radius, size, small=SMALL, first=0, h
             .join(_query_cells(q, level + 1), ["ux", "uy"]).drop("ux", "uy")
 
 
-def crowded_polygon_counts(queries, edges, key, radius, size, small=SMALL):
+def crowded_polygon_counts(queries, edges, key, radius, size, small=SMALL, sides=None):
     """``place, n``, to be summed: the polygons around or at most ``radius`` from each place.
 
     On a level whose cells are smaller than the radius, a place farther than that from an outline
     shares its side of it with its whole cell. So the polygons that cover the centre of its cell
     are counted once per cell, and from the outlines within range only those of other polygons.
+    ``sides`` counts polygons that touch the polygon drawn in the circle.
     """
-    first = next(k for k in range(LEVELS + 1) if size / 4**k * 2**0.5 < radius)
+    first = next(k for k in range(LEVELS + 1) if size / 4**k * 2**0.5 < g.sure_reach(radius, sides))
     q = _fine(queries, "x", "y", size)
     cells = _query_cells(q, first).select("qx", "qy")
     covers = covered_centres(edges, key, size / 4**first) \
         .withColumnsRenamed({"gx": "qx", "gy": "qy"}).join(cells, ["qx", "qy"])
     covers = materialize(covers, "covers")
-    exact, settled = crowded_edge_rows(queries, edges, key, radius, size, small, first, covers, False)
+    exact, settled = crowded_edge_rows(queries, edges, key, radius, size, small, first, covers, False, sides)
     around = covers.groupBy("qx", "qy").agg(F.count(F.lit(1)).alias("n")) \
         .join(q.selectExpr("place", *_at(first, "qx", "qy")), ["qx", "qy"]).select("place", "n")
     return exact.select("place", "n").unionByName(settled).unionByName(around)

@@ -12,6 +12,7 @@ from hearthgrid.config import ROAD_RADIUS, ROAD_WIDTH, WATER_CENTRE_MARGIN, WATE
 from hearthgrid.layer import require_columns
 from hearthgrid.operators.cells import CELL, explode_edges, spread_edges, with_cell
 from hearthgrid.operators.crowded import crowded_edge_rows, crowded_polygon_counts, crowded_rows
+from hearthgrid.operators.poi_shapes import crowded_shape_rows, shape_pairs, shape_table, split_points
 from hearthgrid.operators.skew import PAIR_BUDGET, attach, hot_cells, written
 from hearthgrid.operators.spatial_join import CELL_SIZE, edges_within, points_within, polygons_at
 from hearthgrid.session import materialize
@@ -19,6 +20,7 @@ from hearthgrid.session import materialize
 INFINITY = float("inf")
 XY = ["x", "y"]
 PLACE = ["place", "x", "y"]
+MOST_TYPES = 5000
 
 
 def places(df, x="x", y="y"):
@@ -87,8 +89,11 @@ def onto(buildings, features):
 
 
 def poi_types(df, column="poi_type"):
-    """All POI types, sorted. Each one becomes two columns, so they are few."""
-    return sorted(r[0] for r in df.select(column).distinct().collect() if r[0] is not None)
+    """All POI types, sorted. Each one becomes two columns, so more than ``MOST_TYPES`` of them are an error."""
+    found = [r[0] for r in df.select(column).distinct().limit(MOST_TYPES + 2).collect() if r[0] is not None]
+    if len(found) > MOST_TYPES:
+        raise ValueError(f"more than {MOST_TYPES} POI types: each would become two columns")
+    return sorted(found)
 
 
 def poi_places(pois):
@@ -98,24 +103,16 @@ def poi_places(pois):
                        .agg(F.count(F.lit(1)).alias("copies")), "pois")
 
 
-def poi_shape_rows(spots, pois, radius, size=CELL_SIZE):
-    """The same rows for POI that are lines or polygons: in range if all of the shape is.
+def shape_rows(spots, pois, radius, size=CELL_SIZE, budget=PAIR_BUDGET, sides=None):
+    """The same rows for POI of a mixed layer that are more than a point: in range if all of the shape is.
 
     The distance is to the nearest part of the shape, 0 inside a polygon.
     """
-    layer = pois.projected()
-    key, queries, edges = layer.key, spots.select(*PLACE), explode_edges(layer)
-    corners = edges.selectExpr(key, "inline(array(struct(x1 AS x, y1 AS y), struct(x2 AS x, y2 AS y))) AS (ox, oy)").distinct()
-    wanted = corners.groupBy(key).agg(F.count(F.lit(1)).alias("wanted"))
-    whole = points_within(queries, corners, radius, size=size).groupBy("place", key) \
-        .agg(F.count(F.lit(1)).alias("got")).join(wanted, key).filter("got = wanted")
-    if layer.kind == "polygon":
-        near = polygons_at(queries, ["place"], layer, radius, size)
-    else:
-        near = edges_within(queries, edges, radius, size).groupBy("place", key).agg(F.min("dist").alias("dist"))
-    kinds = layer.df.select(key, F.col("poi_type").alias("kind"))
-    return whole.select("place", key).join(near.select("place", key, "dist"), ["place", key]) \
-        .join(kinds, key).selectExpr("place", "kind", "1L AS n", "dist")
+    shapes = shape_table(pois, radius)
+    celled = with_cell(spots.select(*PLACE), "x", "y", size)
+    cold, crowd = by_crowding(celled, crowded_cells(celled, shapes.select("ox", "oy"), radius, size, budget))
+    rows = shape_pairs(cold, shapes, radius, size, sides)
+    return rows if crowd is None else rows.unionByName(crowded_shape_rows(crowd, shapes, radius, size, sides))
 
 
 def poi_names(types):
@@ -144,15 +141,16 @@ def _quoted(column):
 
 def poi_by_place(spots, pois, radius, types=None, size=CELL_SIZE, sides=None, budget=PAIR_BUDGET):
     """The POI types' names, and ``count_<name>`` and ``nearest_<name>_dist`` per place with any in range."""
-    if pois.kind == "point":
-        objects = poi_places(pois)
-        types = poi_types(objects, "kind") if types is None else types
-        rows = near_rows(spots, objects, radius, size, budget, sides)
-    elif sides is not None:
-        raise ValueError("a polygon search region is for point POI only")
-    else:
-        types = poi_types(pois.df) if types is None else types
-        rows = poi_shape_rows(spots, pois, radius, size)
+    points, shapes = split_points(pois)
+    rows = []
+    if points is not None:
+        objects = poi_places(points)
+        rows.append(near_rows(spots, objects, radius, size, budget, sides))
+    if shapes is not None:
+        rows.append(shape_rows(spots, shapes, radius, size, budget, sides))
+    if types is None:
+        types = poi_types(objects, "kind") if shapes is None else poi_types(pois.df)
+    rows = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
     out, names = [], poi_names(types)
     for t, name in names.items():
         is_t = F.col("kind") == F.lit(t)
@@ -165,7 +163,7 @@ def poi_features(buildings, pois, radius=1000.0, types=None, size=CELL_SIZE, sid
     """Buildings with a count and a nearest distance for each POI type.
 
     The count is 0 and the distance null where nothing is in range. ``sides`` searches a regular
-    polygon in place of the circle; for POI that are lines or polygons that is an error.
+    polygon in place of the circle. POI may be of any kind; a shape is in range if all of it is.
     """
     located, spots = with_places(buildings)
     names, found = poi_by_place(spots, pois, radius, types, size, sides, budget)
@@ -173,25 +171,28 @@ def poi_features(buildings, pois, radius=1000.0, types=None, size=CELL_SIZE, sid
     return onto(buildings, fill_counts(out, names))
 
 
-def water_by_place(spots, water, radius, size=CELL_SIZE, budget=PAIR_BUDGET):
+def water_by_place(spots, water, radius, size=CELL_SIZE, budget=PAIR_BUDGET, sides=None):
     """``count_water`` and ``nearest_water_dist`` per place; either may be missing."""
     layer = water.projected()
-    return water_counts(spots, layer, radius, size, budget) \
+    return water_counts(spots, layer, radius, size, budget, sides) \
         .join(water_centre_distance(spots, layer, radius, size, budget), "place", "full")
 
 
-def water_counts(spots, layer, radius, size=CELL_SIZE, budget=PAIR_BUDGET):
-    """Shapes around or within the radius of each place that has any; a radius below 10 micrometres is an error."""
+def water_counts(spots, layer, radius, size=CELL_SIZE, budget=PAIR_BUDGET, sides=None):
+    """Shapes around or within the radius of each place that has any; a radius below 10 micrometres is an error.
+
+    With ``sides``, shapes around or touching the polygon drawn in the circle.
+    """
     if radius < 1e-5:
         raise ValueError("the radius is too small")
     edges = explode_edges(layer)
     celled = with_cell(spots.select(*PLACE), "x", "y", size)
     cold, crowd = by_crowding(celled, hot_cells(celled, spread_edges(edges, radius, size), budget))
-    counts = polygons_at(cold, ["place"], layer, radius, size, split=False) \
+    counts = polygons_at(cold, ["place"], layer, radius, size, split=False, sides=sides) \
         .groupBy("place").agg(F.count(F.lit(1)).alias("count_water"))
     if crowd is None:
         return counts
-    more = crowded_polygon_counts(crowd, edges, layer.key, radius, size) \
+    more = crowded_polygon_counts(crowd, edges, layer.key, radius, size, sides=sides) \
         .groupBy("place").agg(F.sum("n").alias("count_water")).filter("count_water > 0")
     return counts.unionByName(more)
 
@@ -204,11 +205,14 @@ def water_centre_distance(spots, layer, radius, size=CELL_SIZE, budget=PAIR_BUDG
     return rows.groupBy("place").agg(F.min("dist").alias("nearest_water_dist"))
 
 
-def water_features(buildings, water, radius=WATER_RADIUS, size=CELL_SIZE, budget=PAIR_BUDGET):
+def water_features(buildings, water, radius=WATER_RADIUS, size=CELL_SIZE, budget=PAIR_BUDGET, sides=None):
     """Buildings with the number of water shapes within the radius of a point inside the building,
-    and the distance to the nearest water centre (infinity if none)."""
+    and the distance to the nearest water centre (infinity if none).
+
+    ``sides`` counts shapes that touch a regular polygon in place of the circle.
+    """
     located, spots = with_places(buildings, inner=True)
-    found = at_places(water_by_place(spots, water, radius, size, budget), spots)
+    found = at_places(water_by_place(spots, water, radius, size, budget, sides), spots)
     out = attach(located, found, XY, spots, buildings.key)
     return onto(buildings, fill_water(out))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hearthgrid.functions import geometry as g
-from hearthgrid.functions.sql import num
+from hearthgrid.functions.sql import let, num
 from hearthgrid.operators.cells import CELL, explode_edges, covered_centres, spread_edges, \
     spread_points, with_cell
 from hearthgrid.operators.skew import join_cells
@@ -46,12 +46,13 @@ def edges_within(queries, edges, radius, size=CELL_SIZE, split=True):
     return joined.filter(f"dist <= {num(radius)}").drop(*g.EDGE, *CELL)
 
 
-def polygons_at(queries, query_key, layer, radius=0.0, size=CELL_SIZE, split=True):
+def polygons_at(queries, query_key, layer, radius=0.0, size=CELL_SIZE, split=True, sides=None):
     """One row per point and polygon that meet, with ``inside`` and ``dist``.
 
     ``query_key`` lists the columns that identify a point and includes what is to be kept of it.
     With radius 0 only the containing polygons come back, points on the boundary left out.
-    Otherwise also the polygons within ``radius`` of the point.
+    Otherwise also the polygons within ``radius`` of the point, or, with ``sides``, those that touch the
+    polygon drawn in that circle.
 
     Polygons are cut into edges and covered cell centres. To tell whether a point is inside, walk
     from it to the centre of its cell, first along x and then along y: if the centre is inside, the
@@ -74,7 +75,7 @@ def polygons_at(queries, query_key, layer, radius=0.0, size=CELL_SIZE, split=Tru
     seen = met.selectExpr(*query_key, key,
                           f"core + if({along_x}, 1, 0) + if({along_y}, 1, 0) AS crossed",
                           f"{g.on_edge('x', 'y', *g.EDGE)} AS touches",
-                          f"{g.segment_distance('x', 'y', *g.EDGE)} AS wall")
+                          f"{_wall(radius, sides)} AS wall")
     seen = seen.groupBy(*query_key, key).agg(F.expr(
         "sum(crossed) % 2 = 1 AND NOT coalesce(max(touches), false) AS inside"),
         F.min("wall").alias("wall"))
@@ -82,6 +83,14 @@ def polygons_at(queries, query_key, layer, radius=0.0, size=CELL_SIZE, split=Tru
     return out.filter(f"inside OR dist <= {num(radius)}" if radius > 0 else "inside")
 
 
+def _wall(radius, sides):
+    """Distance to an edge; with ``sides`` null if it does not touch the polygon."""
+    dist = g.segment_distance("x", "y", *g.EDGE)
+    if sides is None:
+        return dist
+    return let("dw", dist, f"if({g.segment_in_reach('dw', 'x', 'y', *g.EDGE, radius, sides)}, dw, NULL)")
+
+
 def nearest_left(queries, query_key, edges, edge_key, radius, size=CELL_SIZE):
     """Left join of every point with its nearest shape at most ``radius`` away, all ties kept.
 

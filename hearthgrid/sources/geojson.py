@@ -3,12 +3,16 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearthgrid.functions.geometry import mixed
+from hearthgrid.functions.sql import let
 from hearthgrid.layer import Layer
 from hearthgrid.operators.profile import file_stem
 from hearthgrid.operators.columns import union_layers
 
 # Array levels of the coordinates by GeoJSON type.
-_LEVELS = {"Point": 1, "LineString": 2, "MultiLineString": 3, "Polygon": 3, "MultiPolygon": 4}
+_LEVELS = {"Point": 1, "MultiPoint": 2, "LineString": 2, "MultiLineString": 3, "Polygon": 3, "MultiPolygon": 4}
+_PARTS = {"points": ("Point", "MultiPoint"), "lines": ("LineString", "MultiLineString"), "polygons": ("Polygon", "MultiPolygon")}
+_COLLECTION = "GeometryCollection"
 _KIND_TYPES = {"point": ("Point", None), "line": ("LineString", "MultiLineString"),
                "polygon": ("Polygon", "MultiPolygon")}
 # A whole feature, and what else may stand on a line of a collection with one feature per line.
@@ -40,6 +44,8 @@ def geometry_of(raw, kind):
     Lines and polygons come out in their multi-part form, so that single and multi-part features
     can share a column. Empty coordinates give null; geometry of any other type is an error.
     """
+    if kind == "mixed":
+        return _mixed_of(raw)
     single, multi = _KIND_TYPES[kind]
     one, many = _LEVELS[single], _LEVELS.get(multi)
     text = f"nullif({raw}.coordinates, '[]')"
@@ -54,9 +60,28 @@ def geometry_of(raw, kind):
             f"ELSE {rest} END")
 
 
+def _mixed_of(raw):
+    """Geometry of any type, those of a collection put together; null if it is empty."""
+    own = f"array(struct({raw}.type AS type, {raw}.coordinates AS coordinates))"
+    parts = f"if({raw}.type = '{_COLLECTION}', {raw}.geometries, {own})"
+    known = ", ".join(f"'{t}'" for types in _PARTS.values() for t in types)
+    found = []
+    for single, multi in _PARTS.values():
+        text = "nullif(gp.coordinates, '[]')"
+        first = _points(f"from_json({text}, '{_nested(_LEVELS[single])}')", _LEVELS[single])
+        rest = _points(f"from_json({text}, '{_nested(_LEVELS[multi])}')", _LEVELS[multi])
+        taken = (f"CASE WHEN gp.type NOT IN ({known}) THEN raise_error(concat('unknown geometry type ', gp.type)) "
+                 f"WHEN {text} IS NULL THEN NULL WHEN gp.type = '{single}' THEN array({first}) "
+                 f"WHEN gp.type = '{multi}' THEN {rest} END")
+        found.append(f"flatten(filter(transform({parts}, gp -> {taken}), a -> a IS NOT NULL))")
+    made = let("mx", mixed(f"{raw}.type", *found), "if(size(mx.points) + size(mx.lines) + size(mx.polygons) = 0, NULL, mx)")
+    return f"if({raw} IS NULL, NULL, {made})"
+
+
 def _feature_fields(properties):
-    raw = T.StructType([T.StructField("type", T.StringType()),
-                        T.StructField("coordinates", T.StringType())])
+    part = T.StructType([T.StructField("type", T.StringType()),
+                         T.StructField("coordinates", T.StringType())])
+    raw = T.StructType([*part, T.StructField("geometries", T.ArrayType(part))])
     return [T.StructField("type", T.StringType()), T.StructField("properties", properties),
             T.StructField("geometry", raw)]
 
@@ -140,12 +165,13 @@ def read_geojson_layer(spark, paths, key, kind, properties=None, geom="geometry"
     return Layer(df, key, geom, kind, srid)
 
 
-def read_poi_folder(spark, folder, key="poi_id", properties=None, srid=4326, target=4326, kind="point",
+def read_poi_folder(spark, folder, key="poi_id", properties=None, srid=4326, target=4326, kind="mixed",
                     collection=False):
     """All POI files of a folder as one layer; the type of a POI is the stem of its file's name.
 
-    A file may itself be a folder of parts, as Spark writes it. An empty folder is an error, and so
-    is a file that cannot be parsed or holds other geometry than ``kind``.
+    The files may hold geometry of any kind, also side by side. A file may itself be a folder of parts, as Spark
+    writes it. An empty folder is an error, and so is a file that cannot be parsed or, if another
+    ``kind`` than mixed is asked for, holds other geometry than that.
     """
     rows = read_features(spark, f"{folder.rstrip('/')}/*.geojson", properties, collection, srid)
     named = F.regexp_replace("file", r"/part-[^/]*$", "")
@@ -156,9 +182,11 @@ def read_poi_folder(spark, folder, key="poi_id", properties=None, srid=4326, tar
 
 
 def union_poi_layers(*layers):
-    """POI layers in the system of the first, as one layer."""
-    moved = [layer.to_srid(layers[0].require_srid()).df for layer in layers]
-    return layers[0].with_df(union_layers(*moved))
+    """POI layers in the system of the first, as one layer; of any kind if theirs differ."""
+    moved = [layer.to_srid(layers[0].require_srid()) for layer in layers]
+    if len({layer.kind for layer in moved}) > 1:
+        moved = [layer.any_kind() for layer in moved]
+    return moved[0].with_df(union_layers(*[layer.df for layer in moved]))
 
 
 # --- writing ---------------------------------------------------------------------
@@ -173,6 +201,8 @@ def _coordinates(geom, levels):
 
 def to_features(layer):
     """One JSON text per feature, in a column ``value``."""
+    if layer.kind == "mixed":
+        return _mixed_features(layer)
     geom, kind = (layer.multi(), layer.kind) if layer.kind != "point" else (layer.geom, "point")
     single, multi = _KIND_TYPES[kind]
     name = multi or single
@@ -184,6 +214,25 @@ def to_features(layer):
         f"{body} AS geometry), map('ignoreNullFields', 'false')) AS value")
 
 
+def _mixed_features(layer):
+    """Features of a mixed layer, each with the type it was read with."""
+    geom = f"`{layer.geom}`"
+
+    def shape(name, value):
+        return f"to_json(struct('{name}' AS type, {_coordinates(value, _LEVELS[name] - 1)} AS coordinates))"
+
+    cases, members = [], []
+    for part, (single, multi) in _PARTS.items():
+        cases.append(f"WHEN '{single}' THEN {shape(single, f'{geom}.{part}[0]')} WHEN '{multi}' THEN {shape(multi, f'{geom}.{part}')}")
+        members.append(f"transform({geom}.{part}, member -> {shape(single, 'member')})")
+    whole = f"concat('{{\"type\":\"{_COLLECTION}\",\"geometries\":[', array_join(concat({', '.join(members)}), ','), ']}}')"
+    body = f"if({geom} IS NULL, 'null', CASE {geom}.kind {' '.join(cases)} ELSE {whole} END)"
+    rest = ", ".join(f"`{c}`" for c in layer.df.columns if c != layer.geom)
+    return layer.df.selectExpr(
+        f"concat('{{\"type\":\"Feature\",\"properties\":', to_json(struct({rest}), map('ignoreNullFields', 'false')), "
+        f"',\"geometry\":', {body}, '}}') AS value")
+
+
 def write_geojson(layer, path, mode="overwrite"):
     """One feature per line, one file per partition, coordinates in degrees as GeoJSON asks for."""
     to_features(layer.to_srid(4326)).write.mode(mode).text(path)
