@@ -145,7 +145,10 @@ def keep_one(docs, length=4, distance=4, key="doc_id", text="text"):
     named = F.struct(F.col(key).isNull().alias("late"), F.col(key).alias("name"), mark.alias("mark"))
     found = near_duplicates(docs.select(named.alias("_named"), F.col(text).alias("_text")), length, distance,
                             "_named", "_text")
-    first = found.filter("doc_id = component_id").select("doc_id.name", "doc_id.mark").distinct()
-    marked = docs.withColumn("_mark", mark)
-    same = (F.col("_mark") == F.col("mark")) & F.col(key).eqNullSafe(F.col("name"))
-    return marked.join(first, same, "left_semi").dropDuplicates(["_mark", key]).drop("_mark")
+    first = found.filter("doc_id = component_id") \
+        .select(F.col("doc_id.name").alias("first_name"), F.col("doc_id.mark").alias("first_mark")).distinct()
+    # The row travels in one column, so that its own names cannot clash with these.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = docs.select(whole, F.col(key).alias("row_name"), mark.alias("row_mark"))
+    same = (F.col("row_mark") == F.col("first_mark")) & F.col("row_name").eqNullSafe(F.col("first_name"))
+    return marked.join(first, same, "left_semi").dropDuplicates(["row_mark", "row_name"]).select("row.*")

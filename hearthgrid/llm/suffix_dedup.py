@@ -348,23 +348,22 @@ def cut_repeats(docs, length=200, key="doc_id", text="text", count=None):
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = keyed_documents(docs, key, text)
     marked = docs.select(whole, F.col(key).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("tag"))
-    found = repeated_stretches(keyed, length).withColumnRenamed("spans", "_spans")
-    joined = with_spans(marked, found).select("row.*", "_spans")
-    at, counted = docs.columns.index(text), docs.columns.index(count) if count else None
+    joined = with_spans(marked, repeated_stretches(keyed, length)).select("row", "spans")
+    names, at, counted = docs.columns, docs.columns.index(text), docs.columns.index(count) if count else None
 
     def cut(batches):
         for batch in slices(batches):
             texts = []
-            for content, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            columns = batch.column(0).flatten()  # the row's own columns, whatever their names
+            for content, spans in zip(columns[at].to_pylist(), batch.column(1).to_pylist()):
                 if content is not None and spans:
                     runs = merged((s["start"], s["end"]) for s in spans)
                     content = without(content.encode(), runs).decode(errors="ignore")
                 texts.append(content)
-            columns = batch.columns[:-1]
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            columns[at] = pa.array(texts, columns[at].type)
             if counted is not None:
                 lengths = [len(t) if t is not None else None for t in texts]
-                columns[counted] = pa.array(lengths, batch.schema.field(counted).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+                columns[counted] = pa.array(lengths, columns[counted].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(cut, docs.schema)

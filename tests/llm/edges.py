@@ -3,7 +3,8 @@
 import random
 
 CLASHES = ["h", "c", "tag", "n", "size", "fp", "class", "score", "kept", "shard", "slot", "spans", "row", "words",
-           "length", "sequence_id", "start", "label", "lang_pred", "_row", "_tag", "component", "node"]
+           "length", "sequence_id", "start", "label", "lang_pred", "_row", "_tag", "component", "node",
+           "name", "mark", "late", "_mark", "_spans", "_doc", "_counts", "_text", "_named", "first_name", "row_mark", "here", "there"]
 
 
 def prose(seed, n, words=("the", "cat", "sat", "on", "a", "mat", "and", "ran", "off", "with", "dogs", "to", "town")):

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
-from edges import TEXTS, edge_documents, no_documents, prose
+from edges import CLASHES, TEXTS, edge_documents, no_documents, prose
 
 import corpus_pipeline
 from hearthgrid.llm import anchors, bwt, pivots, simhash, suffix_dedup
@@ -263,3 +263,28 @@ def test_pipeline_stages(spark):
                 if r[1] == 0:
                     assert now[i].text == was[i].text
         before = after
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    """Every stage keeps the same rows as without the extra columns, and their values."""
+    sf = "/root/testdata/sf0.001"
+    plain = spark.read.parquet(f"{sf}/documents.parquet")
+    wide = plain.selectExpr("*", *[f"doc_id * 100 + {i} AS `{c}`" for i, c in enumerate(CLASHES)])
+    for name, stage in corpus_pipeline.STAGES:
+        plain, wide = stage(spark, plain, sf).cache(), stage(spark, wide, sf).cache()
+        if name == "packing":
+            columns = sorted(set(plain.columns) & set(wide.columns))
+            assert {"doc_id", "start", "length"} <= set(columns)
+            assert sorted(map(str, plain.select("doc_id", "start").collect())) == sorted(map(str, wide.select("doc_id", "start").collect()))
+            break
+        assert wide.columns == plain.columns + CLASHES, name
+        want = {r.doc_id: r.text for r in plain.collect()}
+        rows = wide.collect()
+        assert {r["doc_id"]: r["text"] for r in rows} == want and len(rows) == len(want), name
+        assert all(r[c] == r["doc_id"] * 100 + i for r in rows for i, c in enumerate(CLASHES)), name
+
+
+def test_rows_with_clashing_names_and_odd_keys_survive(spark):
+    docs = edge_documents(spark)
+    assert simhash.keep_one(docs).columns == docs.columns == suffix_dedup.cut_repeats(docs).columns
+    assert suffix_dedup.cut_repeats(docs).count() == docs.count() and simhash.keep_one(docs).count() < docs.count()
