@@ -27,7 +27,7 @@ from hearthgrid.llm.word_index import WordIndex
 from hearthgrid.session import materialize
 
 SHARD = 500_000
-NUMBERS = 300_000
+NUMBERS = 500_000
 PENDING = 1_000_000
 SALTS = 64
 TOP = 2000
