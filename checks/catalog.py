@@ -16,7 +16,7 @@ from hearthgrid.operators import metrics as m
 from hearthgrid.operators import neighbours as nb
 from hearthgrid.operators import prep
 from hearthgrid.operators import profile as pf
-from hearthgrid.operators.raster import Raster, sample
+from hearthgrid.operators.raster import Raster, pixels_of, sample, to_tiles
 from hearthgrid.operators.spatial_join import nearest_left, points_within, polygons_at
 from hearthgrid.operators.cells import explode_edges
 from hearthgrid.plans.building_features import building_features
@@ -46,6 +46,13 @@ def raster(spark, sf):
     return Raster(fx.view(spark, sf, "fx_pixels"), **fx.RASTER)
 
 
+def tiles(spark, sf):
+    """The raster in blocks, written and read again."""
+    path, blocks = scratch_path(spark, "tiles"), to_tiles(raster(spark, sf))
+    tables.write_tiles(blocks, path)
+    return tables.read_tiles(spark, path, blocks.side, blocks.x0, blocks.y0, blocks.dx, blocks.dy)
+
+
 POI_TYPES = ["high", "low", "medium", "not_specified", "urgent"]
 DIST = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 # Point to segment, in the terms of a (x, y) and r (x1, y1, x2, y2).
@@ -126,6 +133,11 @@ def scan_raster(spark, sf):
     return tables.read_raster(spark, path, **fx.RASTER).pixels
 
 
+@query("scan_raster_tiles", "SELECT row_idx, col_idx, max(value) AS value FROM fx_pixels WHERE value <> -99999 GROUP BY 1, 2", ["fx_pixels"])
+def scan_raster_tiles(spark, sf):
+    return pixels_of(tiles(spark, sf))
+
+
 @query("sink_parquet_roundtrip", "SELECT poi_id, poi_type, lon, lat FROM fx_pois", ["fx_pois"])
 def sink_parquet_roundtrip(spark, sf):
     path = scratch_path(spark, "all-poi")
@@ -449,6 +461,14 @@ POPULATION = f"""
 
 @query("population_sample", f"{POPULATION} SELECT building_id, population FROM population", ["fx_buildings", "fx_pixels"])
 def population_sample(spark, sf):
+    return sample(fx.buildings(spark, sf), tiles(spark, sf)).select("building_id", "population")
+
+
+ORACLES["population_sample_pixels"] = ORACLES["population_sample"]
+
+
+@query("population_sample_pixels")
+def population_sample_pixels(spark, sf):
     return sample(fx.buildings(spark, sf), raster(spark, sf)).select("building_id", "population")
 
 
@@ -872,6 +892,13 @@ def train_test_split(spark, sf):
     return prep.split_flag(fx.view(spark, sf, "fx_features").select("id"), "id")
 
 
+@query("train_test_split_exact", """
+, hashed AS (SELECT id, CAST('0x' || substr(md5('0:' || CAST(id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM fx_features)
+SELECT id, row_number() OVER (ORDER BY h, id) <= ceil(0.15 * (SELECT count(*) FROM hashed)) AS is_test FROM hashed""", ["fx_features"])
+def train_test_split_exact(spark, sf):
+    return prep.split_exact(fx.view(spark, sf, "fx_features").select("id"), "id")
+
+
 def training_table(spark, sf):
     return fx.view(spark, sf, "fx_features")
 

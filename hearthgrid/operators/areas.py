@@ -1,14 +1,16 @@
 """Administrative areas: filter points by area, tag buildings with their area."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from hearthgrid.config import AREA_COLUMNS
 from hearthgrid.functions import crs
-from hearthgrid.functions.sql import num
+from hearthgrid.functions.sql import let, num
 from hearthgrid.layer import require_columns, require_same_srid
-from hearthgrid.operators.spatial_join import polygons_at
+from hearthgrid.operators.spatial_join import polygons_around
 
-# Pieces per side that an average area is cut into.
+# Pieces per side, four times as many at most, that an area's outline is cut into.
 _CUTS = 8
 
 
@@ -18,29 +20,22 @@ def _side(areas):
     return f"greatest(array_max({xs}) - array_min({xs}), array_max({ys}) - array_min({ys}))"
 
 
-def size_classes(areas):
-    """The areas in layers of similar outlines, as (cell size, layer).
+def with_levels(areas, level="_level"):
+    """The areas with the quadtree level of their cells: 4^level is an eighth to a 32nd of the outline.
 
-    The cells of the first class are an eighth of the average outline; every further class has
-    outlines and cells four times as large. So no area covers more than a bounded number of cells,
-    and there are only as many classes as the largest outline has powers of four over the average.
+    Areas smaller than the average share the level of the average one, so that a point is looked up on few levels:
+    as many as the largest outline has powers of four over the average.
     """
-    mean = areas.df.agg(F.expr(f"avg({_side(areas)})")).first()[0]
-    if not mean:
-        return [(1.0, areas)]
-    step = f"CAST(greatest(0D, ceil(ln({_side(areas)} / {num(2.0 * mean)}) / ln(4D))) AS INT)"
-    classed = areas.df.withColumn("_class", F.expr(f"coalesce({step}, 0)"))
-    used = sorted(r[0] for r in classed.select("_class").distinct().collect())
-    return [(mean / _CUTS * 4.0**k, areas.with_df(classed.filter(F.col("_class") == k).drop("_class"))) for k in used]
+    step = let("sd", _side(areas), f"if(sd > 0 AND sd < double('Infinity'), CAST(floor(ln(sd / {num(_CUTS)}) / ln(4D)) AS INT), NULL)")
+    classed = areas.df.withColumn(level, F.expr(step))
+    mean = areas.df.agg(F.expr(f"avg(nullif({_side(areas)}, double('Infinity')))")).first()[0]
+    least = math.floor(math.log(mean / _CUTS, 4)) if mean else 0
+    return areas.with_df(classed.withColumn(level, F.greatest(F.coalesce(F.col(level), F.lit(least)), F.lit(least))))
 
 
 def areas_at(spots, query_key, areas):
-    """The containing areas of each point, class by class."""
-    found = [polygons_at(spots, query_key, layer, size=size) for size, layer in size_classes(areas)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    """The containing areas of each point."""
+    return polygons_around(spots, query_key, with_levels(areas.with_df(areas.df.select(areas.key, areas.geom))))
 
 
 def points_in_areas(points, areas):

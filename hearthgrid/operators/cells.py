@@ -13,8 +13,13 @@ from hearthgrid.functions.sql import num
 CELL = ["gx", "gy"]
 
 
+def _side(size):
+    """A cell size as SQL text; it is given as a number, or as the name of a column that holds each row's own."""
+    return size if isinstance(size, str) else num(size)
+
+
 def _cell(value, size):
-    return f"CAST(floor(({value}) / {num(size)}) AS BIGINT)"
+    return f"CAST(floor(({value}) / {_side(size)}) AS BIGINT)"
 
 
 def finite(*cols):
@@ -30,12 +35,14 @@ def with_cell(df, x, y, size):
 
 def _reach(radius, size):
     # A sliver more than the radius, so that rounding never loses a pair at the very edge.
-    return float(radius) + size * 1e-6
+    if isinstance(size, str):
+        return f"({num(radius)} + {size} * 1e-6D)"
+    return num(float(radius) + size * 1e-6)
 
 
 def spread_points(df, x, y, radius, size):
     """One row per cell within ``radius`` of each point."""
-    reach, side = num(_reach(radius, size)), num(size)
+    reach, side = _reach(radius, size), _side(size)
 
     def cells(v):
         return f"explode(sequence({_cell(f'{v} - {reach}', size)}, {_cell(f'{v} + {reach}', size)}))"
@@ -61,7 +68,7 @@ def spread_edges(df, radius, size):
     Cells are listed column by column along the edge, so a long slanted edge gives as many rows as
     its length asks for, not as many as its bounding box.
     """
-    reach, side = num(_reach(radius, size)), num(size)
+    reach, side = _reach(radius, size), _side(size)
 
     def height_at(x, upright):
         t = f"least(1D, greatest(0D, ({x} - x1) / (x2 - x1)))"
@@ -77,13 +84,13 @@ def spread_edges(df, radius, size):
         f"{_cell(f'greatest(ya, yb) + {reach}', size)})) AS gy")).drop("ya", "yb")
 
 
-def covered_centres(edges, key, size):
-    """Cells whose centre lies inside the polygon, as ``key, gx, gy``.
+def covered_centres(edges, key, size, keep=()):
+    """Cells whose centre lies inside the polygon, as ``key, gx, gy`` and ``keep``, columns that are one per key.
 
     Each edge that crosses the height of a row of centres is reduced to the last centre left of it.
     Sorted, these come in pairs, and the centres between the two of a pair are inside.
     """
-    half, side = num(size / 2.0), num(size)
+    half, side = (f"({size} / 2D)" if isinstance(size, str) else num(size / 2.0)), _side(size)
     rows = edges.filter(finite(*g.EDGE)).selectExpr("*", (
         f"explode(sequence(CAST(ceil((least(y1, y2) - {half}) / {side}) AS BIGINT) - 1, "
         f"CAST(floor((greatest(y1, y2) - {half}) / {side}) AS BIGINT) + 1)) AS gy"))
@@ -96,10 +103,10 @@ def covered_centres(edges, key, size):
 
     last = (f"CASE WHEN {left_of('(near + 1)')} THEN near + 1 "
             f"WHEN {left_of('near')} THEN near ELSE near - 1 END")
-    hits = rows.selectExpr(key, "gy", f"{last} AS m").groupBy(key, "gy") \
+    hits = rows.selectExpr(key, *keep, "gy", f"{last} AS m").groupBy(key, *keep, "gy") \
         .agg(F.expr("array_sort(collect_list(m)) AS ms"))
     # Neighbours in sorted order: element 0 with 1, 2 with 3 and so on.
     runs = ("filter(transform(ms, (m, i) -> struct(i AS i, m + 1 AS a, get(ms, i + 1) AS b)), "
             "r -> r.i % 2 = 0 AND r.a <= r.b)")
-    inside = hits.selectExpr(key, "gy", f"inline({runs}) AS (i, a, b)")
-    return inside.selectExpr(key, "explode(sequence(a, b)) AS gx", "gy")
+    inside = hits.selectExpr(key, *keep, "gy", f"inline({runs}) AS (i, a, b)")
+    return inside.selectExpr(key, *keep, "explode(sequence(a, b)) AS gx", "gy")

@@ -32,50 +32,74 @@ def measured(column):
     return f"{column} IS NOT NULL AND NOT isnan({column})"
 
 
-# Rank error of each approximate look at a quantile, as one part in so many, and the number of
-# values that are few enough to be ranked in one task.
-_RANKS = 10_000
+# Size of the sketch that brackets a quantile, half the width of the bracket as a share of all ranks (twice the
+# sketch's rank error), the pieces a bracket is cut into, and the number of values that are few enough to be ranked in one task.
+_SKETCH = 4096
+_MARGIN = 0.0025
+_PIECES = 1000
 _FEW = 100_000
 
 
 def exact_quantile(df, column=TARGET, q=TARGET_QUANTILE, few=_FEW):
     """One row ``quantile``: the linearly interpolated quantile of the measured values.
 
-    A coarse approximate quantile brackets the answer, and counts tell which part of the bracket the
-    two values around the wanted rank are in. Round by round the open interval shrinks, until
-    it is narrow enough to be ranked or a repeated value is the answer.
+    ``df`` is read twice. The first pass merges sketches of all values, which bracket the answer. The second counts what lies below
+    the bracket and writes the distinct values inside with their counts, a small part of the rows; what is left to do
+    reads those. Should a bracket miss, which the sketch makes very unlikely, a wider one is read.
     """
     values = df.selectExpr(f"CAST({column} AS DOUBLE) AS v").filter(measured("v"))
-    n = values.count()
-    spark = df.sparkSession
+    spark, margin = df.sparkSession, _MARGIN
+    ends = [f"kll_sketch_get_quantile_double(sketch, {num(p)})" for p in (max(0.0, q - margin), min(1.0, q + margin))]
+    n, low, high = values.agg(F.count("v").alias("n"), F.expr(f"kll_sketch_agg_double(v, {_SKETCH})").alias("sketch")) \
+        .selectExpr("n", *[f"if(n > 0, {e}, NULL)" for e in ends]).first()
     if n == 0:
         return spark.sql("SELECT CAST(NULL AS DOUBLE) AS quantile")
     rank = q * (n - 1)
     first = math.floor(rank)
-    a, b = _values_at(values, first, min(first + 1, n - 1), n, few)
+    ranks = (first, min(first + 1, n - 1))
+    if n <= few:
+        low, high = None, None
+    while True:
+        below, inside, within = _bracket(values, low, high)
+        if below <= ranks[0] and ranks[1] < below + within:
+            break
+        low, high = None, None
+    a, b = _values_at(inside, below, *ranks, few)
     found = a if a == b else a + (rank - first) * (b - a)
     return spark.createDataFrame([(found,)], "quantile double")
 
 
-def _values_at(values, a, b, n, few):
-    """The values at the neighbouring ranks ``a`` and ``b`` (from 0)."""
-    inside, below = values, 0
-    while n > few:
-        q, margin = (a - below) / max(1, n - 1), 2.0 / _RANKS + 2.0 / n
-        ends = f"array({num(max(0.0, q - margin))}, {num(min(1.0, q + margin))})"
-        low, high = inside.agg(F.expr(f"percentile_approx(v, {ends}, {_RANKS})")).first()[0]
-        low, high = (num(v) if math.isfinite(v) else f"double('{v}')" for v in (low, high))
-        zones = [f"v < {low}", f"v = {low}", f"v > {low} AND v < {high}", f"v = {high} AND v > {low}", f"v > {high}"]
-        row = inside.agg(*[F.expr(f"count_if({z})") for z in zones],
-                         *[F.expr(f"{end}(v) FILTER (WHERE {z})") for z in zones for end in ("min", "max")]).first()
-        starts = [below + sum(row[:k]) for k in range(6)]
-        of_a, of_b = (max(k for k in range(5) if starts[k] <= r and row[k]) for r in (a, b))
-        if of_a != of_b:
-            return row[5 + 2 * of_a + 1], row[5 + 2 * of_b]
-        if of_a in (1, 3):
-            return row[5 + 2 * of_a], row[5 + 2 * of_a]
-        inside, below, n = inside.filter(zones[of_a]), starts[of_a], row[of_a]
-    rows = inside.groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()  # ``few`` at most
+def _double(value):
+    return num(value) if math.isfinite(value) else f"double('{value}')"
+
+
+def _bracket(values, low, high):
+    """Values below the bracket, a table ``v, n`` of those in it, and their number; without ends, all values."""
+    zone = "0" if low is None else f"CASE WHEN v < {_double(low)} THEN -1 WHEN v > {_double(high)} THEN 1 ELSE 0 END"
+    counted = values.selectExpr(f"{zone} AS zone", "v").selectExpr("zone", "if(zone = 0, v, NULL) AS v") \
+        .groupBy("zone", "v").agg(F.count(F.lit(1)).alias("n"))
+    counted = materialize(counted, "quantile")
+    sums = {r["zone"]: r["n"] for r in counted.groupBy("zone").agg(F.sum("n").alias("n")).collect()}
+    return sums.get(-1, 0), counted.filter("zone = 0").select("v", "n"), sums.get(0, 0)
+
+
+def _values_at(inside, below, a, b, few):
+    """The values at the neighbouring ranks ``a`` and ``b`` (from 0) of a table ``v, n`` with ``below`` values before it."""
+    while inside.count() > few:
+        cuts = ", ".join(num(k / _PIECES) for k in range(1, _PIECES))
+        pivots = sorted(set(inside.agg(F.expr(f"percentile_approx(v, array({cuts}), {10 * _PIECES})")).first()[0]))
+        piece = f"aggregate(array({', '.join(map(_double, pivots))}), 0, (k, p) -> k + if(p < v, 1, 0))"
+        parts = inside.selectExpr("v", "n", f"{piece} AS piece").groupBy("piece") \
+            .agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("piece").collect()
+        upto, chosen = below, []
+        for r in parts:
+            chosen += [(r, upto)] * (upto <= a < upto + r["n"] or upto <= b < upto + r["n"])
+            upto += r["n"]
+        if len(chosen) > 1:
+            return chosen[0][0]["hi"], chosen[1][0]["lo"]
+        (r, below), = chosen
+        inside = inside.filter(f"v BETWEEN {_double(r['lo'])} AND {_double(r['hi'])}")
+    rows = inside.orderBy("v").collect()  # ``few`` at most
     out, upto = [], below
     for r in rows:
         upto += r.n

@@ -67,20 +67,47 @@ def polygons_at(queries, query_key, layer, radius=0.0, size=CELL_SIZE, split=Tru
     left = with_cell(queries, "x", "y", size)
     met = join_cells(left, pieces, ["x", "y"]) if split else left.join(pieces, CELL)
 
-    cx, cy = f"((gx + 0.5D) * {num(size)})", f"((gy + 0.5D) * {num(size)})"
+    seen = _crossings(met, query_key, key, num(size), _wall(radius, sides))
+    out = seen.selectExpr(*query_key, key, "inside", "if(inside, 0D, wall) AS dist")
+    return out.filter(f"inside OR dist <= {num(radius)}" if radius > 0 else "inside")
+
+
+def _crossings(met, query_key, key, side, wall):
+    """``inside`` and the smallest ``wall`` of every point and polygon, from a point's pieces in its cell."""
+    cx, cy = f"((gx + 0.5D) * {side})", f"((gy + 0.5D) * {side})"
     along_x = f"{g.spans('y1', 'y2', 'y')} AND ({g.edge_right_of('x', 'y', *g.EDGE)} " \
               f"!= {g.edge_right_of(cx, 'y', *g.EDGE)})"
     along_y = f"{g.spans('x1', 'x2', cx)} AND ({g.edge_above(cx, 'y', *g.EDGE)} " \
               f"!= {g.edge_above(cx, cy, *g.EDGE)})"
     seen = met.selectExpr(*query_key, key,
                           f"core + if({along_x}, 1, 0) + if({along_y}, 1, 0) AS crossed",
-                          f"{g.on_edge('x', 'y', *g.EDGE)} AS touches",
-                          f"{_wall(radius, sides)} AS wall")
-    seen = seen.groupBy(*query_key, key).agg(F.expr(
+                          f"{g.on_edge('x', 'y', *g.EDGE)} AS touches", f"{wall} AS wall")
+    return seen.groupBy(*query_key, key).agg(F.expr(
         "sum(crossed) % 2 = 1 AND NOT coalesce(max(touches), false) AS inside"),
         F.min("wall").alias("wall"))
-    out = seen.selectExpr(*query_key, key, "inside", "if(inside, 0D, wall) AS dist")
-    return out.filter(f"inside OR dist <= {num(radius)}" if radius > 0 else "inside")
+
+
+def polygons_around(queries, query_key, layer, level="_level"):
+    """One row per point and polygon that contains it, for polygons of very different sizes in one equi-join.
+
+    Every polygon has a ``level``; its cells are 4^level wide, and its pieces are keyed by level and cell, as in a linear
+    quadtree. A point is looked up in its cell on every level in use.
+    """
+    key = layer.key
+    used = sorted(r[0] for r in layer.df.select(level).distinct().collect())
+    levels = F.array(*[F.lit(k).cast("int") for k in used]) if used else F.expr("CAST(array() AS ARRAY<INT>)")
+    points = queries.withColumn(level, F.explode(levels)).withColumn("_side", F.expr(f"power(4D, {level})"))
+    met = with_cell(points, "x", "y", "_side").join(quadtree_pieces(layer, level), [level, *CELL])
+    return _crossings(met, query_key, key, "_side", "CAST(NULL AS DOUBLE)").filter("inside").select(*query_key, key)
+
+
+def quadtree_pieces(layer, level="_level"):
+    """Edges and covered centres of polygons, each in cells of its polygon's own level."""
+    sized = layer.with_df(layer.df.withColumn("_side", F.expr(f"power(4D, {level})")))
+    edges = explode_edges(sized, level, "_side")
+    walls = spread_edges(edges, 0.0, "_side").selectExpr("*", "0 AS core")
+    cores = covered_centres(edges, layer.key, "_side", [level, "_side"]).selectExpr("*", "1 AS core")
+    return walls.unionByName(cores, allowMissingColumns=True).drop("_side")
 
 
 def _wall(radius, sides):

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -206,3 +207,45 @@ def test_both_ways_of_encoding_give_the_same(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("SortMergeJoin [_column") == 1
+
+
+@pytest.mark.parametrize("few", [100, 100_000])
+def test_a_quantile_reads_its_table_twice(spark, few):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=30_000).tolist()
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4).mapInArrow(counted, "v double")
+    for q in (0.5, 0.99):
+        seen.value = 0
+        assert c.exact_quantile(df, "v", q, few).first()[0] == pytest.approx(np.quantile(values, q), rel=1e-12)
+        assert seen.value == 2 * len(values)
+
+
+def test_a_bracket_that_misses_is_widened(spark, monkeypatch):
+    monkeypatch.setattr(c, "_MARGIN", -0.2)
+    df = spark.createDataFrame([(float(i * 31 % 5000),) for i in range(5000)], "v double")
+    assert c.exact_quantile(df, "v", 0.5, 50).first()[0] == 2499.5
+
+
+@pytest.mark.parametrize("rows,share,want", [(1, 0.15, 1), (20, 0.15, 3), (1000, 0.15, 150), (1001, 0.15, 151), (777, 0.3, 234), (10, 0.0, 0), (10, 1.0, 10)])
+def test_a_split_of_exact_size(spark, rows, share, want):
+    df = spark.range(rows).withColumnRenamed("id", "k").repartition(3)
+    got = prep.split_exact(df, "k", share, seed=4)
+    order = sorted(range(rows), key=lambda k: (int(hashlib.md5(f"4:{k}".encode()).hexdigest()[:15], 16), k))
+    assert {r["k"] for r in got.filter("is_test").collect()} == set(order[:want]) and got.count() == rows
+    assert prep.split_exact(df.limit(0), "k", share).count() == 0
+
+
+def test_equal_hashes_are_told_apart_by_key(spark, monkeypatch):
+    monkeypatch.setattr(prep, "hash_whole", lambda key, seed: "CAST(7 + (k % 2) AS BIGINT)")
+    df = spark.createDataFrame([(k,) for k in [*range(40), None]], "k bigint")
+    got = prep.split_exact(df, "k", 0.3)
+    assert sorted(r["k"] for r in got.filter("is_test").collect()) == list(range(0, 26, 2))
+    twice = df.filter("k = 0").unionByName(df.filter("k = 0"))
+    assert prep.split_exact(twice, "k", 0.5).filter("is_test").count() == 0

@@ -5,7 +5,8 @@ import pytest
 from hearthgrid import Layer
 from hearthgrid.operators import neighbours as nb
 from hearthgrid.operators.areas import area_features, points_in_areas
-from hearthgrid.operators.raster import Raster, sample
+from hearthgrid.operators.raster import Raster, pixels_of, sample, sample_places, to_tiles
+from hearthgrid.sources.tables import read_tiles, write_tiles
 from hearthgrid.plans.building_features import building_features
 from tests import shapes
 
@@ -154,3 +155,36 @@ def test_job_with_areas_keeps_one_row_per_building(spark):
     assert len(out) == 4 and "LandArea" not in out[1].asDict()
     assert (out[1]["area_OBJECTID"], out[1]["area_FNAME"], out[1]["population"]) == (7, "A", 4.0)
     assert math.isinf(out[3]["nearest_road_dist"]) and out[3]["area_FNAME"] is None
+
+
+@pytest.mark.parametrize("side", [1, 3, 64])
+def test_tiles_hold_the_pixels_and_sample_the_same(spark, side):
+    rng = shapes.rng(12)
+    rows = [(rng.randrange(-5, 40), rng.randrange(0, 50), rng.choice([None, float("nan"), -1.0, rng.random()])) for _ in range(700)]
+    pixels = spark.createDataFrame(rows, "row_idx bigint, col_idx bigint, value double").repartition(3)
+    raster = Raster(pixels, 0.0, 10.0, 0.1, 0.1, -1.0)
+    tiles = to_tiles(raster, side)
+    want = {}
+    for r, col, v in rows:
+        if v is not None and v == v and v != -1.0:
+            want[r, col] = max(v, want.get((r, col), v))
+    assert {(p["row_idx"], p["col_idx"]): p["value"] for p in pixels_of(tiles).collect()} == want
+    places = [(i, shapes.pt(rng.uniform(-1, 6), rng.uniform(5, 11))) for i in range(300)] + [(300, None)]
+    spots = Layer(spark.createDataFrame(places, f"building_id bigint, spot {POINT}"), "building_id", "spot", "point", 4326)
+    plain = {r["building_id"]: r["population"] for r in sample(spots, raster).collect()}
+    assert plain == {r["building_id"]: r["population"] for r in sample(spots, tiles).collect()} and any(plain.values())
+    for i, spot in places[:-1]:
+        assert plain[i] == pytest.approx(want.get((math.floor((10.0 - spot["y"]) / 0.1), math.floor(spot["x"] / 0.1)), 0.0))
+
+
+def test_the_extent_of_the_places_reaches_the_scan_of_tiles(spark, tmp_path):
+    pixels = spark.range(10_000).selectExpr("id DIV 100 AS row_idx", "id % 100 AS col_idx", "CAST(id AS DOUBLE) AS value")
+    blocks = to_tiles(Raster(pixels, 0.0, 10.0, 0.1, 0.1), 8)
+    write_tiles(blocks, str(tmp_path / "tiles"))
+    tiles = read_tiles(spark, str(tmp_path / "tiles"), 8, 0.0, 10.0, 0.1, 0.1)
+    spots = spark.createDataFrame([(1, 1.0e5, 1.1e6)], "place bigint, x double, y double")
+    out = sample_places(spots, tiles)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "tile_row" in plan.split("DataFilters")[1].split("]")[0] and "tile_col" in plan.split("DataFilters")[1].split("Format")[0]
+    assert out.count() == 1
+    assert sample_places(spots.limit(0), tiles).count() == 0

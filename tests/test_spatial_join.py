@@ -148,7 +148,7 @@ def test_near_rows_gives_the_same_with_and_without_crowding(spark, sides):
 
 @pytest.mark.parametrize("budget", [10**9, 2000, 1])
 def test_water_counts_match_brute_force_in_crowded_cells(spark, budget, monkeypatch):
-    monkeypatch.setattr(crowded.crowded_polygon_counts, "__defaults__", (60,))
+    monkeypatch.setattr(crowded.crowded_polygon_counts, "__defaults__", (60, None))
     rng = shapes.rng(14)
     polys = [shapes.polygon(rng, 400.0) for _ in range(40)]
     polys += [[[shapes.ring([(-900, -900), (2000, -900), (2000, 1500), (-900, 1500)])]]] * 2
@@ -166,7 +166,7 @@ def test_water_counts_match_brute_force_in_crowded_cells(spark, budget, monkeypa
 
 @pytest.mark.parametrize("budget", [10**9, 3000, 1])
 def test_roads_by_place_match_brute_force_in_crowded_cells(spark, budget, monkeypatch):
-    monkeypatch.setattr(crowded.crowded_edge_rows, "__defaults__", (60, 0, None, True))
+    monkeypatch.setattr(crowded.crowded_edge_rows, "__defaults__", (60, 0, None, True, None))
     rng = shapes.rng(13)
     lines = []
     for i in range(80):
@@ -231,14 +231,27 @@ def test_one_huge_area_does_not_fill_the_grid(spark):
              for x in [i * 0.05 for i in range(50)] for y in [i * 0.05 for i in range(40)]]
     polys = small + [[[shapes.ring([(-10, -10), (10, -10), (10, 10), (-10, 10)])]]]
     lay = Layer(spark.createDataFrame(list(enumerate(polys)), POLYGON), "id", "geom", "polygon", 4326)
-    rows = 0
-    for size, one in areas.size_classes(lay):
-        edges = cells.explode_edges(one)
-        rows += cells.spread_edges(edges, 0.0, size).count() + cells.covered_centres(edges, "id", size).count()
-    assert rows < 100 * len(polys)
+    assert sj.quadtree_pieces(areas.with_levels(lay)).count() < 200 * len(polys)
     where = spots(spark, [(0.01, 0.01), (1.0, 5.0), (50.0, 0.0), (0.04, 0.04)])
     got = sorted((r["qid"], r["id"]) for r in areas.areas_at(where, ["qid"], lay).collect())
     assert got == [(0, 0), (0, 2000), (1, 2000), (3, 2000)]
+    found = areas.areas_at(where, ["qid"], lay)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "_level" in plan
+
+
+@pytest.mark.parametrize("unit", [1e-4, 1.0, 7000.0])
+def test_areas_of_very_different_sizes_in_one_join(spark, unit):
+    rng = shapes.rng(31)
+    polys = [shapes.polygon(rng, unit * 10 ** rng.uniform(0, 3.5)) for _ in range(40)] + [[[shapes.ring([(0, 0), (0, 0), (0, 0)])]], None]
+    lay = Layer(spark.createDataFrame(list(enumerate(polys)), POLYGON), "id", "geom", "polygon", 3857)
+    where = [(unit * 10 ** rng.uniform(-1, 3.6), unit * 10 ** rng.uniform(-1, 3.6)) for _ in range(150)]
+    got = sorted((r["qid"], r["id"]) for r in areas.areas_at(spots(spark, where), ["qid"], lay).collect())
+    want = [(q, i) for q, (x, y) in enumerate(where) for i, p in enumerate(polys) if p and shapes.inside(x, y, p)]
+    assert got == want and len({i for _, i in want}) > 10
+    levels = areas.with_levels(lay).df.select("_level").distinct().count()
+    assert levels > 1
+    assert areas.areas_at(spots(spark, where), ["qid"], lay.with_df(lay.df.limit(0))).count() == 0
 
 
 def test_any_radius_is_searched_in_crowded_cells(spark):
