@@ -22,7 +22,7 @@ from hearthgrid.operators.cells import explode_edges
 from hearthgrid.plans.building_features import building_features
 from hearthgrid.plans.clean_attributes import clean_attributes, target_report
 from hearthgrid.plans.train_compare import score_models, train_and_compare, train_models
-from hearthgrid.session import scratch_path
+from hearthgrid.session import materialize, scratch_path
 from hearthgrid.sources import geojson, sinks, tables
 
 QUERIES = {}
@@ -97,6 +97,23 @@ def scan_geojson_collection(spark, sf):
 
 
 ODD_NAMES = {"high": "bus stop", "low": "v1.2", "medium": "Shop", "not_specified": "shop", "urgent": "100%+"}
+@query("scan_geojson_document", "SELECT building_id, round(lon, 9) AS lon, round(lat, 9) AS lat FROM fx_buildings", ["fx_buildings"])
+def scan_geojson_document(spark, sf):
+    """One document on a single line, cut into byte ranges that several tasks read."""
+    path, layer = scratch_path(spark, "document"), fx.building_points(spark, sf)
+    features = geojson.to_features(layer.to_srid(4326)).select(F.concat(F.col("value"), F.lit(",")).alias("value"))
+    ends = [f'{{"type": "FeatureCollection", "name": "a }} \\"b", "features": [', '{"type": "Note"}]}']
+    head, tail = (spark.createDataFrame([(e,)], "value string") for e in ends)
+    whole = head.withColumn("k", F.lit(0)).unionByName(features.withColumn("k", F.lit(1))).unionByName(tail.withColumn("k", F.lit(2)))
+    whole.orderBy("k").select("value").coalesce(1).write.option("lineSep", " ").text(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        read = geojson.read_geojson_layer(spark, path, "building_id", "point", collection="ranges")
+        return rounded(materialize(read.located(names=("lon", "lat")), "read"), 9, "lon", "lat")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 ODD_SQL = "CASE poi_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ODD_NAMES.items()) + " END"
 
 

@@ -187,8 +187,9 @@ def water_counts(spots, layer, radius, size=CELL_SIZE, budget=PAIR_BUDGET, sides
         raise ValueError("the radius is too small")
     edges = explode_edges(layer)
     celled = with_cell(spots.select(*PLACE), "x", "y", size)
-    cold, crowd = by_crowding(celled, hot_cells(celled, spread_edges(edges, radius, size), budget))
-    counts = polygons_at(cold, ["place"], layer, radius, size, split=False, sides=sides) \
+    spread = materialize(spread_edges(edges, radius, size), "spread")
+    cold, crowd = by_crowding(celled, hot_cells(celled, spread, budget))
+    counts = polygons_at(cold, ["place"], layer, radius, size, split=False, sides=sides, spread=spread) \
         .groupBy("place").agg(F.count(F.lit(1)).alias("count_water"))
     if crowd is None:
         return counts
@@ -237,17 +238,18 @@ def road_by_place(spots, roads, radius, size=CELL_SIZE, budget=PAIR_BUDGET):
     """
     layer = usable_roads(roads).projected()
     edges, queries = explode_edges(layer), spots.select(*PLACE)
-    celled, spread = with_cell(queries, "x", "y", size), spread_edges(edges, radius, size)
+    celled = with_cell(queries, "x", "y", size)
+    spread = materialize(spread_edges(edges, radius, size), "spread")
     cold, crowd = by_crowding(celled, hot_cells(celled, spread, budget))
     if crowd is None:
-        return _by_distance(_edge_rows(cold, edges, layer.key, radius, size))
+        return _by_distance(_edge_rows(cold, spread, layer.key, radius, size))
     exact, settled = crowded_edge_rows(crowd, edges, layer.key, radius, size)
-    return _by_distance(_edge_rows(cold, edges, layer.key, radius, size).unionByName(exact), settled)
+    return _by_distance(_edge_rows(cold, spread, layer.key, radius, size).unionByName(exact), settled)
 
 
-def _edge_rows(queries, edges, key, radius, size):
+def _edge_rows(queries, spread, key, radius, size):
     """One row per place and road in range, with the distance between the two."""
-    near = edges_within(queries, edges, radius, size, split=False)
+    near = edges_within(queries, None, radius, size, split=False, spread=spread)
     # Sent out by place, so that this grouping and those that follow share one shuffle.
     return near.select("place", key, "dist").repartition("place") \
         .groupBy("place", key).agg(F.min("dist").alias("dist")).withColumn("n", F.lit(1).cast("bigint"))

@@ -13,7 +13,6 @@ PAIR_BUDGET = 500_000_000
 # whatever the size of the data.
 HOT_KEY_SHARE = 1e-3
 HOT_KEY_ROWS = 100_000
-SALTS = 64
 
 
 def cell_loads(points, pieces):
@@ -32,8 +31,8 @@ def hot_cells(points, pieces, budget=PAIR_BUDGET):
 
 
 def written(hot):
-    hot = materialize(hot, "hot_cells")
-    return None if hot.isEmpty() else hot
+    """The crowded cells, written out; None, and nothing written, in the usual case that there are none."""
+    return None if hot.isEmpty() else materialize(hot, "hot_cells")
 
 
 def join_cells(points, pieces, point_xy, budget=PAIR_BUDGET):
@@ -55,26 +54,27 @@ def join_cells(points, pieces, point_xy, budget=PAIR_BUDGET):
 
 
 def hot_keys(sizes, keys, min_rows=HOT_KEY_ROWS):
-    """Keys of ``sizes`` (``keys`` and ``n``) that own more than the hot share of all rows."""
+    """Keys of ``sizes`` (``keys`` and ``n``) that own more than the hot share of all rows, and in how many ``parts``
+    of at most ``min_rows`` rows to deal each out."""
     total = sizes.agg(F.sum("n")).scalar()
     floor = F.greatest(F.lit(float(min_rows)), F.lit(HOT_KEY_SHARE) * total)
-    return sizes.filter(F.col("n") > floor).select(*keys, F.lit(True).alias("hot"))
+    parts = F.ceil(F.col("n") / F.lit(min_rows)).cast("int")
+    return sizes.filter(F.col("n") > floor).select(*keys, parts.alias("parts"))
 
 
 def attach(left, right, keys, sizes, row_id, min_rows=HOT_KEY_ROWS):
     """Left join of rows with a frame that has one row per key.
 
-    Rows of a hot key, and rows whose key is null, are dealt out over ``SALTS`` parts by a hash of
-    ``row_id``; the right side repeats its one row per hot key.
+    Rows of a hot key are dealt out by a hash of ``row_id``, over as many parts as its rows ask for; the right side
+    repeats its one row per part. Rows whose key is null match nothing and need no such row: they are dealt out over all tasks.
     """
     hot = F.broadcast(hot_keys(sizes, keys, min_rows))
-    spread = F.pmod(F.xxhash64(row_id), F.lit(SALTS)).cast("int")
-    split = F.col("hot").isNotNull()
+    missing = F.lit(False)
     for k in keys:
-        split = split | F.col(k).isNull()
-    left = left.join(hot, keys, "left") \
-        .withColumn("salt", F.when(split, spread).otherwise(F.lit(0))).drop("hot")
-    salts = F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))) \
-        .otherwise(F.array(F.lit(0)))
-    right = right.join(hot, keys, "left").withColumn("salt", F.explode(salts)).drop("hot")
+        missing = missing | F.col(k).isNull()
+    dealt = F.xxhash64(row_id)
+    left = left.join(hot, keys, "left").withColumn(
+        "salt", F.when(missing, dealt).otherwise(F.pmod(dealt, F.coalesce(F.col("parts"), F.lit(1)).cast("long")))).drop("parts")
+    right = right.join(hot, keys, "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts"), F.lit(1)).cast("long") - 1))).drop("parts")
     return left.join(right, keys + ["salt"], "left").drop("salt")

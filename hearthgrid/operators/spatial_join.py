@@ -33,26 +33,27 @@ def points_within(queries, objects, radius, inclusive=False, size=CELL_SIZE, spl
     return joined.filter(near).drop(*CELL)
 
 
-def edges_within(queries, edges, radius, size=CELL_SIZE, split=True):
+def edges_within(queries, edges, radius, size=CELL_SIZE, split=True, spread=None):
     """Inner join of points with edges at most ``radius`` away; adds ``dist``.
 
     A point meets a shape once per near edge; group by both to get one row per pair. Crowded cells
-    are split over several tasks unless ``split`` is off.
+    are split over several tasks unless ``split`` is off. ``spread`` passes the edges' cells if they are known.
     """
-    left, right = with_cell(queries, "x", "y", size), spread_edges(edges, radius, size)
+    left = with_cell(queries, "x", "y", size)
+    right = spread_edges(edges, radius, size) if spread is None else spread
     joined = join_cells(left, right, ["x", "y"]) if split else left.join(right, CELL)
     joined = joined \
         .selectExpr("*", f"{g.segment_distance('x', 'y', *g.EDGE)} AS dist")
     return joined.filter(f"dist <= {num(radius)}").drop(*g.EDGE, *CELL)
 
 
-def polygons_at(queries, query_key, layer, radius=0.0, size=CELL_SIZE, split=True, sides=None):
+def polygons_at(queries, query_key, layer, radius=0.0, size=CELL_SIZE, split=True, sides=None, spread=None):
     """One row per point and polygon that meet, with ``inside`` and ``dist``.
 
     ``query_key`` lists the columns that identify a point and includes what is to be kept of it.
     With radius 0 only the containing polygons come back, points on the boundary left out.
     Otherwise also the polygons within ``radius`` of the point, or, with ``sides``, those that touch the
-    polygon drawn in that circle.
+    polygon drawn in that circle. ``spread`` passes the cells of the layer's edges if they are known.
 
     Polygons are cut into edges and covered cell centres. To tell whether a point is inside, walk
     from it to the centre of its cell, first along x and then along y: if the centre is inside, the
@@ -61,7 +62,8 @@ def polygons_at(queries, query_key, layer, radius=0.0, size=CELL_SIZE, split=Tru
     """
     key = layer.key
     edges = explode_edges(layer)
-    walls = spread_edges(edges, radius, size).selectExpr("*", "0 AS core")
+    walls = spread_edges(edges, radius, size) if spread is None else spread
+    walls = walls.selectExpr("*", "0 AS core")
     cores = covered_centres(edges, key, size).selectExpr("*", "1 AS core")
     pieces = walls.unionByName(cores, allowMissingColumns=True)
     left = with_cell(queries, "x", "y", size)

@@ -8,6 +8,8 @@ from hearthgrid.functions.sql import let
 from hearthgrid.layer import Layer
 from hearthgrid.operators.profile import file_stem
 from hearthgrid.operators.columns import union_layers
+from hearthgrid.session import scratch_path
+from hearthgrid.sources.geojson_ranges import document_features
 
 # Array levels of the coordinates by GeoJSON type.
 _LEVELS = {"Point": 1, "MultiPoint": 2, "LineString": 2, "MultiLineString": 3, "Polygon": 3, "MultiPolygon": 4}
@@ -116,12 +118,15 @@ def read_features(spark, paths, properties=None, collection=False, srid=4326):
     tasks. That covers newline-delimited GeoJSON and collections written one feature per line, as
     the common writers do. A collection on a single line is read as well, by one task; any other
     layout is an error. ``collection`` reads a file that is one document, however it is laid out,
-    which takes one task per file. A file that names another reference system than ``srid`` is an
+    which takes one task per file; ``collection="ranges"`` reads it by many tasks, as long as it is a collection of
+    features. A file that names another reference system than ``srid`` is an
     error. ``properties`` is a struct type; without it the types are inferred by a first pass.
     """
     if properties is None:
         properties = _infer_properties(spark, paths, collection)
     whole = _collection_schema(properties)
+    if collection == "ranges":
+        return _ranged_features(spark, paths, properties, srid)
     if collection:
         rows = spark.read.schema(whole).option("multiLine", True).json(paths) \
             .select(F.struct(*[F.col(n) for n in whole.names]).alias("f"), _file_path().alias("file"))
@@ -144,7 +149,27 @@ def read_features(spark, paths, properties=None, collection=False, srid=4326):
     return rows.select(F.explode(found).alias("f"), "file").select("f.properties", "f.geometry", "file")
 
 
+def _ranged_features(spark, paths, properties, srid):
+    """The same from documents that many tasks read together."""
+    features, between = document_features(spark, paths)
+    one = T.StructType(_feature_fields(properties))
+    parsed = features.select(F.from_json("text", one, {"mode": "FAILFAST"}).alias("f"), F.col("file").alias("url")) \
+        .filter("f.type = 'Feature'")
+    path = F.url_decode(F.replace(F.col("url"), F.lit("+"), F.lit("%2B")))
+    # The reference system stands outside the features; the check joins in, so that it cannot be skipped.
+    named = F.regexp_extract("text", _CRS_NAME, 1)
+    checked = between.select(F.col("file").alias("url"), F.when(
+        _wrong_system(named, srid), _refuse("another reference system: ", named)).cast("string").alias("bad"))
+    return parsed.join(checked, "url").filter("bad IS NULL").select("f.properties", "f.geometry", path.alias("file"))
+
+
 def _infer_properties(spark, paths, collection):
+    if collection == "ranges":
+        path = scratch_path(spark, "features")
+        document_features(spark, paths)[0].select(F.regexp_replace("text", r"[\r\n]+", " ").alias("text")).write.text(path)
+        kind = spark.read.json(path).schema
+        return kind["properties"].dataType if "properties" in kind.names and isinstance(
+            kind["properties"].dataType, T.StructType) else T.StructType([])
     kind = spark.read.option("multiLine", collection).json(paths).schema
     if "properties" not in kind.names and "features" in kind.names:
         kind = kind["features"].dataType.elementType

@@ -171,3 +171,38 @@ def test_poi_folders_hold_shapes_and_odd_names(spark, tmp_path):
     assert {r[0] for r in lay.df.select("poi_type").distinct().collect()} == {"100%+", "v1.2", "Shop", "shop"}
     whole = sum(f["geometry"] is not None for f in POLYGONS)
     assert lay.kind == "polygon" and lay.df.filter("geometry IS NOT NULL").count() == 4 * whole > 0
+
+
+@pytest.mark.parametrize("size", ["64", "500", "100000"])
+def test_one_document_is_read_by_many_tasks(spark, tmp_path, size):
+    odd = {"a": '}{ "quoted\\" [', "b": {"c": [{"d": "}"}]}, "e": "\\"}
+    shapes_ = [{"type": "Point", "coordinates": [i, -i]} for i in range(60)]
+    rows = [{"type": "Feature", "properties": {"k": i, **(odd if i % 3 == 0 else {})}, "geometry": s} for i, s in enumerate(shapes_)]
+    whole = {"type": "FeatureCollection", "name": "x } y", "notes": {"f": [{"type": "Feature", "g": [1, {}]}] * 5},
+             "features": rows, "more": [{"type": "Other"}], "tail": "{[\""}
+    write(str(tmp_path / "a.geojson"), json.dumps(whole))
+    write(str(tmp_path / "b.geojson"), json.dumps({"type": "FeatureCollection", "features": rows[:7]}, indent=2))
+    write(str(tmp_path / "c.geojson"), json.dumps({"type": "FeatureCollection", "features": []}))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        path = f"{tmp_path}/*.geojson"
+        parts = spark.read.option("lineSep", "}").text(path).rdd.getNumPartitions()
+        got = geojson.read_geojson_layer(spark, path, "k", "point", collection="ranges").df.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert parts > (10 if size != "100000" else 0)
+    assert sorted((r["k"], r["geometry"]["x"], r["geometry"]["y"]) for r in got) == sorted(
+        [(i, float(i), float(-i)) for i in range(60)] + [(i, float(i), float(-i)) for i in range(7)])
+    assert {r["a"] for r in got} == {odd["a"], None} and {r["e"] for r in got} == {"\\", None}
+
+
+def test_documents_in_ranges_name_their_system(spark, tmp_path):
+    crs = {"type": "name", "properties": {"name": "EPSG:3857"}}
+    rows = [feature(1, {"type": "Point", "coordinates": [1.0, 2.0]})]
+    write(str(tmp_path / "a.geojson"), json.dumps({"type": "FeatureCollection", "crs": crs, "features": rows}))
+    with pytest.raises(Exception, match="another reference system"):
+        geojson.read_geojson(spark, str(tmp_path / "a.geojson"), "point", collection="ranges").collect()
+    got = geojson.read_geojson(spark, str(tmp_path / "a.geojson"), "point", collection="ranges", srid=3857).collect()
+    assert got[0]["geometry"]["x"] == 1.0
