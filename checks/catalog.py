@@ -179,9 +179,13 @@ def sink_predictions(spark, sf):
     return tables.read_table(spark, f"{path}/predictions").select("model", "id", "y_true", "y_pred", "error")
 
 
-@query("file_catalog")
+@query("file_catalog", "SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', "
+       "'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS stem, true AS has_bytes, true AS in_folder")
 def file_catalog(spark, sf):
-    return tables.file_catalog(spark, sf, ".parquet").select("folder", "stem", "length")
+    """Name, whether there is anything in it, and whether its folder is the one asked for."""
+    here = sf.rstrip("/").rsplit("/", 1)[-1]
+    return tables.file_catalog(spark, sf, ".parquet") \
+        .select("stem", (F.col("length") > 0).alias("has_bytes"), F.col("folder").endswith(here).alias("in_folder"))
 
 
 # --- projections, filters, predicates ----------------------------------------------------
@@ -963,6 +967,25 @@ def coefficients(spark, sf):
     return rounded(est.coefficients(model, names, "linear_regression"), 6, "coefficient")
 
 
+_FOLD = "CAST(floor(CAST(CAST('0x' || substr(md5('fold-0:' || CAST(id AS VARCHAR)), 1, 15) AS BIGINT) AS DOUBLE) / 1152921504606846976 * 5) AS INT)"
+
+
+@query("lasso_cv_one_feature", f"""{CLEANED}
+, z AS (SELECT y, (f_lines - avg(f_lines) OVER ()) / stddev_pop(f_lines) OVER () AS x, {_FOLD} AS fold FROM cleaned),
+path AS (SELECT i, top * pow(CAST(1e-3 AS DOUBLE), CAST(i AS DOUBLE) / 99) AS alpha
+         FROM (SELECT abs(covar_pop(x, y)) AS top FROM z), range(100) t(i)),
+train AS (SELECT k, avg(x) AS mx, avg(y) AS my, var_pop(x) AS v, covar_pop(x, y) AS c FROM z, range(5) f(k) WHERE fold <> k GROUP BY k),
+fits AS (SELECT k, i, alpha, mx, my, sign(c) * greatest(abs(c) - alpha, 0) / v AS b FROM train, path),
+errors AS (SELECT k, i, alpha, avg(pow(y - my - b * (x - mx), 2)) AS mse FROM fits JOIN z ON fold = k GROUP BY ALL),
+cv AS (SELECT i, alpha, avg(mse) AS mse FROM errors GROUP BY ALL)
+SELECT round(alpha, 6) AS alpha, round(mse, 4) AS mse, row_number() OVER (ORDER BY mse, i) = 1 AS chosen FROM cv""", ["fx_features"])
+def lasso_cv_one_feature(spark, sf):
+    """With one feature the penalised fit is a soft threshold, which SQL can say."""
+    alpha, path = choose_penalty(prepared(spark, sf, ["f_lines"])[0])
+    table = spark.createDataFrame(path, "alpha double, mse double")
+    return rounded(table.withColumn("chosen", F.col("alpha") == alpha), 6, "alpha").withColumn("mse", F.round("mse", 4))
+
+
 @query("lasso_cv")
 def lasso_cv(spark, sf):
     rows, names = prepared(spark, sf)
@@ -991,7 +1014,30 @@ def _scored(name, search=False):
 query("random_forest")(_scored("random_forest"))
 query("gradient_boosting")(_scored("gradient_boosting", search=True))
 query("boosted_sampled")(_scored("xgboost", search=True))
-query("score_table")(_scored("linear_regression"))
+
+
+def _least_squares_sql(names):
+    """Predictions of least squares on the training rows, by taking one feature after the other out of those that follow."""
+    on = "FILTER (WHERE NOT is_test) OVER ()"
+    steps = [f"s0 AS (SELECT id, y, is_test, avg(y) {on} AS pred, y - avg(y) {on} AS ry, "
+             + ", ".join(f"{n} - avg({n}) {on} AS {n}" for n in names) + " FROM flagged)"]
+    for k, n in enumerate(names):
+        share = f"{n} * (sum({{0}} * {n}) {on} / sum({n} * {n}) {on})"
+        rest = [f"{m} - {share.format(m)} AS {m}" for m in names[k + 1:]]
+        steps.append(f"s{k + 1} AS (SELECT id, y, is_test, pred + {share.format('ry')} AS pred, ry - {share.format('ry')} AS ry"
+                     + "".join(f", {r}" for r in rest) + f" FROM s{k})")
+    return ",\n".join(steps) + f"\nSELECT 'linear_regression' AS model, id, y AS y_true, round(pred, 2) AS y_pred, is_test FROM s{len(names)}"
+
+
+_IS_TEST = "CAST(CAST('0x' || substr(md5('0:' || CAST(id AS VARCHAR)), 1, 15) AS BIGINT) AS DOUBLE) / 1152921504606846976 < CAST(0.15 AS DOUBLE)"
+
+
+@query("score_table", f"""{CLEANED}, flagged AS (SELECT *, {_IS_TEST} AS is_test FROM cleaned),
+{_least_squares_sql([f for f in FEATURES if f != "f_const"])}""", ["fx_features"])
+def score_table(spark, sf):
+    """Trained on the training rows, scored on all."""
+    return rounded(_scored("linear_regression")(spark, sf), 2, "y_pred")
+
 
 
 @query("grid_search")
