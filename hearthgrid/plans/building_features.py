@@ -11,9 +11,12 @@ from hearthgrid.session import materialize
 
 
 def building_features(buildings, raster, pois, water, roads, areas=None,
-                      poi_radius=POI_RADIUS, water_radius=WATER_RADIUS, road_radius=ROAD_RADIUS):
+                      poi_radius=POI_RADIUS, water_radius=WATER_RADIUS, road_radius=ROAD_RADIUS, sides=None):
     """Population, POI, water and road features, and the lowest area id if ``areas`` is given.
 
+    The raster comes as pixels or as tiles, POI as geometry of any kind. ``sides`` searches POI and water in
+    a regular polygon in place of the circle.
+
     Everything is worked out once per distinct place and attached to the buildings at the end, so
     the wide building rows are shuffled for nothing but that.
     """
@@ -24,12 +27,12 @@ def building_features(buildings, raster, pois, water, roads, areas=None,
         layer.key, "c.x AS cx", "c.y AS cy", "i.x AS ix", "i.y AS iy"), "located")
 
     centres = nb.places(spots, "cx", "cy")
-    names, by_poi = nb.poi_by_place(centres, pois, poi_radius)
+    names, by_poi = nb.poi_by_place(centres, pois, poi_radius, sides=sides)
     by_centre = sample_places(centres.select(*nb.PLACE), raster) \
         .join(by_poi, "place", "left") \
         .join(nb.road_by_place(centres, roads, road_radius), "place", "left").drop("place")
     inners = nb.places(spots, "ix", "iy")
-    by_inner = nb.at_places(nb.water_by_place(inners, water, water_radius), inners)
+    by_inner = nb.at_places(nb.water_by_place(inners, water, water_radius, sides=sides), inners)
 
     centre, inner = {"x": "cx", "y": "cy"}, {"x": "ix", "y": "iy"}
     out = attach(spots, by_centre.withColumnsRenamed(centre), ["cx", "cy"],

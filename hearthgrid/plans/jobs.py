@@ -16,9 +16,9 @@ from hearthgrid.sources.sinks import write_predictions, write_table
 from hearthgrid.sources.tables import read_table
 
 
-def build_features(buildings, raster, pois, water, roads, output, areas=None, as_geojson=False):
+def build_features(buildings, raster, pois, water, roads, output, areas=None, as_geojson=False, sides=None):
     """Job 1: the feature table of all buildings, as Parquet or GeoJSON."""
-    out = building_features(buildings, raster, pois, water, roads, areas)
+    out = building_features(buildings, raster, pois, water, roads, areas, sides=sides)
     if as_geojson:
         write_geojson(buildings.with_df(out), output)
     else:

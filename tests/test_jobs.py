@@ -69,7 +69,7 @@ def test_scans_read_only_what_they_need(spark):
     some = QUERIES["scan_feature_table"](spark, SF).select("o_orderkey", "o_custkey", "o_totalprice")
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double>" in plan
-    plan = QUERIES["population_sample"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["population_sample_pixels"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint>" in plan and "o_orderkey,1500" not in plan
 
 
