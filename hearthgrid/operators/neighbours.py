@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from hearthgrid.config import ROAD_RADIUS, ROAD_WIDTH, WATER_CENTRE_MARGIN, WATER_RADIUS, \
     WEB_MERCATOR
 from hearthgrid.layer import require_columns
-from hearthgrid.operators.cells import CELL, explode_edges, spread_edges, with_cell
+from hearthgrid.operators.cell_search import POINT_ROWS, ROAD_ROWS, points_of_cell, roads_of_cell, search_cells
+from hearthgrid.operators.cells import CELL, explode_edges, spread_edges, spread_points, with_cell
 from hearthgrid.operators.crowded import crowded_edge_rows, crowded_polygon_counts, crowded_rows
 from hearthgrid.operators.poi_shapes import crowded_shape_rows, shape_pairs, shape_table, split_points
 from hearthgrid.operators.skew import PAIR_BUDGET, attach, hot_cells, written
-from hearthgrid.operators.spatial_join import CELL_SIZE, edges_within, points_within, polygons_at
+from hearthgrid.operators.spatial_join import CELL_SIZE, polygon_counts_at
 from hearthgrid.session import materialize
 
 INFINITY = float("inf")
@@ -49,8 +50,9 @@ def near_rows(spots, objects, radius, size=CELL_SIZE, budget=PAIR_BUDGET, sides=
     """
     celled = with_cell(spots.select(*PLACE), "x", "y", size)
     cold, crowd = by_crowding(celled, crowded_cells(celled, objects, radius, size, budget))
-    pairs = points_within(cold, objects, radius, size=size, split=False, sides=sides)
-    rows = pairs.selectExpr("place", "kind", "copies AS n", "dist")
+    reached = spread_points(objects.filter("kind IS NOT NULL"), "ox", "oy", radius, size)
+    rows = search_cells(with_cell(cold, "x", "y", size), reached, ["ox", "oy"],
+                        points_of_cell(float(radius), sides), POINT_ROWS)
     if crowd is None:
         return rows
     return rows.unionByName(crowded_rows(crowd, objects, radius, size, sides=sides))
@@ -189,8 +191,8 @@ def water_counts(spots, layer, radius, size=CELL_SIZE, budget=PAIR_BUDGET, sides
     celled = with_cell(spots.select(*PLACE), "x", "y", size)
     spread = materialize(spread_edges(edges, radius, size), "spread")
     cold, crowd = by_crowding(celled, hot_cells(celled, spread, budget))
-    counts = polygons_at(cold, ["place"], layer, radius, size, split=False, sides=sides, spread=spread) \
-        .groupBy("place").agg(F.count(F.lit(1)).alias("count_water"))
+    counts = polygon_counts_at(cold, ["place"], layer, radius, size, sides=sides, spread=spread) \
+        .groupBy("place").agg(F.sum("n").alias("count_water"))
     if crowd is None:
         return counts
     more = crowded_polygon_counts(crowd, edges, layer.key, radius, size, sides=sides) \
@@ -242,27 +244,27 @@ def road_by_place(spots, roads, radius, size=CELL_SIZE, budget=PAIR_BUDGET):
     spread = materialize(spread_edges(edges, radius, size), "spread")
     cold, crowd = by_crowding(celled, hot_cells(celled, spread, budget))
     if crowd is None:
-        return _by_distance(_edge_rows(cold, spread, layer.key, radius, size))
+        return _per_place(_road_rows(cold, spread, layer.key, radius, size))
     exact, settled = crowded_edge_rows(crowd, edges, layer.key, radius, size)
-    return _by_distance(_edge_rows(cold, spread, layer.key, radius, size).unionByName(exact), settled)
+    return _per_place(_road_rows(cold, spread, layer.key, radius, size).unionByName(_by_distance(exact, settled)))
 
 
-def _edge_rows(queries, spread, key, radius, size):
-    """One row per place and road in range, with the distance between the two."""
-    near = edges_within(queries, None, radius, size, split=False, spread=spread)
-    # Sent out by place, so that this grouping and those that follow share one shuffle.
-    return near.select("place", key, "dist").repartition("place") \
-        .groupBy("place", key).agg(F.min("dist").alias("dist")).withColumn("n", F.lit(1).cast("bigint"))
+def _road_rows(queries, spread, key, radius, size):
+    """Rows ``place, n, ties, dist``, from a place's cell or from parts of it."""
+    return search_cells(with_cell(queries, "x", "y", size), spread, [key], roads_of_cell(key, float(radius)), ROAD_ROWS)
 
 
-def _by_distance(rows, settled=None):
-    """Counts and the nearest distance per place; ``settled`` adds to the counts."""
-    by_distance = rows.groupBy("place", "dist").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("ties"))
-    if settled is not None:
-        none = {"dist": F.lit(None).cast("double"), "ties": F.lit(None).cast("bigint")}
-        by_distance = by_distance.unionByName(settled.withColumns(none))
-    return by_distance.groupBy("place").agg(
+def _by_distance(rows, settled):
+    """Counts by place and distance; ``settled`` adds to the counts."""
+    by_distance = rows.groupBy("place", "dist").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ties"))
+    none = {"dist": F.lit(None).cast("double"), "ties": F.lit(None).cast("bigint")}
+    return by_distance.unionByName(settled.withColumns(none))
+
+
+def _per_place(rows):
+    """Counts and the nearest distance per place."""
+    ties = rows.groupBy("place", "dist").agg(F.sum("n").alias("n"), F.sum("ties").alias("ties"))
+    return ties.groupBy("place").agg(
         F.sum("n").alias("count_roads"), F.min_by("ties", "dist").alias("count_roads_tied"),
         F.min("dist").alias("nearest_road_dist"))
 

@@ -6,9 +6,11 @@ aggregates, so no step holds a whole layer, cell or shape in one task.
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hearthgrid.functions import geometry as g
-from hearthgrid.functions.sql import let, num
+from hearthgrid.functions.sql import num
+from hearthgrid.operators.cell_search import nearest_of_cell, polygons_of_cell, search_cells
 from hearthgrid.operators.cells import CELL, explode_edges, covered_centres, spread_edges, \
     spread_points, with_cell
 from hearthgrid.operators.skew import join_cells
@@ -47,7 +49,7 @@ def edges_within(queries, edges, radius, size=CELL_SIZE, split=True, spread=None
     return joined.filter(f"dist <= {num(radius)}").drop(*g.EDGE, *CELL)
 
 
-def polygons_at(queries, query_key, layer, radius=0.0, size=CELL_SIZE, split=True, sides=None, spread=None):
+def polygons_at(queries, query_key, layer, radius=0.0, size=CELL_SIZE, sides=None, spread=None):
     """One row per point and polygon that meet, with ``inside`` and ``dist``.
 
     ``query_key`` lists the columns that identify a point and includes what is to be kept of it.
@@ -61,17 +63,34 @@ def polygons_at(queries, query_key, layer, radius=0.0, size=CELL_SIZE, split=Tru
     cell can be crossed, so no point ever sees the whole outline of a large shape.
     """
     key = layer.key
+    schema = _fields(queries, query_key, layer.df, [key], "inside boolean, dist double")
+    search = polygons_of_cell(query_key, key, float(radius), float(size), sides)
+    # A point that comes twice meets a polygon once.
+    spots = queries.select(*dict.fromkeys([*query_key, "x", "y"])).distinct()
+    left, pieces = with_cell(spots, "x", "y", size), polygon_pieces(layer, radius, size, spread)
+    return search_cells(left, pieces, [key], search, schema)
+
+
+def polygon_counts_at(queries, query_key, layer, radius=0.0, size=CELL_SIZE, sides=None, spread=None):
+    """The number ``n`` of the polygons that :func:`polygons_at` finds, per point that has any; a point whose pieces
+    are many may come several times."""
+    schema = _fields(queries, query_key, layer.df, [], "n bigint")
+    search = polygons_of_cell(query_key, layer.key, float(radius), float(size), sides, counted=True)
+    left, pieces = with_cell(queries, "x", "y", size), polygon_pieces(layer, radius, size, spread)
+    return search_cells(left, pieces, [layer.key], search, schema)
+
+
+def polygon_pieces(layer, radius, size, spread=None):
+    """Edges and covered centres by cell; ``core`` is 1 for the latter."""
     edges = explode_edges(layer)
     walls = spread_edges(edges, radius, size) if spread is None else spread
-    walls = walls.selectExpr("*", "0 AS core")
-    cores = covered_centres(edges, key, size).selectExpr("*", "1 AS core")
-    pieces = walls.unionByName(cores, allowMissingColumns=True)
-    left = with_cell(queries, "x", "y", size)
-    met = join_cells(left, pieces, ["x", "y"]) if split else left.join(pieces, CELL)
+    cores = covered_centres(edges, layer.key, size).selectExpr("*", "1 AS core")
+    return walls.selectExpr("*", "0 AS core").unionByName(cores, allowMissingColumns=True)
+
 
-    seen = _crossings(met, query_key, key, num(size), _wall(radius, sides))
-    out = seen.selectExpr(*query_key, key, "inside", "if(inside, 0D, wall) AS dist")
-    return out.filter(f"inside OR dist <= {num(radius)}" if radius > 0 else "inside")
+def _fields(left, left_names, right, right_names, more):
+    return StructType([left.schema[n] for n in left_names] + [right.schema[n] for n in right_names]
+                      + StructType.fromDDL(more).fields)
 
 
 def _crossings(met, query_key, key, side, wall):
@@ -112,20 +131,14 @@ def quadtree_pieces(layer, level="_level"):
     return walls.unionByName(cores, allowMissingColumns=True).drop("_side")
 
 
-def _wall(radius, sides):
-    """Distance to an edge; with ``sides`` null if it does not touch the polygon."""
-    dist = g.segment_distance("x", "y", *g.EDGE)
-    if sides is None:
-        return dist
-    return let("dw", dist, f"if({g.segment_in_reach('dw', 'x', 'y', *g.EDGE, radius, sides)}, dw, NULL)")
-
-
 def nearest_left(queries, query_key, edges, edge_key, radius, size=CELL_SIZE):
     """Left join of every point with its nearest shape at most ``radius`` away, all ties kept.
 
     Points with nothing in reach stay, with nulls.
     """
-    found = edges_within(queries, edges, radius, size)
+    schema = _fields(queries, query_key, edges, [edge_key], "dist double")
+    found = search_cells(with_cell(queries, "x", "y", size), spread_edges(edges, radius, size), [edge_key],
+                         nearest_of_cell(query_key, edge_key, float(radius)), schema)
     # A rank filter is cut down to the leading rows before the shuffle, so a point with very
     # many shapes around it does not become one large group.
     order = Window.partitionBy(*query_key).orderBy("dist")
