@@ -7,6 +7,7 @@ sides are therefore compared cell by cell, on finer and finer grids:
 * two cells wholly out of reach are dropped;
 * for the nearest distance only cells that may hold something closer than the best cell are kept.
 
+None of the joins is broadcast: tables of a few megabytes on disk, of which a search has many, would fill the driver.
 What is left undecided is compared point by point as soon as it is few enough, and the search ends with
 the level on which nothing else is left. The answer is exact.
 """
@@ -75,8 +76,8 @@ def _judge(pairs, level, radius, size, small, sides):
 def _children(pairs, q, p, level):
     up = pairs.filter("finer").selectExpr("qx AS ux", "qy AS uy", "px AS vx", "py AS vy", "kind",
                                           "best", "open")
-    return up.join(_query_cells(q, level), ["ux", "uy"]) \
-        .join(_object_cells(p, level), ["vx", "vy", "kind"]).drop("ux", "uy", "vx", "vy")
+    return up.join(_query_cells(q, level).hint("merge"), ["ux", "uy"]) \
+        .join(_object_cells(p, level).hint("merge"), ["vx", "vy", "kind"]).drop("ux", "uy", "vx", "vy")
 
 
 def crowded_rows(queries, objects, radius, size, small=SMALL, sides=None):
@@ -89,7 +90,7 @@ def crowded_rows(queries, objects, radius, size, small=SMALL, sides=None):
     around = f"explode(sequence({-steps}, {steps}))"
     spread = _object_cells(p, 0).selectExpr("*", f"{around} AS sx") \
         .selectExpr("*", f"{around} AS sy").selectExpr("*", "px + sx AS qx", "py + sy AS qy")
-    pairs = spread.join(_query_cells(q, 0), ["qx", "qy"]).drop("sx", "sy") \
+    pairs = spread.join(_query_cells(q, 0).hint("merge"), ["qx", "qy"]).drop("sx", "sy") \
         .withColumns({"best": F.lit(float("inf")), "open": F.lit(True)})
     out = None
     for level in range(LEVELS + 1):
@@ -103,14 +104,14 @@ def crowded_rows(queries, objects, radius, size, small=SMALL, sides=None):
 
 def _settled_rows(judged, q, level):
     counts = judged.filter("settled").groupBy("qx", "qy", "kind").agg(F.sum("n").alias("n"))
-    return q.selectExpr("place", *_at(level, "qx", "qy")).join(counts, ["qx", "qy"]) \
+    return q.selectExpr("place", *_at(level, "qx", "qy")).join(counts.hint("merge"), ["qx", "qy"]) \
         .selectExpr("place", "kind", "n", "CAST(NULL AS DOUBLE) AS dist")
 
 
 def _leaf_rows(judged, q, p, level, radius, sides):
     leaves = judged.filter("leaf").select("qx", "qy", "px", "py", "kind", "open", "close")
-    met = leaves.join(q.selectExpr("place", "x", "y", *_at(level, "qx", "qy")), ["qx", "qy"]) \
-        .join(p.selectExpr("ox", "oy", "kind", "copies", *_at(level, "px", "py")), ["px", "py", "kind"]) \
+    met = leaves.join(q.selectExpr("place", "x", "y", *_at(level, "qx", "qy")).hint("merge"), ["qx", "qy"]) \
+        .join(p.selectExpr("ox", "oy", "kind", "copies", *_at(level, "px", "py")).hint("merge"), ["px", "py", "kind"]) \
         .selectExpr("*", f"{g.distance('x', 'y', 'ox', 'oy')} AS d")\
         .filter(g.in_reach("d", "x", "y", "ox", "oy", radius, sides))
     return met.selectExpr("place", "kind", "if(open, copies, 0) AS n", "if(close, d, NULL) AS dist")
@@ -130,13 +131,13 @@ def _edge_bounds(rows, key, level, radius, size, sides):
     rows = rows.selectExpr("*", f"{g.segment_distance(*centre, *g.EDGE)} AS d")
     shape = rows.groupBy("qx", "qy", key).agg(F.min("d").alias("m"))
     best = shape.groupBy("qx", "qy").agg((F.min("m") + F.lit(half)).alias("best"))
-    judged = shape.join(best, ["qx", "qy"]).selectExpr(
+    judged = shape.join(best.hint("merge"), ["qx", "qy"]).selectExpr(
         "qx", "qy", key, "m", f"m + {num(half)} < {num(sure)} AS within",
         f"m - {num(half)} <= least(best, {num(r)}) AS close", f"m - {num(half)} <= {num(r)} AS near")
     # An edge that is farther by a whole diagonal can nowhere be the nearest one of its shape. A polygon may be
     # touched by any edge in range, the nearest or not.
     wanted = f"d <= m + {num(2 * half)}" if sides is None else f"d - {num(half)} <= {num(r)}"
-    return rows.join(judged, ["qx", "qy", key]).filter(f"near AND {wanted}")
+    return rows.join(judged.hint("merge"), ["qx", "qy", key]).filter(f"near AND {wanted}")
 
 
 def crowded_edge_rows(queries, edges, key, radius, size, small=SMALL, first=0, held=None, nearest=True, sides=None):
@@ -152,9 +153,9 @@ def crowded_edge_rows(queries, edges, key, radius, size, small=SMALL, first=0, h
     """
     q = _fine(queries, "x", "y", size)
     rows = spread_edges(edges, radius, size / 4**first).withColumnsRenamed({"gx": "qx", "gy": "qy"}) \
-        .select("qx", "qy", key, *g.EDGE).join(_query_cells(q, first).drop("ux", "uy"), ["qx", "qy"])
+        .select("qx", "qy", key, *g.EDGE).join(_query_cells(q, first).drop("ux", "uy").hint("merge"), ["qx", "qy"])
     if held is not None:
-        rows = rows.join(held.select("qx", "qy", key, F.lit(0).alias("n")), ["qx", "qy", key], "left")
+        rows = rows.join(held.select("qx", "qy", key, F.lit(0).alias("n")).hint("merge"), ["qx", "qy", key], "left")
     weight = "coalesce(n, 1)" if held is not None else "1"
     rows = rows.selectExpr("qx", "qy", key, *g.EDGE, "nq", f"{weight} AS n", "true AS open")
     exact, settled = None, None
@@ -164,23 +165,23 @@ def crowded_edge_rows(queries, edges, key, radius, size, small=SMALL, first=0, h
         load = judged.groupBy("qx", "qy").agg(F.count(F.lit(1)).alias("edges"))
         few = "true" if level == LEVELS else f"nq * edges <= {small}"
         kept = "unsure OR close" if nearest else "unsure"
-        judged = judged.join(load, ["qx", "qy"]).selectExpr(
+        judged = judged.join(load.hint("merge"), ["qx", "qy"]).selectExpr(
             "qx", "qy", key, *g.EDGE, "n", "settled", "unsure", f"({kept}) AS kept", f"({few}) AS leaf")
         judged = materialize(judged, "crowded")
         here = q.selectExpr("place", "x", "y", *_at(level, "qx", "qy"))
-        met = judged.filter("kept AND leaf").join(here, ["qx", "qy"]).selectExpr(
+        met = judged.filter("kept AND leaf").join(here.hint("merge"), ["qx", "qy"]).selectExpr(
             "place", key, "x", "y", *g.EDGE, f"{g.segment_distance('x', 'y', *g.EDGE)} AS dist", "if(unsure, n, 0) AS n") \
             .filter(g.segment_in_reach("dist", "x", "y", *g.EDGE, radius, sides)).groupBy("place", key) \
             .agg(F.min("dist").alias("dist"), F.max("n").cast("bigint").alias("n"))
         whole = judged.filter("settled").select("qx", "qy", key, "n").distinct() \
-            .groupBy("qx", "qy").agg(F.sum("n").alias("n")).join(here, ["qx", "qy"]).select("place", "n")
+            .groupBy("qx", "qy").agg(F.sum("n").alias("n")).join(here.hint("merge"), ["qx", "qy"]).select("place", "n")
         exact = met if exact is None else exact.unionByName(met)
         settled = whole if settled is None else settled.unionByName(whole)
         finer = judged.filter("kept AND NOT leaf")
         if level == LEVELS or finer.isEmpty():
             return exact, settled
         rows = finer.selectExpr("qx AS ux", "qy AS uy", key, *g.EDGE, "n", "unsure AS open") \
-            .join(_query_cells(q, level + 1), ["ux", "uy"]).drop("ux", "uy")
+            .join(_query_cells(q, level + 1).hint("merge"), ["ux", "uy"]).drop("ux", "uy")
 
 
 def crowded_polygon_counts(queries, edges, key, radius, size, small=SMALL, sides=None):
@@ -195,9 +196,9 @@ def crowded_polygon_counts(queries, edges, key, radius, size, small=SMALL, sides
     q = _fine(queries, "x", "y", size)
     cells = _query_cells(q, first).select("qx", "qy")
     covers = covered_centres(edges, key, size / 4**first) \
-        .withColumnsRenamed({"gx": "qx", "gy": "qy"}).join(cells, ["qx", "qy"])
+        .withColumnsRenamed({"gx": "qx", "gy": "qy"}).join(cells.hint("merge"), ["qx", "qy"])
     covers = materialize(covers, "covers")
     exact, settled = crowded_edge_rows(queries, edges, key, radius, size, small, first, covers, False, sides)
     around = covers.groupBy("qx", "qy").agg(F.count(F.lit(1)).alias("n")) \
-        .join(q.selectExpr("place", *_at(first, "qx", "qy")), ["qx", "qy"]).select("place", "n")
+        .join(q.selectExpr("place", *_at(first, "qx", "qy")).hint("merge"), ["qx", "qy"]).select("place", "n")
     return exact.select("place", "n").unionByName(settled).unionByName(around)

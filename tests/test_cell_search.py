@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hearthgrid.layer import Layer
 from hearthgrid.operators import cell_search as cs
 from hearthgrid.operators import cells
+from hearthgrid.operators import crowded
 from hearthgrid.operators import spatial_join as sj
 
 
@@ -60,6 +61,12 @@ def test_cells_with_much_work_are_dealt_out_and_lose_nothing(made, monkeypatch):
     assert _counted(found) == _brute(*made, 6.0)
 
 
+def test_crowded_search_broadcasts_nothing(made):
+    rows = crowded.crowded_rows(made[0], made[1], 6.0, 10.0)
+    assert "BroadcastHashJoin" not in rows._jdf.queryExecution().toString()
+    assert _counted(rows) == _brute(*made, 6.0)
+
+
 def test_a_point_that_comes_twice_meets_a_polygon_once(spark):
     box = spark.sql("SELECT 1L AS id, array(array(struct(0D AS x, 0D AS y), struct(4D AS x, 0D AS y), struct(4D AS x, 4D AS y), "
                     "struct(0D AS x, 4D AS y), struct(0D AS x, 0D AS y))) AS shape")
