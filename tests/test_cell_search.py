@@ -32,9 +32,9 @@ def _counted(rows):
 
 
 def _brute(places, objects, radius):
-    out = {}
+    out, objects = {}, objects.collect()
     for p in places.collect():
-        for o in objects.collect():
+        for o in objects:
             d = math.hypot(p["x"] - o["ox"], p["y"] - o["oy"])
             if d < radius:
                 n, best = out.get((p["place"], o["kind"]), (0, d))
