@@ -97,6 +97,12 @@ def scan_geojson_collection(spark, sf):
 
 
 ODD_NAMES = {"high": "bus stop", "low": "v1.2", "medium": "Shop", "not_specified": "shop", "urgent": "100%+"}
+def document_range_bytes(spark, path):
+    """Bytes of a range: small ones cut a small document too; a large one is cut into about 256, and none is above 128 MB."""
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    return min(128 << 20, max(32 << 10, -(-size // 256)))
+
+
 @query("scan_geojson_document", "SELECT building_id, round(lon, 9) AS lon, round(lat, 9) AS lat FROM fx_buildings", ["fx_buildings"])
 def scan_geojson_document(spark, sf):
     """One document on a single line, cut into byte ranges that several tasks read."""
@@ -106,7 +112,7 @@ def scan_geojson_document(spark, sf):
     head, tail = (spark.createDataFrame([(e,)], "value string") for e in ends)
     whole = head.withColumn("k", F.lit(0)).unionByName(features.withColumn("k", F.lit(1))).unionByName(tail.withColumn("k", F.lit(2)))
     whole.orderBy("k").select("value").coalesce(1).write.option("lineSep", " ").text(path)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(document_range_bytes(spark, path)))
     try:
         read = geojson.read_geojson_layer(spark, path, "building_id", "point", collection="ranges")
         return rounded(materialize(read.located(names=("lon", "lat")), "read"), 9, "lon", "lat")

@@ -206,3 +206,11 @@ def test_documents_in_ranges_name_their_system(spark, tmp_path):
         geojson.read_geojson(spark, str(tmp_path / "a.geojson"), "point", collection="ranges").collect()
     got = geojson.read_geojson(spark, str(tmp_path / "a.geojson"), "point", collection="ranges", srid=3857).collect()
     assert got[0]["geometry"]["x"] == 1.0
+
+
+def test_ranges_of_a_document_grow_with_it(spark, tmp_path):
+    from checks.catalog import document_range_bytes
+    write(str(tmp_path / "small.txt"), "x" * 1000)
+    write(str(tmp_path / "large.txt"), "x" * (64 << 20))
+    assert document_range_bytes(spark, str(tmp_path / "small.txt")) == 32 << 10
+    assert document_range_bytes(spark, str(tmp_path / "large.txt")) == (64 << 20) // 256
