@@ -32,13 +32,16 @@ SMALL_CLASSES = (80, 96, 128, 160, 192, 256, 320, 384, 512)
 
 #: Characters that the normalizer only lower-cases and that no white-space or combining rule touches.
 PLAIN = re.compile("[!-~\u00a1-\u00ff]+")
+#: Signs that end many chunks; after letters each is a piece of its own.
+CLOSING = frozenset(".,;:!?")
 
 
 class WordTokenizer:
     """Ids of a tokenizer that never joins text over a blank, found once per distinct chunk.
 
     Chunks of plain Latin characters are lower-cased and split by the tokenizer's own pattern, and
-    the distinct pieces go to its model; all other chunks go through the whole tokenizer.
+    the distinct pieces go to its model; all other chunks go through the whole tokenizer. A word,
+    and one sign behind it, need no pattern to be told apart.
     """
 
     def __init__(self, path):
@@ -48,22 +51,30 @@ class WordTokenizer:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
-        self.special = [t["content"] for t in described["added_tokens"]]
+        special = [re.escape(t["content"]) for t in described["added_tokens"]]
+        self.special = re.compile("|".join(special) if special else "(?!)").search
         self.split = regex.compile(described["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         spelled = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.codes = [i.to_bytes(4, "little") for i in range(1 + max(described["model"]["vocab"].values()))]
         self.letters = {i: spelled(chr(i))[0][0] for i in range(0xA1, 0x100)}
         self.pieces = Memory(self._piece)
         self.known = Memory(self._chunk)
 
     def _piece(self, piece):
-        return b"".join(t.id.to_bytes(4, "little") for t in
-                        self.tokenizer.model.tokenize(piece.translate(self.letters)))
+        spelled = piece if piece.isascii() else piece.translate(self.letters)
+        return b"".join([self.codes[t.id] for t in self.model.tokenize(spelled)])
 
     def _chunk(self, chunk):
-        if PLAIN.fullmatch(chunk) and not any(s in chunk for s in self.special):
-            return b"".join(map(self.pieces.__getitem__, self.split(chunk.lower())))
+        if PLAIN.fullmatch(chunk) and not self.special(chunk):
+            low = chunk.lower()
+            if low.isalpha():
+                return self.pieces[low]
+            if low[-1] in CLOSING and low[:-1].isalpha():
+                return self.pieces[low[:-1]] + self.pieces[low[-1]]
+            return b"".join(map(self.pieces.__getitem__, self.split(low)))
         ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 

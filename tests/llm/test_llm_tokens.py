@@ -80,6 +80,13 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_a_word_and_a_sign_need_no_pattern(monkeypatch):
+    own, library = packing.WordTokenizer(WORDS), Tokenizer.from_file(WORDS)
+    monkeypatch.setattr(own, "split", lambda text: pytest.fail(f"split by the pattern: {text}"))
+    text = "Words, \u00c9t\u00e9! \u00aa. \u00b5; \u00df? Plain done."
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("fan_in,capacity", [(256, 4096), (2, 512), (2, 4096)])
 def test_packing_places_each_id_once(spark, monkeypatch, fan_in, capacity):
     monkeypatch.setattr(packing, "FAN_IN", fan_in)
