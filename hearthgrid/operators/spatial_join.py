@@ -68,6 +68,8 @@ def polygons_at(queries, query_key, layer, radius=0.0, size=CELL_SIZE, sides=Non
     # A point that comes twice meets a polygon once.
     spots = queries.select(*dict.fromkeys([*query_key, "x", "y"])).distinct()
     left, pieces = with_cell(spots, "x", "y", size), polygon_pieces(layer, radius, size, spread)
+    # A point in a cell that no polygon reaches meets nothing and need not be searched.
+    left = left.join(pieces.select(*CELL).distinct(), CELL, "left_semi")
     return search_cells(left, pieces, [key], search, schema)
 
 
