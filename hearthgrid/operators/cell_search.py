@@ -48,7 +48,8 @@ def search_cells(points, pieces, spread_by, search, schema, budget=PAIR_BUDGET):
     loads = left.join(right, CELL).withColumn("tests", F.col("_a").cast("double") * F.col("_b"))
     total = loads.agg(F.sum("tests").alias("tests"), F.sum(F.col("_a") + F.col("_b")).alias("rows"),
                       F.max("tests").alias("most"), F.max("_b").alias("widest"), F.count(F.lit(1)).alias("cells")).first()
-    tasks = max(1, math.ceil((total["rows"] or 0) / TASK_ROWS),
+    # In a single partition the rows of a point would be taken as shuffled, and not cut down before what follows.
+    tasks = max(2, math.ceil((total["rows"] or 0) / TASK_ROWS),
                 min(MOST_TASKS, math.ceil(max((total["tests"] or 0) / TASK_TESTS, total["cells"] / TASK_CELLS))))
     keys = CELL
     if (total["most"] or 0) > budget or (total["widest"] or 0) > MOST_PIECES:
