@@ -11,6 +11,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -36,15 +37,15 @@ EDGE = list(g.EDGE)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def search_cells(points, pieces, spread_by, search, schema, budget=PAIR_BUDGET):
+def search_cells(points, pieces, spread_by, search, schema, budget=PAIR_BUDGET, weight="1"):
     """``search(points, pieces)`` of every cell that has both, as rows of ``schema``.
 
-    The points of a cell with more than ``budget`` tests are dealt out over several groups by a hash of their coordinates,
+    A piece counts as ``weight`` of them, an SQL expression. The points of a cell with more than ``budget`` tests are dealt out over several groups by a hash of their coordinates,
     and its pieces, where they are too many for one group, by a hash of the columns ``spread_by``, so that a point's rows may
     come from several groups.
     """
     left = points.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_a"))
-    right = pieces.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_b"))
+    right = pieces.groupBy(*CELL).agg(F.sum(F.expr(weight)).alias("_b"))
     loads = left.join(right, CELL).withColumn("tests", F.col("_a").cast("double") * F.col("_b"))
     total = loads.agg(F.sum("tests").alias("tests"), F.sum(F.col("_a") + F.col("_b")).alias("rows"),
                       F.max("tests").alias("most"), F.max("_b").alias("widest"), F.count(F.lit(1)).alias("cells")).first()
@@ -168,6 +169,110 @@ def points_of_cell(radius, sides=None):
 POINT_ROWS = "place bigint, kind string, n bigint, dist double"
 
 
+def _lists(column, *names):
+    """The fields of a column of lists of structs, end to end, and the length of every list."""
+    column = column.combine_chunks()
+    flat = pc.list_flatten(column)
+    return ([pc.struct_field(flat, n).to_numpy(zero_copy_only=False) for n in names],
+            pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+
+
+def _first_of(lengths):
+    """Where each list begins when they lie end to end; none is empty."""
+    return np.r_[0, np.cumsum(lengths)[:-1]].astype(np.int64)
+
+
+def _held(px, py, edges, wall, first):
+    """Which points (rows) the shapes' polygons hold; as ``geometry.point_in_polygon``. An edge without coordinates is never crossed."""
+    crossed = wall & _spans(edges[1], edges[3], py) & _right_of(px, py, *edges)
+    rim = np.logical_or.reduceat(wall & _on_edge(px, py, *edges), first, axis=1)
+    return (np.add.reduceat(crossed, first, axis=1, dtype=np.int64) % 2 == 1) & ~rim
+
+
+def _shape_distances(px, py, edges, wall, first):
+    """Distance of every point (rows) to the nearest part of every shape, 0 inside a polygon; NaN if a shape has no edge."""
+    dist = np.fmin.reduceat(_segment_distances(px, py, *edges), first, axis=1)
+    return np.where(_held(px, py, edges, wall, first), 0.0, dist) if wall.any() else dist
+
+
+def shapes_of_cell(radius, sides=None):
+    """Rows ``place, kind, n, dist`` as of :func:`points_of_cell`, of shapes: in range if all their corners are.
+
+    Shapes come with ``kind, copies, ox, oy, ext``, their ``corners`` and ``edges``, at least one of each; the last ``walls``
+    edges are those of polygons.
+    """
+    sure_radius = g.sure_reach(radius, sides)
+
+    def search(places, shapes):
+        kind, kinds = _codes(shapes.column("kind"))
+        order = np.argsort(kind, kind="stable")
+        kind, shapes = kind[order], shapes.take(pa.array(order))
+        ox, oy, ext, copies, walls = _floats(shapes, "ox", "oy", "ext", "copies", "walls")
+        (vx, vy), corners = _lists(shapes.column("corners"), "x", "y")
+        ends, edges = _lists(shapes.column("edges"), *EDGE)
+        of_corner, of_edge = (np.repeat(np.arange(len(kind)), n) for n in (corners, edges))
+        wall = np.arange(len(of_edge)) >= np.repeat(np.cumsum(edges) - walls, edges)
+        whole = ~np.maximum.reduceat(np.isnan(vx) | np.isnan(vy), _first_of(corners))
+        place, x, y = _floats(places, "place", "x", "y")
+
+        def corners_of(chosen):
+            at = chosen[of_corner]
+            return vx[at], vy[at], _first_of(corners[chosen])
+
+        def edges_of(chosen):
+            at = chosen[of_edge]
+            return [v[at] for v in ends], wall[at], _first_of(edges[chosen])
+
+        out = []
+        for rows in _blocks(x, y):
+            px, py = x[rows], y[rows]
+            cx, cy = (px.min() + px.max()) / 2, (py.min() + py.max()) / 2
+            half = np.hypot(px - cx, py - cy).max() + SLACK
+            near = np.hypot(ox - cx, oy - cy) < radius + half
+            if not near.any():
+                continue
+            qx, qy, first = corners_of(near)
+            far = np.full(len(kind), np.inf)
+            far[near] = np.fmax.reduceat(np.hypot(qx - cx, qy - cy), first)
+            near &= far < radius + half
+            if not near.any():
+                continue
+            sure = near & whole & (far + half < sure_radius - SLACK)
+            settled, best = np.zeros(len(kinds), np.int64), np.full(len(kinds), np.inf)
+            np.add.at(settled, kind[sure], copies[sure])
+            dist = np.full(len(kind), np.inf)
+            dist[near] = _shape_distances(np.array([[cx]]), np.array([[cy]]), *edges_of(near))[0]
+            known = sure & (dist < np.inf)
+            np.minimum.at(best, kind[known], dist[known] + half)
+            close = near & ~(dist - half > best[kind])
+            tested = close | (near & ~sure)
+            k, weight, nearest_too = kind[tested], np.where(sure, 0, copies)[tested], close[tested]
+            qx, qy, first = corners_of(tested)
+            chosen, is_wall, first_edge = edges_of(close)
+            reached = sure_radius - SLACK - ext[tested]
+            runs = _starts(k)
+            for some in _chunks(rows, len(qx) + len(is_wall)):
+                px, py = x[some, None], y[some, None]
+                dx, dy = px - qx, py - qy
+                d = np.sqrt(dx * dx + dy * dy)
+                met = np.logical_and.reduceat(_in_reach(d, x[some], y[some], qx, qy, radius, sure_radius, sides), first, axis=1)
+                met |= d[:, first] < reached
+                n = np.add.reduceat(np.where(met, weight, 0), runs, axis=1) + settled[k[runs]]
+                d = np.full(met.shape, np.inf)
+                if nearest_too.any():
+                    d[:, nearest_too] = _shape_distances(px, py, chosen, is_wall, first_edge)
+                d = np.fmin.reduceat(np.where(met, d, np.inf), runs, axis=1)
+                i, j = np.nonzero((n > 0) | (d < np.inf))
+                out.append((place[some][i], k[runs][j], n[i, j], d[i, j]))
+        if not out:
+            return None
+        place, code, n, dist = (np.concatenate(v) for v in zip(*out))
+        return pa.table({"place": place, "kind": kinds.take(pa.array(code)), "n": n.astype(np.int64),
+                         "dist": pa.array(dist, mask=~(dist < np.inf))})
+
+    return search
+
+
 def _segment_distances(px, py, x1, y1, x2, y2):
     """As :func:`hearthgrid.functions.geometry.segment_distance`, operation by operation."""
     dx, dy = x2 - x1, y2 - y1

@@ -2,9 +2,9 @@
 
 A shape is in range if all of it is, which for a convex search region means all of its corners. Every shape is one row, keyed
 by the cell of its first corner: a place that has the shape in range has that corner in range. Shapes wider than the region
-are dropped before anything is joined. Most pairs are settled by the distance to the first corner and the shape's extent,
-only the others look at the corners. Row by row that takes as long as the shape has corners, and a shape that
-passes is never wider than the region.
+are dropped before anything is joined. The places of a cell are searched in blocks (``cell_search.shapes_of_cell``): a shape that is
+in range of a whole block is counted once for it, and only what is neither that nor out of range, or may be the nearest, is looked at place by
+place. A shape counts there as its corners.
 
 Where very many places meet very many shapes, whole cells of places are judged at once: from a shape's farthest corner and
 nearest part as seen from the centre of a cell follow bounds for every place in it, half a diagonal to either side.
@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 from hearthgrid.functions import geometry as g
 from hearthgrid.functions.sql import let, num
-from hearthgrid.operators.cells import finite, spread_points
-from hearthgrid.operators.crowded import LEVELS, SLACK, SMALL, _at, _fine, _query_cells
-from hearthgrid.operators.spatial_join import points_within
+from hearthgrid.operators.cell_search import POINT_ROWS, search_cells, shapes_of_cell
+from hearthgrid.operators.cells import CELL, finite, spread_points, with_cell
+from hearthgrid.operators.crowded import LEVELS, SLACK, _at, _fine, _query_cells
 from hearthgrid.session import materialize
 
+# Pairs of a cell that are left to the search in blocks; a cell with more is cut into finer ones first.
+SMALL = 1 << 24
+
 
 def split_points(layer):
     """The rows of a layer that are one point each, as a point layer, and all others as a mixed one."""
@@ -46,22 +49,25 @@ def shape_table(pois, radius):
     return materialize(found.withColumn("shape_id", F.monotonically_increasing_id()), "poi_shapes")
 
 
-def _all_in(x, y, radius, sides):
-    """Whether all corners of ``shape`` are in the search region around a point."""
-    reach = g.in_reach(g.distance(x, y, "v.x", "v.y"), x, y, "v.x", "v.y", radius, sides)
-    return f"forall({g.mixed_vertices('shape')}, v -> {reach})"
-
-
 def _near(x, y):
     return g.point_geometry_distance(x, y, "shape", "mixed")
 
 
+def _outlined(shapes):
+    """What the search of a cell takes: a shape's corners and edges, and how many edges, the last ones, are those of polygons."""
+    none = "CAST(NULL AS DOUBLE)"
+    edges = let("es", g.all_edges("shape", "mixed"),
+                f"if(size(es) > 0, es, array(struct({', '.join(f'{none} AS {e}' for e in g.EDGE)})))")
+    walls = f"CAST(size({g.all_edges('shape.polygons', 'polygon')}) AS BIGINT)"
+    return shapes.selectExpr("shape_id", "kind", "ox", "oy", "ext", "1L AS copies",
+                             f"{g.mixed_vertices('shape')} AS corners", f"{edges} AS edges", f"{walls} AS walls")
+
+
 def shape_pairs(queries, shapes, radius, size, sides=None):
-    """Rows ``place, kind, n, dist``: the shapes in range of each place, pair by pair."""
-    sure = num(g.sure_reach(radius, sides) - SLACK)
-    met = points_within(queries, shapes, radius, size=size, split=False)
-    return met.filter(f"CASE WHEN dist + ext < {sure} THEN true ELSE {_all_in('x', 'y', radius, sides)} END") \
-        .selectExpr("place", "kind", "1L AS n", f"{_near('x', 'y')} AS dist")
+    """Rows ``place, kind, n, dist``, to be summed (``n``) and minimised (``dist``): the shapes in range of each place."""
+    reached = spread_points(_outlined(shapes), "ox", "oy", radius, size)
+    return search_cells(with_cell(queries, "x", "y", size), reached, ["shape_id"], shapes_of_cell(float(radius), sides), POINT_ROWS,
+                        weight="size(corners)")
 
 
 def _judged(rows, shapes, level, radius, size, sides):
@@ -94,12 +100,19 @@ def crowded_shape_rows(queries, shapes, radius, size, sides=None):
         here = q.selectExpr("place", "x", "y", *_at(level, "qx", "qy"))
         whole = judged.filter("settled").groupBy("qx", "qy", "kind").agg(F.count(F.lit(1)).alias("n")) \
             .join(here, ["qx", "qy"]).selectExpr("place", "kind", "n", "CAST(NULL AS DOUBLE) AS dist")
-        met = judged.filter("kept AND leaf").select("qx", "qy", "shape_id", "kind", "unsure").join(here, ["qx", "qy"]) \
-            .join(shapes.select("shape_id", "shape"), "shape_id").filter(_all_in("x", "y", radius, sides)) \
-            .selectExpr("place", "kind", "if(unsure, 1L, 0L) AS n", f"{_near('x', 'y')} AS dist")
+        met = _leaf_rows(judged, here, shapes, radius, sides)
         out = whole.unionByName(met) if out is None else out.unionByName(whole).unionByName(met)
         finer = judged.filter("kept AND NOT leaf")
         if level == LEVELS or finer.isEmpty():
             return out
         rows = finer.selectExpr("qx AS ux", "qy AS uy", "shape_id", "unsure AS open") \
             .join(_query_cells(q, level + 1), ["ux", "uy"]).drop("ux", "uy")
+
+
+def _leaf_rows(judged, here, shapes, radius, sides):
+    """The cells whose pairs are few enough, searched in blocks; shapes that are settled already count 0."""
+    cells = {"qx": "gx", "qy": "gy"}
+    leaves = judged.filter("kept AND leaf").select("qx", "qy", "shape_id", "unsure").withColumnsRenamed(cells)
+    points = here.withColumnsRenamed(cells).join(leaves.select(*CELL).distinct().hint("merge"), CELL, "left_semi")
+    pieces = _outlined(shapes).join(leaves.hint("merge"), "shape_id").withColumn("copies", F.expr("if(unsure, 1L, 0L)"))
+    return search_cells(points, pieces, ["shape_id"], shapes_of_cell(float(radius), sides), POINT_ROWS, weight="size(corners)")

@@ -104,6 +104,28 @@ def test_crowded_shapes_are_searched_on_finer_grids(spark, monkeypatch):
         assert got[i]["count_a"] == n and got[i]["nearest_a_dist"] == (None if dist is None else pytest.approx(dist, abs=1e-9))
 
 
+@pytest.mark.parametrize("search", [poi_shapes.shape_pairs, poi_shapes.crowded_shape_rows])
+def test_shapes_are_counted_for_blocks_of_places_not_pair_by_pair(spark, search):
+    """A row per place, kind and cell, however many shapes there are; also for shapes without an edge."""
+    rng = shapes.rng(13)
+    rows = [(i, rng.choice(["a", "b"]), random_shape(rng, 200, 40)) for i in range(80)]
+    rows += [(i, "c", mixed("Polygon", polygons=[[[shapes.pt(10 * i, 0)]]])) for i in range(5)]
+    spots = [(i, rng.uniform(-300, 300), rng.uniform(-300, 300)) for i in range(40)]
+    pois = Layer(spark.createDataFrame(rows, f"poi_id bigint, poi_type string, shape {MIXED}"), "poi_id", "shape", "mixed", 3857)
+    found = search(spark.createDataFrame(spots, "place bigint, x double, y double"), poi_shapes.shape_table(pois, 350.0), 350.0, 1000.0).collect()
+    assert len(found) <= 40 * 3 * 2
+    for i, x, y in spots:
+        want = expected(x, y, rows[:80], 350.0)
+        for kind in "ab":
+            met = [r for r in found if r["place"] == i and r["kind"] == kind]
+            n, dist = want.get(kind, (0, math.inf))
+            assert sum(r["n"] for r in met) == n
+            assert min([r["dist"] for r in met if r["dist"] is not None], default=math.inf) == pytest.approx(dist, abs=1e-9)
+        lone = [r for r in found if r["place"] == i and r["kind"] == "c"]
+        assert sum(r["n"] for r in lone) == sum(math.hypot(10 * k - x, y) < 350 for k in range(5))
+        assert all(r["dist"] is None for r in lone)
+
+
 def test_shapes_wider_than_the_region_never_reach_the_join(spark):
     rows = [(1, "a", mixed("LineString", lines=[[shapes.pt(0, 0), shapes.pt(999, 0)]])),
             (2, "a", mixed("LineString", lines=[[shapes.pt(0, 0), shapes.pt(1000, 0)]])), (3, "a", None)]
