@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from hearthgrid.functions import geometry as g
 from hearthgrid.functions.sql import num
-from hearthgrid.operators.cells import covered_centres, finite, spread_edges
+from hearthgrid.operators.cell_search import POINT_ROWS, points_of_cell, search_cells
+from hearthgrid.operators.cells import CELL, covered_centres, finite, spread_edges
 from hearthgrid.session import materialize
 
 # Each level is four times finer than the one before. On the last one a cell of a kilometre has become a
@@ -25,6 +26,8 @@ from hearthgrid.session import materialize
 LEVELS = 15
 # Point pairs that two cells may have to be compared point by point.
 SMALL = 65_536
+# The same for points against points, where the leaves are searched in blocks of places.
+BLOCKED = 1 << 24
 # Rounding slack in metres, far above that of the coordinates: bounds may only err on the safe side.
 SLACK = 1e-6
 
@@ -80,7 +83,7 @@ def _children(pairs, q, p, level):
         .join(_object_cells(p, level).hint("merge"), ["vx", "vy", "kind"]).drop("ux", "uy", "vx", "vy")
 
 
-def crowded_rows(queries, objects, radius, size, small=SMALL, sides=None):
+def crowded_rows(queries, objects, radius, size, small=BLOCKED, sides=None):
     """Rows ``place, kind, n, dist`` to be summed (``n``) and minimised (``dist``) per place and kind.
 
     ``queries`` has ``place, x, y``; ``objects`` has ``ox, oy, kind, copies``.
@@ -95,7 +98,7 @@ def crowded_rows(queries, objects, radius, size, small=SMALL, sides=None):
     out = None
     for level in range(LEVELS + 1):
         judged = materialize(_judge(pairs, level, radius, size, small, sides), "crowded")
-        for rows in (_settled_rows(judged, q, level), _leaf_rows(judged, q, p, level, radius, sides)):
+        for rows in (_settled_rows(judged, q, level), _leaf_rows(judged, q, p, level, radius, size, sides)):
             out = rows if out is None else out.unionByName(rows)
         if level == LEVELS or judged.filter("finer").isEmpty():
             return out
@@ -108,13 +111,17 @@ def _settled_rows(judged, q, level):
         .selectExpr("place", "kind", "n", "CAST(NULL AS DOUBLE) AS dist")
 
 
-def _leaf_rows(judged, q, p, level, radius, sides):
-    leaves = judged.filter("leaf").select("qx", "qy", "px", "py", "kind", "open", "close")
-    met = leaves.join(q.selectExpr("place", "x", "y", *_at(level, "qx", "qy")).hint("merge"), ["qx", "qy"]) \
-        .join(p.selectExpr("ox", "oy", "kind", "copies", *_at(level, "px", "py")).hint("merge"), ["px", "py", "kind"]) \
-        .selectExpr("*", f"{g.distance('x', 'y', 'ox', 'oy')} AS d")\
-        .filter(g.in_reach("d", "x", "y", "ox", "oy", radius, sides))
-    return met.selectExpr("place", "kind", "if(open, copies, 0) AS n", "if(close, d, NULL) AS dist")
+def _leaf_rows(judged, q, p, level, radius, size, sides):
+    """The pairs of cells that are few enough, searched in blocks of places; objects that are settled already count 0."""
+    side, reach = num(size / 4**level), num(radius + size * 1e-6)
+    gap = [f"greatest(q{a} * {side} - o{a}, o{a} - (q{a} + 1) * {side}, 0D)" for a in "xy"]
+    leaves = judged.filter("leaf").select("qx", "qy", "px", "py", "kind", "open")
+    pieces = leaves.join(p.selectExpr("ox", "oy", "kind", "copies", *_at(level, "px", "py")).hint("merge"), ["px", "py", "kind"]) \
+        .filter(f"pow({gap[0]}, 2) + pow({gap[1]}, 2) <= pow({reach}, 2)") \
+        .selectExpr("qx AS gx", "qy AS gy", "ox", "oy", "kind", "if(open, copies, 0L) AS copies")
+    cells = leaves.selectExpr("qx AS gx", "qy AS gy").distinct()
+    points = q.selectExpr("place", "x", "y", *_at(level, "gx", "gy")).join(cells.hint("merge"), CELL, "left_semi")
+    return search_cells(points, pieces, ["ox", "oy"], points_of_cell(float(radius), sides), POINT_ROWS)
 
 
 # --- lines ------------------------------------------------------------------------

@@ -16,11 +16,11 @@ from hearthgrid.functions import geometry as g
 from hearthgrid.functions.sql import let, num
 from hearthgrid.operators.cell_search import POINT_ROWS, search_cells, shapes_of_cell
 from hearthgrid.operators.cells import CELL, finite, spread_points, with_cell
-from hearthgrid.operators.crowded import LEVELS, SLACK, _at, _fine, _query_cells
+from hearthgrid.operators.crowded import BLOCKED, LEVELS, SLACK, _at, _fine, _query_cells
 from hearthgrid.session import materialize
 
 # Pairs of a cell that are left to the search in blocks; a cell with more is cut into finer ones first.
-SMALL = 1 << 24
+SMALL = BLOCKED
 
 
 def split_points(layer):

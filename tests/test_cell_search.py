@@ -67,6 +67,14 @@ def test_crowded_search_broadcasts_nothing(made):
     assert _counted(rows) == _brute(*made, 6.0)
 
 
+@pytest.mark.parametrize("small", [40, crowded.BLOCKED])
+def test_leaves_of_the_crowded_search_give_a_row_per_place_and_kind(made, small):
+    """On each level, however many pairs there are."""
+    rows = crowded.crowded_rows(made[0], made[1], 6.0, 10.0, small)
+    assert _counted(rows) == _brute(*made, 6.0)
+    assert max(r["count"] for r in rows.filter("dist IS NOT NULL").groupBy("place", "kind").count().collect()) <= (1 if small > 40 else 4)
+
+
 def test_a_point_that_comes_twice_meets_a_polygon_once(spark):
     box = spark.sql("SELECT 1L AS id, array(array(struct(0D AS x, 0D AS y), struct(4D AS x, 0D AS y), struct(4D AS x, 4D AS y), "
                     "struct(0D AS x, 4D AS y), struct(0D AS x, 0D AS y))) AS shape")
