@@ -284,9 +284,11 @@ def _segment_distances(px, py, x1, y1, x2, y2):
     return np.sqrt(ox * ox + oy * oy)
 
 
-def _edges_by_block(places, edges, key, radius, counted):
+def _edges_by_block(places, edges, key, radius, sure, counted, nearest=True, sides=None):
     """For some places at a time: their row numbers, distances to the shapes that are looked at, the numbers of these,
-    which of them are still to be counted, how many are in range of all these places besides, and the shapes' keys."""
+    which of them are still to be counted, which shapes are in range of all these places, and the shapes' keys.
+
+    Without ``nearest`` only shapes are looked at that are still to be counted."""
     code, values = _codes(edges.column(key))
     order = np.argsort(code, kind="stable")
     code = code[order]
@@ -301,31 +303,42 @@ def _edges_by_block(places, edges, key, radius, counted):
         if not len(near):
             continue
         c, d = code[near], from_centre[near]
-        tested = d <= d.min() + 2 * half
+        tested = (d <= d.min() + 2 * half) & nearest
         settled = np.zeros(len(values), bool)
         if counted:
-            settled[c[d + half < radius]] = True
+            settled[c[d + half < sure]] = True
             tested |= ~settled[c]
         near, c = near[tested], c[tested]
-        first = _starts(c)
+        first = _starts(c) if len(c) else np.zeros(0, np.int64)
         chosen = [v[near] for v in ends]
         for some in _chunks(rows, len(c)):
-            dist = np.minimum.reduceat(_segment_distances(x[some, None], y[some, None], *chosen), first, axis=1)
-            yield some, dist, c[first], ~settled[c[first]], int(settled.sum()), values
+            dist = np.zeros((len(some), 0))
+            if len(c):
+                dist = _touching(_segment_distances(x[some, None], y[some, None], *chosen), x[some], y[some], chosen, radius, sure, sides)
+                dist = np.minimum.reduceat(dist, first, axis=1)
+            yield some, dist, c[first], ~settled[c[first]], settled, values
 
 
-def roads_of_cell(key, radius):
-    """Rows ``place, n, ties, dist``: the shapes in range, those tied for nearest and their distance."""
+def roads_of_cell(key, radius, weight=None, nearest=True, sides=None):
+    """Rows ``place, n, ties, dist``: the shapes in range, those tied for nearest and their distance.
+
+    A shape counts as the value of its column ``weight``, one if there is none. ``sides`` counts shapes that touch the
+    polygon drawn in the circle. Without ``nearest`` only ``n`` is meant.
+    """
+    sure = g.sure_reach(radius, sides)
 
     def search(places, edges):
         place, = _floats(places, "place")
+        counts = np.ones(edges.num_rows, np.int64)
+        if weight is not None:
+            counts[_codes(edges.column(key))[0]] = edges.column(weight).to_numpy()
         out = []
-        for some, dist, _, open_, settled, _ in _edges_by_block(places, edges, key, radius, True):
-            n = ((dist <= radius) & open_).sum(axis=1) + settled
-            nearest = dist.min(axis=1)
-            ties = (dist == nearest[:, None]).sum(axis=1)
-            met = nearest <= radius
-            out.append((place[some][met], n[met], ties[met], nearest[met]))
+        for some, dist, codes, open_, settled, _ in _edges_by_block(places, edges, key, radius, sure, True, nearest, sides):
+            n = ((dist <= radius) & open_) @ counts[codes] + counts[:len(settled)][settled].sum()
+            best = dist.min(axis=1, initial=np.inf)
+            ties = (dist == best[:, None]).sum(axis=1)
+            met = (best <= radius) | (n > 0)
+            out.append((place[some][met], n[met], ties[met], best[met]))
         if not out:
             return None
         place, n, ties, dist = (np.concatenate(v) for v in zip(*out))
@@ -342,7 +355,7 @@ def nearest_of_cell(query_key, key, radius):
 
     def search(points, edges):
         out = []
-        for some, dist, codes, _, _, values in _edges_by_block(points, edges, key, radius, False):
+        for some, dist, codes, _, _, values in _edges_by_block(points, edges, key, radius, radius, False):
             nearest = dist.min(axis=1)
             i, j = np.nonzero((dist == nearest[:, None]) & (nearest <= radius)[:, None])
             out.append((some[i], codes[j], dist[i, j]))

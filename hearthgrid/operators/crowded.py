@@ -17,16 +17,14 @@ from pyspark.sql import functions as F
 
 from hearthgrid.functions import geometry as g
 from hearthgrid.functions.sql import num
-from hearthgrid.operators.cell_search import POINT_ROWS, points_of_cell, search_cells
+from hearthgrid.operators.cell_search import POINT_ROWS, ROAD_ROWS, points_of_cell, roads_of_cell, search_cells
 from hearthgrid.operators.cells import CELL, covered_centres, finite, spread_edges
 from hearthgrid.session import materialize
 
 # Each level is four times finer than the one before. On the last one a cell of a kilometre has become a
 # micrometre: the places and POI in it are one each, and any radius has a level below it.
 LEVELS = 15
-# Point pairs that two cells may have to be compared point by point.
-SMALL = 65_536
-# The same for points against points, where the leaves are searched in blocks of places.
+# Pairs that two cells may have to be compared pair by pair, in blocks of places.
 BLOCKED = 1 << 24
 # Rounding slack in metres, far above that of the coordinates: bounds may only err on the safe side.
 SLACK = 1e-6
@@ -147,12 +145,12 @@ def _edge_bounds(rows, key, level, radius, size, sides):
     return rows.join(judged.hint("merge"), ["qx", "qy", key]).filter(f"near AND {wanted}")
 
 
-def crowded_edge_rows(queries, edges, key, radius, size, small=SMALL, first=0, held=None, nearest=True, sides=None):
-    """Places against edges: exact rows ``place, key, dist, n``, and ``place, n`` to be added.
+def crowded_edge_rows(queries, edges, key, radius, size, small=BLOCKED, first=0, held=None, nearest=True, sides=None):
+    """Places against edges: exact rows ``place, n, ties, dist``, and ``place, n`` to be added.
 
-    The first frame has the distance of every shape that may be the nearest of its place, or whose
-    being in range has to be looked up; ``n`` is 1 if it is to be counted. The second has the
-    number of shapes in range that were settled for whole cells.
+    The first frame has, for every place, the shapes in range that had to be looked up, and of those that may be its nearest
+    the distance of the nearest and how many are tied for it. The second has the number of shapes in range that were
+    settled for whole cells. Both are found cell by cell, in blocks of places: pairs are never rows.
 
     The search starts on level ``first``. ``held`` lists cells of that level and shapes,
     ``qx, qy, key``, that are counted elsewhere and get 0 for ``n``. Without ``nearest`` the
@@ -176,10 +174,12 @@ def crowded_edge_rows(queries, edges, key, radius, size, small=SMALL, first=0, h
             "qx", "qy", key, *g.EDGE, "n", "settled", "unsure", f"({kept}) AS kept", f"({few}) AS leaf")
         judged = materialize(judged, "crowded")
         here = q.selectExpr("place", "x", "y", *_at(level, "qx", "qy"))
-        met = judged.filter("kept AND leaf").join(here.hint("merge"), ["qx", "qy"]).selectExpr(
-            "place", key, "x", "y", *g.EDGE, f"{g.segment_distance('x', 'y', *g.EDGE)} AS dist", "if(unsure, n, 0) AS n") \
-            .filter(g.segment_in_reach("dist", "x", "y", *g.EDGE, radius, sides)).groupBy("place", key) \
-            .agg(F.min("dist").alias("dist"), F.max("n").cast("bigint").alias("n"))
+        leaves = judged.filter("kept AND leaf")
+        cells = leaves.selectExpr("qx AS gx", "qy AS gy").distinct()
+        met = search_cells(
+            here.withColumnsRenamed({"qx": "gx", "qy": "gy"}).join(cells.hint("merge"), CELL, "left_semi"),
+            leaves.selectExpr("qx AS gx", "qy AS gy", key, *g.EDGE, "CAST(if(unsure, n, 0) AS BIGINT) AS n"), [key],
+            roads_of_cell(key, float(radius), "n", nearest, sides), ROAD_ROWS)
         whole = judged.filter("settled").select("qx", "qy", key, "n").distinct() \
             .groupBy("qx", "qy").agg(F.sum("n").alias("n")).join(here.hint("merge"), ["qx", "qy"]).select("place", "n")
         exact = met if exact is None else exact.unionByName(met)
@@ -191,7 +191,7 @@ def crowded_edge_rows(queries, edges, key, radius, size, small=SMALL, first=0, h
             .join(_query_cells(q, level + 1).hint("merge"), ["ux", "uy"]).drop("ux", "uy")
 
 
-def crowded_polygon_counts(queries, edges, key, radius, size, small=SMALL, sides=None):
+def crowded_polygon_counts(queries, edges, key, radius, size, small=BLOCKED, sides=None):
     """``place, n``, to be summed: the polygons around or at most ``radius`` from each place.
 
     On a level whose cells are smaller than the radius, a place farther than that from an outline

@@ -246,7 +246,9 @@ def road_by_place(spots, roads, radius, size=CELL_SIZE, budget=PAIR_BUDGET):
     if crowd is None:
         return _per_place(_road_rows(cold, spread, layer.key, radius, size))
     exact, settled = crowded_edge_rows(crowd, edges, layer.key, radius, size)
-    return _per_place(_road_rows(cold, spread, layer.key, radius, size).unionByName(_by_distance(exact, settled)))
+    none = {"dist": F.lit(None).cast("double"), "ties": F.lit(None).cast("bigint")}
+    found = exact.unionByName(settled.withColumns(none))
+    return _per_place(_road_rows(cold, spread, layer.key, radius, size).unionByName(found))
 
 
 def _road_rows(queries, spread, key, radius, size):
@@ -254,13 +256,6 @@ def _road_rows(queries, spread, key, radius, size):
     return search_cells(with_cell(queries, "x", "y", size), spread, [key], roads_of_cell(key, float(radius)), ROAD_ROWS)
 
 
-def _by_distance(rows, settled):
-    """Counts by place and distance; ``settled`` adds to the counts."""
-    by_distance = rows.groupBy("place", "dist").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ties"))
-    none = {"dist": F.lit(None).cast("double"), "ties": F.lit(None).cast("bigint")}
-    return by_distance.unionByName(settled.withColumns(none))
-
-
 def _per_place(rows):
     """Counts and the nearest distance per place."""
     ties = rows.groupBy("place", "dist").agg(F.sum("n").alias("n"), F.sum("ties").alias("ties"))
